@@ -49,6 +49,12 @@ def decision_frame(spark: SparkSession, sf_dir: str, features: bool = False) ->
     """
     o = read_table(spark, sf_dir, "orders",
                    ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+    return decisions_from_orders(spark, sf_dir, o, features)
+
+
+def decisions_from_orders(spark: SparkSession, sf_dir: str, o: DataFrame, features: bool = False) -> DataFrame:
+    """Decision frame from an orders DataFrame (a table or a stream: the joins
+    to customer / nation / region are stream-static joins)."""
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     r = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
