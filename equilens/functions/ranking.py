@@ -68,7 +68,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order_col: str, value_col
 def hash_rank(df: DataFrame, strata: Sequence[str], hash_col: str, rank_col: str = "rank",
               digits: int = 4) -> DataFrame:
     """Exact 1-based rank of each row within ``strata`` by ``hash_col`` (a hex
-    md5 string; ties only for equal inputs).
+    md5 string; ties only for equal inputs), plus ``<rank_col>_of``: the
+    stratum size, taken from the same bucket table (no second aggregate).
 
     Rows fall into 16**digits hash buckets; bucket counts per stratum (at most
     strata x 65,536 rows) give offsets, and only rows of one bucket are ever
@@ -81,7 +82,9 @@ def hash_rank(df: DataFrame, strata: Sequence[str], hash_col: str, rank_col: str
     counts = hb.groupBy(*strata, "_hb").agg(F.count(F.lit(1)).alias("_n"))
     wo = (Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))) \
         .orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*strata, "_hb", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
+    wt = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
+    offsets = counts.select(*strata, "_hb", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(wt).alias(f"{rank_col}_of"))
     wi = Window.partitionBy(*strata, "_hb").orderBy(F.col(hash_col))
     return (hb.join(offsets, [*strata, "_hb"])
               .withColumn(rank_col, (F.row_number().over(wi) + F.col("_off")).cast("bigint"))

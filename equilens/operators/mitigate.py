@@ -90,13 +90,10 @@ def holdout_exact(df: DataFrame, spec: AuditSpec, test_fraction_fifths: int = 1,
     strata = list(strata or [spec.label, spec.group])
     hashed = df.withColumn("_h", md5_key(spec.id, SPLIT_SALT))
     ranked = hash_rank(hashed, strata, "_h", "_rank")
-    n_s = ranked.groupBy(*strata).agg(F.count(F.lit(1)).alias("_ns"))
     # round(n_s / 5) with integer arithmetic (fractions .2/.4 round down, .6/.8 up)
-    k = ((F.col("_ns") * test_fraction_fifths + 2) / 5).cast("bigint")
-    n_s = n_s.select(*strata, k.alias("_k"))
-    out_df = ranked.join(n_s, strata, "left")   # one row per stratum; AQE broadcasts it
-    return out_df.withColumn(out, F.when(F.col("_rank") <= F.col("_k"), F.lit("test")).otherwise(F.lit("train"))) \
-                 .drop("_h", "_rank", "_k")
+    k = ((F.col("_rank_of") * test_fraction_fifths + 2) / 5).cast("bigint")
+    return ranked.withColumn(out, F.when(F.col("_rank") <= k, F.lit("test")).otherwise(F.lit("train"))) \
+                 .drop("_h", "_rank", "_rank_of")
 
 
 def split_stats(df: DataFrame, spec: AuditSpec, split: str = "split") -> DataFrame:
@@ -109,7 +106,7 @@ def kfold(df: DataFrame, spec: AuditSpec, k: int = CV_FOLDS, out: str = "fold")
     hash within each label, fold = (rank - 1) mod k."""
     hashed = df.withColumn("_h", md5_key(spec.id, FOLD_SALT))
     ranked = hash_rank(hashed, [spec.label], "_h", "_rank")
-    return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_rank")
+    return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_rank", "_rank_of")
 
 
 def undersample(df: DataFrame, spec: AuditSpec) -> DataFrame:
@@ -119,6 +116,8 @@ def undersample(df: DataFrame, spec: AuditSpec) -> DataFrame:
     y = spec.label
     hashed = df.where(F.col(y).isNotNull()).withColumn("_h", md5_key(spec.id, SAMPLE_SALT))
     ranked = hash_rank(hashed, [y], "_h", "_rank")
-    n_min = ranked.groupBy(y).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_nmin"))
+    # smallest class size: the per-class sizes are one row per class
+    n_min = ranked.select(y, "_rank_of").distinct().select(F.min("_rank_of").alias("_nmin"))
     # one-row table: a proven broadcast
-    return ranked.join(F.broadcast(n_min), F.col("_rank") <= F.col("_nmin")).drop("_h", "_rank", "_nmin")
+    return ranked.join(F.broadcast(n_min), F.col("_rank") <= F.col("_nmin")) \
+                 .drop("_h", "_rank", "_rank_of", "_nmin")
