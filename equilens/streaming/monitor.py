@@ -79,14 +79,17 @@ def session_activity(events: DataFrame, gap: str = "10 minutes", watermark: str
                       F.date_format("s.end", TS_FORMAT_US).alias("session_end"), "n_events", "n_errors")
 
 
-def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
+                  out: str | None = None, ckpt: str | None = None) -> DataFrame:
     """Run ``stream`` to the end of the available input (availableNow) into a
     parquet table under the shared checkpoint folder and return that table.
 
     append: file sink (exactly-once through the sink log);
     complete: each micro-batch's complete result overwrites the table.
+    Passing the same ``out`` / ``ckpt`` again resumes from the saved state.
     """
-    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    out = out or scratch_path(spark, f"{name}-out")
+    ckpt = ckpt or scratch_path(spark, f"{name}-ckpt")
     w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out).start()
