@@ -139,9 +139,23 @@ def fairness_report(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> D
     """M8 (and M9 with ``by=['model']``): performance, fairness, pass/fail and
     the composite score, one row per key. All metrics for all models come from
     grouped aggregates of one stacked table; nothing is collected per model."""
-    perf = performance_full(df, spec, by)
-    fm = fairness_metrics(df, spec, by)
-    rep = join_rows(perf, fm, by)
+    # confusion counts and parity sums share one aggregate (one scan); the
+    # ranking metrics need their own collapse by score
+    from .metrics import confusion_sums, ranking_metrics, rates_from_confusion
+    agg = df.groupBy(*by).agg(*confusion_sums(spec), *parity_sums(spec, spec.label), *eod_sums(spec),
+                              *parity_sums(spec, spec.pred, "_pr"))
+    both = rates_from_confusion(agg, keep=[*by, *[c for c in agg.columns if c.startswith("_")]])
+    both = both.select(*by, "accuracy", "balanced_accuracy", "precision", "recall", "f1_score",
+                       *parity_cols()[2:], eod_col(), *parity_cols("prediction_", "_pr")[2:])
+    if spec.score is None:
+        rk = agg.select(*by, F.lit(None).cast("double").alias("roc_auc"),
+                        F.lit(None).cast("double").alias("average_precision"))
+    else:
+        rk = ranking_metrics(df, spec, by)
+    rep = join_rows(both, rk, by, "left")
+    rep = rep.select(*by, "accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "roc_auc",
+                     "average_precision", *FAIRNESS_COLS, "prediction_disparate_impact",
+                     "prediction_statistical_parity_difference")
     return rep.select(
         "*", *status_cols(),
         r6(composite_col(F.col("balanced_accuracy"), F.col("f1_score"), F.col("roc_auc"),

@@ -25,18 +25,20 @@ def _valid(spec: AuditSpec):
     return F.col(spec.label).isNotNull() & F.col(spec.pred).isNotNull()
 
 
+def confusion_sums(spec: AuditSpec) -> list:
+    y, yh, w = F.col(spec.label), F.col(spec.pred), spec.weight
+    ok = _valid(spec)
+    return [wsum(ok & (y == 0) & (yh == 0), w).alias("tn"),
+            wsum(ok & (y == 0) & (yh == 1), w).alias("fp"),
+            wsum(ok & (y == 1) & (yh == 0), w).alias("fn"),
+            wsum(ok & (y == 1) & (yh == 1), w).alias("tp"),
+            count_if(~ok).alias("n_excluded")]
+
+
 def confusion(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
     """Tn, fp, fn, tp with label order [0, 1] (weighted when spec.weight),
     plus ``n_excluded`` rows with a NULL label or prediction."""
-    y, yh, w = F.col(spec.label), F.col(spec.pred), spec.weight
-    ok = _valid(spec)
-    return df.groupBy(*by).agg(
-        wsum(ok & (y == 0) & (yh == 0), w).alias("tn"),
-        wsum(ok & (y == 0) & (yh == 1), w).alias("fp"),
-        wsum(ok & (y == 1) & (yh == 0), w).alias("fn"),
-        wsum(ok & (y == 1) & (yh == 1), w).alias("tp"),
-        count_if(~ok).alias("n_excluded"),
-    )
+    return df.groupBy(*by).agg(*confusion_sums(spec))
 
 
 def rates_from_confusion(cm: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
