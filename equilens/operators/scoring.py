@@ -20,6 +20,40 @@ MODEL_VERSION = "1.0.0"
 # ---------------------------------------------------------------------------
 
 
+# --- fixed values: typed application record and its ranges ---------------
+REQUEST_FIELDS = ("status", "duration", "credit_history", "purpose", "amount", "savings", "employment_duration",
+                  "installment_rate", "personal_status_sex", "other_debtors", "present_residence", "property", "age",
+                  "other_installment_plans", "housing", "number_credits", "job", "people_liable", "telephone",
+                  "foreign_worker")
+REQUEST_RANGES = {"status": (0, None), "duration": (1, 72), "credit_history": (0, None), "purpose": (0, None),
+                  "amount": (250, 20000), "savings": (0, None), "employment_duration": (0, None),
+                  "installment_rate": (1, 4), "personal_status_sex": (0, None), "other_debtors": (0, None),
+                  "present_residence": (1, 4), "property": (0, None), "age": (18, 100),
+                  "other_installment_plans": (0, None), "housing": (0, None), "number_credits": (1, 4),
+                  "job": (0, None), "people_liable": (1, 2), "telephone": (0, None), "foreign_worker": (0, None)}
+# ---------------------------------------------------------------------------
+
+
+def request_schema():
+    """Typed application record: 20 required INT fields and an optional
+    INT ``gender`` (group)."""
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    return StructType([StructField(f, IntegerType(), True) for f in REQUEST_FIELDS] +
+                      [StructField("gender", IntegerType(), True)])
+
+
+def request_rules():
+    """E15 rules of the application record (every field required, gender optional)."""
+    from .validate import Rule
+    return tuple(Rule(f, lo, hi, True) for f, (lo, hi) in REQUEST_RANGES.items())
+
+
+def parse_applications(df: DataFrame, json_col: str = "value") -> DataFrame:
+    """JSON application records (a table column or a Kafka / file stream
+    value) parsed with the fixed schema by ``from_json`` (JVM-side)."""
+    return df.select(F.from_json(F.col(json_col).cast("string"), request_schema()).alias("r")).select("r.*")
+
+
 def risk_tier(p: str) -> F.Column:
     """O3: Low below 0.3, Medium below 0.6, else High (on the probability,
     not on the adjusted decision)."""
