@@ -45,14 +45,20 @@ def code_dictionary(df: DataFrame, col: str, dictionary: DataFrame) -> DataFrame
 
 def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
     """E5: integer codes in lexicographic order of the distinct values
-    (A40, A41, A410, A42, ...), NULL -> -1. The code table is the distinct
-    values per column (categorical, so small) ranked by a window; it is joined
-    back by value and AQE broadcasts it when its runtime size allows."""
+    (A40, A41, A410, A42, ...), NULL -> -1. The code table (distinct values
+    of all columns from one unpivoted pass, ranked per column) is evaluated
+    once with a size check (``materialize_small``) and joined back by value."""
+    from ..functions.exprs import materialize_small
+    # all columns' distinct values in one pass (unpivot + distinct), ranked per column
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"))
+                                           for c in cols])).alias("_u")).select("_u._c", "_u._v") \
+               .where(F.col("_v").isNotNull()).distinct()
+    codes = values.withColumn("_code", (F.dense_rank().over(Window.partitionBy("_c").orderBy("_v")) - 1).cast("int"))
+    codes = materialize_small(codes)   # a dictionary: evaluated once, size-checked
     out = df
     for c in cols:
-        values = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("_v")).distinct()
-        codes = values.withColumn(f"{c}{suffix}", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int"))
-        out = out.join(codes, F.col(c).cast("string") == F.col("_v"), "left").drop("_v") \
+        cc = codes.where(F.col("_c") == c).select(F.col("_v").alias(f"_v_{c}"), F.col("_code").alias(f"{c}{suffix}"))
+        out = out.join(cc, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}") \
                  .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(-1)))
     return out
 

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r6
+from ..functions.exprs import materialize_small, r6
 from ..spec import FAIRNESS_WEIGHT, MODEL_FAMILIES, N_TRIALS, RANDOM_SEED, AuditSpec
 from .fairness import composite_col
 from .metrics import ranking_metrics
@@ -105,6 +105,8 @@ def evaluate_cuts(df: DataFrame, spec: AuditSpec, trials: Sequence[dict], fold:
     base = df.where(g.isNotNull() & y.isNotNull() & p.isNotNull())
     counts = base.groupBy(F.col(fold).alias("fold"), F.col(spec.group).alias("grp"), F.col(spec.label).alias("lab"),
                           bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    # folds x groups x labels x (trials + 1) rows: evaluated once, read three times below
+    counts = materialize_small(counts)
     # dense (fold, group, label, bucket) grid: a few hundred rows
     keys = counts.select("fold", "grp", "lab").distinct()
     grid = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("b"))

@@ -99,9 +99,11 @@ def apply_thresholds(df: DataFrame, spec: AuditSpec, thresholds: DataFrame | Non
 def threshold_effect(df: DataFrame, spec: AuditSpec, thresholds: DataFrame) -> DataFrame:
     """H5: per-group rates after the thresholds, with the residual TPR gap to
     the privileged group."""
+    from pyspark.sql import Window
     adj = apply_thresholds(df, spec, thresholds)
     gc = group_confusion(adj, spec, "pred_adj")
-    ref = gc.where(F.col(spec.group) == F.lit(spec.privileged)).select(F.col("tpr").alias("_ref_tpr"))
-    j = gc.withColumn("_one", F.lit(1)).join(F.broadcast(ref.withColumn("_one", F.lit(1))), "_one", "left")
-    return j.select(spec.group, "tn", "fp", "fn", "tp", "tpr", "fpr",
-                    r6(F.abs(F.col("tpr") - F.col("_ref_tpr"))).alias("tpr_gap")).drop("_one")
+    # the privileged rate is read from the same grouped table (one row per
+    # group) by a window over it, not by a second aggregate of the data
+    ref = F.max(F.when(F.col(spec.group) == F.lit(spec.privileged), F.col("tpr"))).over(Window.partitionBy())
+    return gc.select(spec.group, "tn", "fp", "fn", "tp", "tpr", "fpr",
+                     r6(F.abs(F.col("tpr") - ref)).alias("tpr_gap"))

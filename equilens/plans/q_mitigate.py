@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r6
+from ..functions.exprs import materialize_small, r6
 from ..operators import mitigate as mg
 from ..operators import prep as pp
 from ..operators import scoring as sc
@@ -232,8 +232,10 @@ ap AS (SELECT d.*, CAST(d.p >= coalesce(th.threshold, 0.5) AS INTEGER) AS pred_a
 
 
 def _fitted(spark, sf):
+    """Decision frame and its fitted threshold table (one row per group,
+    evaluated once and reused by every branch of the plan)."""
     df = decision_frame(spark, sf)
-    return df, th.fit_thresholds(df, DECISIONS)
+    return df, materialize_small(th.fit_thresholds(df, DECISIONS))
 
 
 @register("threshold_apply", with_(D, _threshold_sql("equal_opportunity")) + APPLY_SQL +
