@@ -39,19 +39,20 @@ def fit_thresholds(df: DataFrame, spec: AuditSpec, objective: str = "equal_oppor
     g, y, p = F.col(spec.group), F.col(spec.label), F.col(spec.score)
     fav = F.lit(spec.favorable)
     base = df.where(g.isNotNull() & y.isNotNull() & p.isNotNull())
-    priv = g == F.lit(spec.privileged)
-    # privileged rates at the default cut: share of good rows predicted good, of bad rows predicted good
-    tgt = base.agg(
-        F.sum(F.when(priv & (y == fav), 1).otherwise(0)).alias("_pn0"),
-        F.sum(F.when(priv & (y == fav) & (p < DEFAULT_CUT), 1).otherwise(0)).alias("_pb0"),
-        F.sum(F.when(priv & (y != fav), 1).otherwise(0)).alias("_pn1"),
-        F.sum(F.when(priv & (y != fav) & (p < DEFAULT_CUT), 1).otherwise(0)).alias("_pb1"),
-    ).select(F.when(F.col("_pn0") != 0, F.col("_pb0") / F.col("_pn0")).otherwise(0.0).alias("target_tpr"),
-             F.when(F.col("_pn1") != 0, F.col("_pb1") / F.col("_pn1")).otherwise(0.0).alias("target_fpr"))
-    coll = base.where(~priv).groupBy(F.col(spec.group).alias("grp"), F.col(spec.score).alias("s")).agg(
+    # one collapse of all groups (the only pass over the rows); every later
+    # table reads the checkpointed running totals
+    coll = base.groupBy(F.col(spec.group).alias("grp"), F.col(spec.score).alias("s")).agg(
         F.sum(F.when(y == fav, 1).otherwise(0)).cast("bigint").alias("c0"),
         F.sum(F.when(y != fav, 1).otherwise(0)).cast("bigint").alias("c1"))
     run = running_totals(coll, ["grp"], "s", ["c0", "c1"], descending=False)
+    priv = F.col("grp") == F.lit(spec.privileged)
+    # privileged rates at the default cut: share of good rows predicted good, of bad rows predicted good
+    tgt = run.where(priv).agg(
+        F.sum("c0").alias("_pn0"), F.sum(F.when(F.col("s") < DEFAULT_CUT, F.col("c0")).otherwise(0)).alias("_pb0"),
+        F.sum("c1").alias("_pn1"), F.sum(F.when(F.col("s") < DEFAULT_CUT, F.col("c1")).otherwise(0)).alias("_pb1"),
+    ).select(F.when(F.col("_pn0") != 0, F.col("_pb0") / F.col("_pn0")).otherwise(0.0).alias("target_tpr"),
+             F.when(F.col("_pn1") != 0, F.col("_pb1") / F.col("_pn1")).otherwise(0.0).alias("target_fpr"))
+    run = run.where(~priv)
     lo, hi = bounds
     in_range = (F.col("s") >= lo) & (F.col("s") <= hi)
     if objective == "equal_opportunity":
@@ -59,7 +60,7 @@ def fit_thresholds(df: DataFrame, spec: AuditSpec, objective: str = "equal_oppor
     cand = run.where(in_range).select(
         "grp", F.col("s").alias("t"), (F.col("cum_c0") - F.col("c0")).alias("b0"),
         (F.col("cum_c1") - F.col("c1")).alias("b1"))
-    tot = coll.groupBy("grp").agg(
+    tot = run.groupBy("grp").agg(
         F.sum("c0").alias("n0"), F.sum("c1").alias("n1"),
         F.sum(F.when(F.col("s") < hi, F.col("c0")).otherwise(0)).alias("_b0hi"),
         F.sum(F.when(F.col("s") < hi, F.col("c1")).otherwise(0)).alias("_b1hi"))
