@@ -26,9 +26,10 @@ def derive_group(df: DataFrame, col: str, dictionary: DataFrame, privileged_labe
                  label_out: str = "group_label", binary_out: str = "g") -> DataFrame:
     """E2 + E6: group label from a code -> label dictionary (left join, so an
     unmapped code gives NULL) and its binary form (privileged = 1)."""
+    from ..functions.exprs import materialize_small
     d = dictionary.select(F.col(dictionary.columns[0]).alias("_code"), F.col(dictionary.columns[1]).alias(label_out))
-    # the dictionary is a fixed code list: broadcast it
-    out = df.join(F.broadcast(d), F.col(col) == F.col("_code"), "left").drop("_code")
+    # a code list: broadcast after a size check (checkpointed and joined normally above the bound)
+    out = df.join(materialize_small(d), F.col(col) == F.col("_code"), "left").drop("_code")
     return out.withColumn(binary_out, F.when(F.col(label_out).isNotNull(),
                                              (F.col(label_out) == F.lit(privileged_label)).cast("int")))
 
@@ -46,14 +47,19 @@ def code_dictionary(df: DataFrame, col: str, dictionary: DataFrame) -> DataFrame
 def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
     """E5: integer codes in lexicographic order of the distinct values
     (A40, A41, A410, A42, ...), NULL -> -1. The code table (distinct values
-    of all columns from one unpivoted pass, ranked per column) is evaluated
-    once with a size check (``materialize_small``) and joined back by value."""
+    of all columns from one unpivoted pass, ranked per column by a distributed
+    running count) is evaluated once with a size check (``materialize_small``)
+    and joined back by value."""
     from ..functions.exprs import materialize_small
     # all columns' distinct values in one pass (unpivot + distinct), ranked per column
     values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"))
                                            for c in cols])).alias("_u")).select("_u._c", "_u._v") \
                .where(F.col("_v").isNotNull()).distinct()
-    codes = values.withColumn("_code", (F.dense_rank().over(Window.partitionBy("_c").orderBy("_v")) - 1).cast("int"))
+    # rank = running count of distinct values in value order, from the two-level
+    # prefix sum, so even a high-cardinality column is never sorted in one task
+    from ..functions.ranking import running_totals
+    ranked = running_totals(values.withColumn("_one", F.lit(1)), ["_c"], "_v", ["_one"], descending=False)
+    codes = ranked.select("_c", "_v", (F.col("cum__one") - 1).cast("int").alias("_code"))
     codes = materialize_small(codes)   # a dictionary: evaluated once, size-checked
     out = df
     for c in cols:

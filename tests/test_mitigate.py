@@ -115,3 +115,25 @@ def test_undersample_balances(spark):
     df = spark.createDataFrame([(i, int(i % 5 == 0), 0) for i in range(500)], "id long, y int, g int")
     c = {r.y: r["count"] for r in mg.undersample(df, SPEC).groupBy("y").count().collect()}
     assert c[0] == c[1] == 100
+
+
+def test_schema_role_helpers(spark):
+    from equilens.operators import encode as en
+    from equilens.operators.profile import dtype_counts, numeric_columns, string_columns
+    df = spark.createDataFrame([(1, 0, 1, "a", 2.0)], "id long, y int, g int, s string, x double")
+    assert numeric_columns(df) == ["id", "y", "g", "x"] and string_columns(df) == ["s"]
+    assert dtype_counts(df) == {"bigint": 1, "int": 2, "string": 1, "double": 1}
+    assert en.drop_columns(df, ["s", "absent"]).columns == ["id", "y", "g", "x"]
+    assert en.drop_columns(df, non_numeric=True).columns == ["id", "y", "g", "x"]
+    assert en.feature_columns(df, SPEC, ["g"]) == ["s", "x"]
+    assert en.select_features(df, ["x", "s"]).columns == ["x", "s"]
+    with pytest.raises(ValueError, match="missing"):
+        en.select_features(df, ["x", "nope"])
+    assert en.stratum_key(df, SPEC).first().stratum == "0_1"
+
+
+def test_category_codes_lexicographic(spark):
+    from equilens.operators import encode as en
+    df = spark.createDataFrame([("A40",), ("A410",), ("A41",), ("A42",), (None,), ("A40",)], "purpose string")
+    got = {r.purpose: r.purpose_code for r in en.category_codes(df, ["purpose"]).collect()}
+    assert got == {"A40": 0, "A41": 1, "A410": 2, "A42": 3, None: -1}
