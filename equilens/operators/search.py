@@ -160,7 +160,8 @@ def family_estimator(params: dict, features_col: str = "features", label_col: st
     random_forest -> RandomForestClassifier (min split has no twin: minInstancesPerNode =
     max(leaf, ceil(split / 2))); xgboost / lightgbm -> GBTClassifier (lightgbm depth =
     min(depth, ceil(log2(leaves)))); logistic_regression -> LogisticRegression with
-    regParam = 1 / (C * n) and elasticNetParam 1 (l1), 0 (l2) or the l1 ratio.
+    regParam = 1 / (C * n) with n the total sample weight (the row count when
+    unweighted) and elasticNetParam 1 (l1), 0 (l2) or the l1 ratio.
     The trial's ``cut`` becomes the decision threshold (``thresholds``).
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -197,11 +198,33 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
 
 def fit_family(train: DataFrame, params: dict, features: Sequence[str], label: str = "y",
                weight_col: str | None = None, n_rows: float | None = None):
-    """L1-L4: fit one family on an assembled frame (``features`` vector column built here)."""
+    """L1-L4: fit one family on an assembled frame (``features`` vector column
+    built here). For the linear family the regularisation is scaled by the
+    total weight, taken from one aggregate when not given."""
+    if params.get("model_type") == "logistic_regression" and n_rows is None:
+        n_rows = total_weight(train, weight_col)
     est = family_estimator(params, "features", label, weight_col, n_rows=n_rows)
     return est.fit(assemble(train, features))
 
 
+def total_weight(df: DataFrame, weight_col: str | None) -> float:
+    """Sum of instance weights (row count when unweighted): one aggregate value."""
+    if weight_col is None:
+        return float(df.count())
+    return float(df.agg(F.sum(weight_col)).first()[0] or 0.0)
+
+
+def refit_best(train: DataFrame, hist: DataFrame, features: Sequence[str], label: str = "y",
+               weight_col: str | None = None):
+    """The best trial of a history table (highest score, lowest trial on
+    ties) refitted on all training rows with the same parameter row that
+    drove its cross-validation (so no parameter is lost on refit)."""
+    from .history import best_trial
+    best = best_trial(hist).first()
+    params = json.loads(best["params"])
+    return best["trial"], params, fit_family(train, params, features, label, weight_col)
+
+
 def predict_scores(model, df: DataFrame, features: Sequence[str], out: str = "p_model") -> DataFrame:
     """P(class 1) from the probability vector (vector_to_array, no Python UDF)."""
     from pyspark.ml.functions import vector_to_array

@@ -7,7 +7,6 @@ the same code works on local disk, HDFS or an object store.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +30,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_raw_decisions(spark: SparkSession, path: str, ddl: str = RAW_DDL) -> DataFrame:
+def read_raw_decisions(spark: SparkSession, path: str, ddl: str = RAW_DDL,
+                       on_missing: str = "raise") -> DataFrame | None:
     """Headerless, single-space separated raw table with fixed names and
     types (no inference); a malformed line fails the read (FAILFAST). A
-    missing file raises FileNotFoundError with the path instead of a stack trace."""
+    missing file raises FileNotFoundError with the path, or with
+    ``on_missing="report"`` is reported on stderr and gives None."""
     if not path_exists(spark, path):
+        if on_missing == "report":
+            import sys
+            print(f"raw decision file not found: {path}", file=sys.stderr)
+            return None
         raise FileNotFoundError(path)
     return spark.read.csv(path, sep=" ", schema=ddl, header=False, mode="FAILFAST")
 
@@ -139,7 +144,7 @@ def write_history(hist: DataFrame, path: str) -> None:
     write_table(hist, f"{path}/csv", fmt="csv")
 
 
-def write_summary(report: DataFrame, best: DataFrame, shapes: dict, path: str) -> None:
+def write_summary(report: DataFrame, best: DataFrame, shapes: dict, path: str, total_trials: int = 0) -> None:
     """Summary document: best model type and parameters, performance and
     fairness structs, trial count and data shapes, as one JSON record."""
     perf = F.struct(*[F.col(c) for c in ("accuracy", "balanced_accuracy", "precision", "recall", "f1_score",
@@ -148,6 +153,7 @@ def write_summary(report: DataFrame, best: DataFrame, shapes: dict, path: str) -
                                          "equal_opportunity_difference")])
     rep = report.select(F.col("composite_score"), perf.alias("performance_metrics"), fair.alias("fairness_metrics"))
     b = best.select(F.col("model_type").alias("best_model_type"), F.col("params").alias("best_parameters"))
+    shape = F.struct(*[F.array(*[F.lit(int(v)) for v in shapes[k]]).alias(k) for k in shapes])
     doc = b.withColumn("_one", F.lit(1)).join(rep.withColumn("_one", F.lit(1)), "_one").drop("_one") \
-           .withColumn("data_shape", F.lit(json.dumps(shapes)))
+           .withColumn("total_trials", F.lit(int(total_trials))).withColumn("data_shape", shape)
     doc.coalesce(1).write.mode("overwrite").json(path)

@@ -101,10 +101,26 @@ def test_bundle_and_summary(spark, tmp_path):
     assert b["model"] is not None and b["thresholds"] is None
     assert store.model_report(spark, str(tmp_path / "b")).count() == 1
     assert store.model_report(spark, str(tmp_path / "nothing")) is None
+    assert store.read_raw_decisions(spark, str(tmp_path / "nothing.data"), on_missing="report") is None
     best = spark.createDataFrame([("logistic_regression", "{}")], "model_type string, params string")
     store.write_summary(rep, best, {"train": [90, 2], "test": [0, 2]}, str(tmp_path / "summary"))
     doc = spark.read.json(str(tmp_path / "summary")).first()
     assert doc.best_model_type == "logistic_regression" and doc.performance_metrics.accuracy is not None
+    assert list(doc.data_shape.train) == [90, 2]
     hist = spark.createDataFrame([(0, "x", 0.5, "{}")], "trial int, model_type string, score double, params string")
     store.write_history(hist, str(tmp_path / "hist"))
     assert spark.read.parquet(str(tmp_path / "hist/parquet")).count() == 1
+
+
+def test_refit_best_uses_cv_parameters(spark):
+    df = learnable(spark, 120)
+    hist = spark.createDataFrame([
+        (0, "logistic_regression", 0.7, json.dumps({"model_type": "logistic_regression", "lr_penalty": "elasticnet",
+                                                     "lr_C": 2.0, "lr_l1_ratio": 0.25})),
+        (1, "random_forest", 0.6, json.dumps({"model_type": "random_forest", "rf_n_estimators": 3, "rf_max_depth": 2,
+                                               "rf_min_samples_split": 2, "rf_min_samples_leaf": 1}))],
+        "trial int, model_type string, score double, params string")
+    trial, params, model = se.refit_best(df, hist, ["x1", "x2"], "y")
+    assert trial == 0 and params["lr_l1_ratio"] == 0.25
+    assert model.getElasticNetParam() == 0.25          # the l1 ratio survives the refit
+    assert model.getRegParam() == pytest.approx(1 / (2.0 * 120))
