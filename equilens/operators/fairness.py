@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import count_if, r6, safe_div, wsum
 from ..spec import (DISPARATE_IMPACT_THRESHOLD, FAIRNESS_WEIGHT, STATISTICAL_PARITY_THRESHOLD,
                     EQUAL_OPPORTUNITY_THRESHOLD, AuditSpec)
-from .metrics import join_rows, performance_full
+from .metrics import join_rows
 
 FAIRNESS_COLS = ("disparate_impact", "statistical_parity_difference", "equal_opportunity_difference")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import fairness as fm
 from ..operators import metrics as mt
 from ..sources.frames import decision_frame, document_frame

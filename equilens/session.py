@@ -16,6 +16,10 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "equi
     ``partitions`` to the data (about 128 MB of shuffle per partition).
     """
     b = SparkSession.builder.appName(app)
+    # Sizing notes for a cluster: keep ``spark.sql.files.maxPartitionBytes``
+    # at 128-256 MB per scan task and ``partitions`` near shuffle bytes / 128 MB;
+    # AQE then coalesces small shuffle partitions and splits skewed join
+    # partitions at run time.
     if master:
         b = b.master(master)
     conf = {
@@ -23,6 +27,7 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "equi
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
