@@ -124,3 +124,23 @@ def test_refit_best_uses_cv_parameters(spark):
     assert trial == 0 and params["lr_l1_ratio"] == 0.25
     assert model.getElasticNetParam() == 0.25          # the l1 ratio survives the refit
     assert model.getRegParam() == pytest.approx(1 / (2.0 * 120))
+
+
+def test_audit_job_end_to_end(spark, tmp_path):
+    from equilens.audit_job import run_audit_job
+    trials = [
+        {"trial": 0, "model_type": "logistic_regression", "cut": 0.5,
+         "params": json.dumps({"model_type": "logistic_regression", "lr_penalty": "l2", "lr_C": 1.0})},
+        {"trial": 1, "model_type": "random_forest", "cut": 0.45,
+         "params": json.dumps({"model_type": "random_forest", "rf_n_estimators": 5, "rf_max_depth": 4,
+                               "rf_min_samples_split": 2, "rf_min_samples_leaf": 1})},
+    ]
+    res = run_audit_job(spark, "/root/testdata/sf0.001", str(tmp_path / "job"), trials=trials)
+    rep = res["report"].first()
+    assert rep.composite_score is not None and 0 <= rep.accuracy <= 1
+    assert res["history"].count() == 2
+    assert {r.g for r in res["thresholds"].collect()} == {0, 1}
+    doc = spark.read.json(str(tmp_path / "job/summary")).first()
+    assert doc.total_trials == 2
+    split = store.load_split(spark, str(tmp_path / "job/split"))
+    assert split.where("split = 'train'").where(F.col("weight").isNull()).count() == 0
