@@ -112,3 +112,16 @@ def test_model_comparison_is_one_grouped_job(spark):
     rep = fm.fairness_report(stacked, SPEC, ["model"]).collect()
     one = fm.fairness_report(df, SPEC).first()
     assert len(rep) == 2 and all(r.composite_score == one.composite_score for r in rep)
+
+
+def test_weighted_ranking_equals_duplicated_rows(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.randint(0, 1), rnd.randint(0, 1), rnd.choice([.1, .3, .5, .7, .9]), rnd.randint(1, 3))
+            for i in range(80)]
+    w = spark.createDataFrame(rows, "id long, y int, g int, p double, w int").withColumn("w", F.col("w").cast("double"))
+    dup = spark.createDataFrame([(r[0] * 10 + k, r[1], r[2], r[3], 0) for r in rows for k in range(r[4])],
+                                "id long, y int, g int, p double, pred int")
+    a = mt.ranking_metrics(w, SPEC.with_(weight="w")).first()
+    b = mt.ranking_metrics(dup, SPEC).first()
+    assert a.roc_auc == pytest.approx(b.roc_auc, abs=1e-6)
+    assert a.average_precision == pytest.approx(b.average_precision, abs=1e-6)

@@ -137,3 +137,12 @@ def test_category_codes_lexicographic(spark):
     df = spark.createDataFrame([("A40",), ("A410",), ("A41",), ("A42",), (None,), ("A40",)], "purpose string")
     got = {r.purpose: r.purpose_code for r in en.category_codes(df, ["purpose"]).collect()}
     assert got == {"A40": 0, "A41": 1, "A410": 2, "A42": 3, None: -1}
+
+
+def test_describe_numeric_approx_close_to_exact(spark):
+    from equilens.operators.profile import describe_numeric
+    df = spark.range(2000).select((F.col("id") % 97).cast("double").alias("a"))
+    ex = describe_numeric(df, ["a"]).first()
+    ap = describe_numeric(df, ["a"], approx_accuracy=10000).first()
+    assert ex.count == ap.count == 2000
+    assert abs(ex.q50 - ap.q50) <= 1.0 and abs(ex.q25 - ap.q25) <= 1.0

@@ -127,3 +127,20 @@ def test_parse_and_validate_applications(spark):
     valid, rejected = split_valid(apps, request_rules())
     assert valid.count() == 1
     assert sorted(rejected.first().violations) == ["age:le", "amount:ge"]
+
+
+def test_stream_scoring_with_fitted_model_equals_batch(spark, tmp_path):
+    """O1 + O7: a Spark ML model fitted in batch scores a stream; the sink
+    equals the batch scoring of the same rows."""
+    from equilens.operators import search as se
+    df = spark.range(300).select(F.col("id"), ((F.col("id") * 37) % 100 / 100.0).alias("x1"),
+                                 ((F.col("id") * 11) % 7 / 7.0).alias("x2"),
+                                 (((F.col("id") * 37) % 100) >= 60).cast("int").alias("y"))
+    model = se.fit_family(df, {"model_type": "logistic_regression", "lr_penalty": "l2", "lr_C": 1.0}, ["x1", "x2"])
+    src = str(tmp_path / "src")
+    df.write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    out = mo.run_available(spark, se.predict_scores(model, stream, ["x1", "x2"], "p"), "model-stream", "append")
+    batch = se.predict_scores(model, df, ["x1", "x2"], "p")
+    assert out.select("id", "p").exceptAll(batch.select("id", "p")).count() == 0
+    assert out.count() == 300
