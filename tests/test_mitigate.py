@@ -146,3 +146,17 @@ def test_describe_numeric_approx_close_to_exact(spark):
     ap = describe_numeric(df, ["a"], approx_accuracy=10000).first()
     assert ex["count"] == ap["count"] == 2000
     assert abs(ex.q50 - ap.q50) <= 1.0 and abs(ex.q25 - ap.q25) <= 1.0
+
+
+def test_thresholds_for_three_groups(spark):
+    rnd = random.Random(2)
+    rows = [(i, rnd.randint(0, 1), rnd.choice([0, 1, 2]), round(rnd.random(), 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, y int, g int, p double")
+    t = {r.g: r.threshold for r in th.fit_thresholds(df, SPEC).collect()}
+    assert set(t) == {0, 1, 2} and t[1] == 0.5
+    target = _tpr([p for _, y, g, p in rows if g == 1], [y for _, y, g, p in rows if g == 1], 0.5)
+    for grp in (0, 2):
+        ps = [p for _, y, g, p in rows if g == grp]
+        ys = [y for _, y, g, p in rows if g == grp]
+        best = abs(_tpr(ps, ys, t[grp]) - target)
+        assert all(best <= abs(_tpr(ps, ys, x / 100) - target) + 1e-12 for x in range(10, 91))
