@@ -49,14 +49,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names shared storage and is left as
     it is. Tests and local runs without one get a fresh folder under /tmp.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect client: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", "")
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if not d and not current.isEmpty():
+        return current.get()
     if not d:
         import tempfile
         d = tempfile.mkdtemp(prefix="equilens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(d)
+    if current.isEmpty():
+        sc.setCheckpointDir(d)
     return d
 
 
