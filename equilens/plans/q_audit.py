@@ -139,3 +139,18 @@ SELECT segment, region, priority, CAST(grouping(segment, region, priority) AS IN
 FROM d GROUP BY CUBE (segment, region, priority)""", rows="B10")
 def q_subgroup_cube(spark, sf):
     return au.subgroup_cube(decision_frame(spark, sf), DECISIONS, ("segment", "region", "priority"), min_cell=30)
+
+
+@register("document_group_rates", with_(DOCUMENTS) + """,
+gs AS (
+  SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'overall' END AS attribute,
+         CASE WHEN grouping(lang) = 0 THEN CAST(lang AS VARCHAR) WHEN grouping(source) = 0 THEN CAST(source AS VARCHAR)
+              ELSE 'all' END AS value,
+         CAST(count_if(y IS NOT NULL) AS BIGINT) AS n, CAST(count_if(y = 1) AS BIGINT) AS dflt
+  FROM docs GROUP BY GROUPING SETS ((lang), (source), ()))
+SELECT attribute, value, n,
+       round(CASE WHEN n <> 0 THEN CAST(dflt AS DOUBLE) / CAST(n AS DOUBLE) END * 100, 6) AS default_rate_pct,
+       round(100 - CASE WHEN n <> 0 THEN CAST(dflt AS DOUBLE) / CAST(n AS DOUBLE) END * 100, 6) AS approval_rate_pct
+FROM gs""", rows="B2")
+def q_document_group_rates(spark, sf):
+    return au.group_rates(document_frame(spark, sf), DECISIONS, ("lang", "source"))

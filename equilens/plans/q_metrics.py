@@ -216,3 +216,16 @@ FROM a""", rows="B4 F1")
 def q_approval_gap(spark, sf):
     from ..operators.audit import approval_gap
     return approval_gap(_dec(spark, sf), DECISIONS)
+
+
+@register("parity_by_segment", with_(D) + """,
+pg AS (SELECT segment, CAST(count(*) AS BIGINT) AS n,
+              CAST(count_if(y = 0) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS favorable_rate
+       FROM d WHERE y IS NOT NULL AND segment IS NOT NULL GROUP BY segment),
+rf AS (SELECT favorable_rate AS ref FROM pg WHERE segment = 'BUILDING')
+SELECT segment, n, round(favorable_rate, 6) AS favorable_rate,
+       round(CASE WHEN ref <> 0 THEN favorable_rate / ref END, 6) AS disparate_impact,
+       round(favorable_rate - ref, 6) AS statistical_parity_difference
+FROM pg, rf""", rows="M10")
+def q_parity_by_segment(spark, sf):
+    return fm.parity_by_group(_dec(spark, sf), "segment", "y", "BUILDING")

@@ -283,3 +283,19 @@ t AS (SELECT g, CASE WHEN p < 0.3 THEN 'Low' WHEN p < 0.6 THEN 'Medium' ELSE 'Hi
 SELECT g, risk_level, n, round(n / sum(n) OVER (PARTITION BY g), 6) AS share FROM t""", rows="O6")
 def q_tier_mix(spark, sf):
     return sc.tier_mix(decision_frame(spark, sf), DECISIONS)
+
+
+@register("reweighing_weights", with_(D, WEIGHTS_SQL) + """
+SELECT c.g, c.y, CAST(c.n_gy AS BIGINT) AS n_gy, round(w.weight, 6) AS weight
+FROM c JOIN w ON c.g = w.g AND c.y = w.y""", rows="R1")
+def q_reweighing_weights(spark, sf):
+    t = mg.reweighing_table(_train(spark, sf), DECISIONS)
+    return t.select("g", "y", "n_gy", r6("weight").alias("weight"))
+
+
+@register("stratum_counts", with_(D) + """
+SELECT CAST(y AS VARCHAR) || '_' || CAST(g AS VARCHAR) AS stratum, CAST(count(*) AS BIGINT) AS n
+FROM d GROUP BY 1""", rows="E14 T1")
+def q_stratum_counts(spark, sf):
+    from ..operators.encode import stratum_key
+    return stratum_key(decision_frame(spark, sf), DECISIONS).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
