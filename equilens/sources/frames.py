@@ -73,10 +73,10 @@ def decisions_from_orders(spark: SparkSession, sf_dir: str, o: DataFrame, featur
         F.col("o_orderpriority").alias("priority"),
         right_closed_bins("o_totalprice", PRICE_EDGES, PRICE_LABELS, open_last=True).alias("price_band"),
         "o_totalprice", "c_acctbal",
+        (((F.col("o_orderkey") * SCORE_MULT) % SCORE_MOD + SCORE_Y * y + SCORE_G * g).cast("double")
+         / F.lit(float(SCORE_DEN))).alias("p"),
     )
-    p = ((F.col("id") * SCORE_MULT) % SCORE_MOD + SCORE_Y * F.col("y") + SCORE_G * F.col("g")).cast("double") \
-        / F.lit(float(SCORE_DEN))
-    df = df.withColumn("p", p).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+    df = df.withColumn("pred", (F.col("p") >= 0.5).cast("int"))
     if features:
         lines = order_lines(spark, sf_dir)
         df = (df.join(lines, df.id == lines.l_orderkey, "left").drop("l_orderkey")

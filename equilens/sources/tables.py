@@ -7,8 +7,34 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# (session, path) -> (modification time, DataFrame). Re-reading a parquet
+# path lists its files and reads footers for the schema on the driver each
+# time; queries built one after another on the same tables reuse the relation
+# as long as the path's modification time is unchanged (files added or
+# removed at the top level of the path change it).
+_RELATIONS: dict[tuple[str, str], tuple[int, DataFrame]] = {}
+
+
+def _mtime(spark: SparkSession, path: str) -> int | None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return int(fs.getFileStatus(p).getModificationTime())
+    except Exception:  # noqa: BLE001 - no local context or no such path: do not reuse
+        return None
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Read one table; selecting ``columns`` here keeps the scan's ReadSchema narrow."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (str(id(spark._jsparkSession)), path)
+    mtime = _mtime(spark, path)
+    hit = _RELATIONS.get(key)
+    if mtime is not None and hit is not None and hit[0] == mtime:
+        df = hit[1]
+    else:
+        df = spark.read.parquet(path)
+        if mtime is not None:
+            _RELATIONS[key] = (mtime, df)
     return df.select(*columns) if columns else df
