@@ -42,9 +42,16 @@ def con():
     return c
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, con, key):
-    s = entry.queries()[key](spark, SF).toPandas()
+    sdf = entry.queries()[key](spark, SF)
+    want = {r[0]: r[1] for r in con.execute("DESCRIBE " + entry.oracle_sql()[key]).fetchall()}
+    got = {f.name: SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert got == want
+    s = sdf.toPandas()
     o = con.execute(entry.oracle_sql()[key]).df()
     assert sorted(s.columns) == sorted(o.columns)
     assert len(s) == len(o)
