@@ -46,3 +46,14 @@ def test_threshold_fit_deterministic(spark, rows):
     a = sorted(map(tuple, th.fit_thresholds(df, SPEC).collect()))
     b = sorted(map(tuple, th.fit_thresholds(df.repartition(3), SPEC).collect()))
     assert a == b
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(vals=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 50), st.integers(0, 9)), min_size=1, max_size=120,
+                     unique_by=lambda t: (t[0], t[1])))
+def test_running_totals_any_keys(spark, vals):
+    from equilens.functions.ranking import running_totals
+    df = spark.createDataFrame([(k, float(s), c) for k, s, c in vals], "k int, s double, c long")
+    got = {(r.k, r.s): r.cum_c for r in running_totals(df, ["k"], "s", ["c"], descending=False).collect()}
+    for k, s, _ in vals:
+        assert got[(k, float(s))] == sum(c for kk, ss, c in vals if kk == k and ss <= s)
