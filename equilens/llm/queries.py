@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from ..sources.tables import read_table
-from . import op1_line_dedup, op7_decontam
+from . import op1_line_dedup, op2_quality, op5_html, op7_decontam, op8_toxicity, op9_reputation, op10_mixing
+
+
+def over(query: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered query: the operator over whole tables of the folder."""
+    return lambda spark, sf_dir: query(*[read_table(spark, sf_dir, t) for t in tables])
+
 
 QUERIES = {
-    "op1_line_dedup": lambda spark, d: op1_line_dedup.query(read_table(spark, d, "documents")),
-    "op7_decontamination": lambda spark, d: op7_decontam.query(read_table(spark, d, "documents"),
-                                                              read_table(spark, d, "benchmark")),
+    "op1_line_dedup": over(op1_line_dedup.query, "documents"),
+    "op2_quality": over(op2_quality.query, "documents", "labels"),
+    "op5_html_text": over(op5_html.query, "pages"),
+    "op7_decontamination": over(op7_decontam.query, "documents", "benchmark"),
+    "op8_toxicity": over(op8_toxicity.query, "documents", "labels"),
+    "op9_url_reputation": over(op9_reputation.query, "pages", "labels"),
+    "op10_mixing": over(op10_mixing.query, "documents"),
 }
 
 ORACLE_SQL = {
