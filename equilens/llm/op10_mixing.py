@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, isolate, row_id, write_once
 
 WEIGHTS, MOST_COPIES = (5.0, 2.0, 1.0), 3.0
-CHUNK, FAN, SEED = 20_000, 256, 17
+CHUNK, FAN, SEED = 2_000, 256, 17
 _TOL = 1e-12
 
 
