@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import op1_line_dedup, op2_quality, op3_suffix_dedup, op5_html, op6_ann, op7_decontam, op8_toxicity, op9_reputation, op10_mixing
+from . import (op1_line_dedup, op2_quality, op3_suffix_dedup, op4_jaccard_join, op5_html, op6_ann, op7_decontam, op8_toxicity,
+               op9_reputation, op10_mixing)
 
 
 def over(query: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +20,7 @@ QUERIES = {
     "op1_line_dedup": over(op1_line_dedup.query, "documents"),
     "op2_quality": over(op2_quality.query, "documents", "labels"),
     "op3_suffix_dedup": over(op3_suffix_dedup.query, "documents"),
+    "op4_jaccard_join": over(op4_jaccard_join.query, "documents"),
     "op5_html_text": over(op5_html.query, "pages"),
     "op6_ann": over(op6_ann.query, "embeddings"),
     "op7_decontamination": over(op7_decontam.query, "documents", "benchmark"),
@@ -30,5 +32,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": op1_line_dedup.ORACLE,
     "op3_suffix_dedup": op3_suffix_dedup.ORACLE,
+    "op4_jaccard_join": op4_jaccard_join.ORACLE,
     "op7_decontamination": op7_decontam.ORACLE,
 }
