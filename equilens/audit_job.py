@@ -18,13 +18,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.exprs import materialize_small
 from .operators import history as hi
 from .operators import mitigate as mg
 from .operators import prep as pp
 from .operators import search as se
 from .operators import thresholds as th
 from .operators.fairness import fairness_report
+from .session import write_once
 from .sources import store
 from .sources.frames import FEATURES, decision_frame
 from .spec import CV_FOLDS, DECISIONS, N_TRIALS, AuditSpec
@@ -49,14 +49,14 @@ def run_audit_job(spark: SparkSession, sf_dir: str, out: str, trials: list[dict]
 
     plan = trials if trials is not None else se.trial_rows(n_trials)
     hist = se.cv_search(train, spec, FEATURES, plan, fold="fold", weight_col="weight")
-    hist = materialize_small(hist)          # one row per trial
+    hist = write_once(hist, "history")
     store.write_history(hist, f"{out}/history")
     best_no, params, model = se.refit_best(train, hist, FEATURES, spec.label, "weight")
 
     cut = float(next(t["cut"] for t in plan if int(t["trial"]) == int(best_no)))
     train_scored = se.predict_scores(model, train, FEATURES, "p_model")
     mspec = spec.with_(score="p_model", pred="pred_model")
-    thresholds = materialize_small(th.fit_thresholds(train_scored, mspec))
+    thresholds = write_once(th.fit_thresholds(train_scored, mspec), "thresholds")
     test_scored = se.predict_scores(model, test, FEATURES, "p_model")
     test_scored = th.apply_thresholds(test_scored, mspec, thresholds, out="pred_model")
     report = fairness_report(test_scored, mspec)

@@ -73,26 +73,3 @@ def md5_key(c: str | Column, salt: str) -> Column:
     """Seeded hash used for reproducible ordering (same value in DuckDB:
     ``md5(CAST(id AS VARCHAR) || salt)``)."""
     return F.md5(F.concat(col(c).cast("string"), F.lit(salt)))
-
-
-SMALL_TABLE_ROWS = 10_000
-
-
-def materialize_small(df, max_rows: int = SMALL_TABLE_ROWS):
-    """Evaluate a small derived table once (a fitted threshold table, a code
-    dictionary, a count grid) so that every later use reads fixed rows
-    instead of re-running its plan.
-
-    The size is checked: up to ``max_rows`` rows the table is rebuilt from the
-    collected rows and marked for broadcast (its size is now proven); above
-    that it is written once to the shared checkpoint folder and joined by
-    whatever strategy Spark picks. Nothing is dropped either way.
-    """
-    from pyspark.sql import functions as F
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        # size proven by the count above: safe to broadcast wherever it is joined
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

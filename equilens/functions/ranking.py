@@ -22,10 +22,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_once
 
-def _n_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(n, 1)
+
+#: Distinct values that one range bucket should hold.
+BUCKET_ROWS = 250_000
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Sequence[str],
@@ -36,17 +37,15 @@ def running_totals(df: DataFrame, keys: Sequence[str], order_col: str, value_col
     """
     keys = list(keys)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    nb = _n_buckets(df)
     # Range bounds come from sampling, so two evaluations of the same range
     # exchange may cut the key space differently. The bucketed table is
     # written once to the shared checkpoint folder and both the bucket totals
     # and the per-row pass read that same copy (this also cuts the lineage, so
     # a lost executor re-reads it instead of re-sampling).
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(nb, *[F.col(k) for k in keys], order) \
-               .withColumn("_bucket", F.spark_partition_id()) \
-               .checkpoint(eager=True)
+    values = write_once(df, "values")   # the collapsed table; the number of buckets follows its rows
+    nb = max(1, -(-values.count() // BUCKET_ROWS))
+    ranged = write_once(values.repartitionByRange(nb, *[F.col(k) for k in keys], order)
+                        .withColumn("_bucket", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     wo = Window.orderBy("_bucket") if not keys else Window.partitionBy(*keys).orderBy("_bucket")
     wo = wo.rowsBetween(Window.unboundedPreceding, -1)

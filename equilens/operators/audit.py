@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.exprs import count_if, r6, safe_div
 from ..spec import DISPARATE_IMPACT_THRESHOLD, AuditSpec
 
-# --- fixed values: verdict texts -------------------------------------------
-VERDICT_BELOW = "bias detected: unprivileged approved below 80% of the privileged rate"
-VERDICT_ABOVE = "bias detected: unprivileged approved above 125% of the privileged rate"
-VERDICT_WITHIN = "within fairness threshold (80% rule)"
-SPD_AGAINST_UNPRIV = "bias against the unprivileged group"
-SPD_AGAINST_PRIV = "bias against the privileged group"
-DI_WITHIN = "within legal threshold (0.8-1.25)"
-DI_OUTSIDE = "outside legal threshold"
-# ---------------------------------------------------------------------------
+# verdict codes of the approval ratio, and of the sign of the parity difference
+VERDICT_BELOW = "below_band"
+VERDICT_ABOVE = "above_band"
+VERDICT_WITHIN = "in_band"
+SPD_AGAINST_UNPRIV = "favours_privileged"
+SPD_AGAINST_PRIV = "favours_unprivileged"
+SPD_NONE = "no_difference"
+UNDEFINED = "undefined"
+DI_WITHIN, DI_OUTSIDE = "band_kept", "band_left"
 
 
 def _default_rate(label: str) -> Column:
@@ -39,7 +39,7 @@ def overall_rate(df: DataFrame, spec: AuditSpec) -> DataFrame:
     return agg.select("n", "n_default", r6(rate).alias("default_rate"), r6(1 - rate).alias("approval_rate"))
 
 
-def group_rates(df: DataFrame, spec: AuditSpec, attributes: Sequence[str]) -> DataFrame:
+def group_rates(df: DataFrame, spec: AuditSpec, attributes: Sequence[str], rounded: bool = True) -> DataFrame:
     """B2: default rate (percent) and count per value of every attribute, plus
     the overall row, from one grouping-sets aggregate (labelled by grouping()).
     Approval rate = 100 - default rate (SURVEY Q5)."""
@@ -58,7 +58,8 @@ def group_rates(df: DataFrame, spec: AuditSpec, attributes: Sequence[str]) -> Da
     rate = safe_div(F.col("_d"), F.col("n")) * 100
     return agg.select(label.otherwise(F.lit("overall")).alias("attribute"),
                       value.otherwise(F.lit("all")).alias("value"),
-                      "n", r6(rate).alias("default_rate_pct"), r6(100 - rate).alias("approval_rate_pct"))
+                      "n", (r6(rate) if rounded else rate).alias("default_rate_pct"),
+                      (r6(100 - rate) if rounded else 100 - rate).alias("approval_rate_pct"))
 
 
 def crosstab_norm(df: DataFrame, spec: AuditSpec, row: str | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def crosstab_norm(df: DataFrame, spec: AuditSpec, row: str | None = None) -> Dat
                       r6(safe_div(F.col("n1"), tot)).alias("share_y1"))
 
 
-def approval_gap(df: DataFrame, spec: AuditSpec) -> DataFrame:
+def approval_gap(df: DataFrame, spec: AuditSpec, rounded: bool = True) -> DataFrame:
     """B4 (with F1 masks as conditional sums): approval rate of each side, the
     gap in percentage points (unprivileged - privileged) and the ratio."""
     y, g = F.col(spec.label), F.col(spec.group)
@@ -83,8 +84,9 @@ def approval_gap(df: DataFrame, spec: AuditSpec) -> DataFrame:
     agg = df.agg(count_if(ok & priv).alias("_np"), count_if(ok & priv & (y == spec.favorable)).alias("_ap"),
                  count_if(ok & unpriv).alias("_nu"), count_if(ok & unpriv & (y == spec.favorable)).alias("_au"))
     rp, ru = safe_div(F.col("_ap"), F.col("_np")), safe_div(F.col("_au"), F.col("_nu"))
-    return agg.select(r6(rp).alias("approval_rate_privileged"), r6(ru).alias("approval_rate_unprivileged"),
-                      r6((ru - rp) * 100).alias("gap_points"), r6(safe_div(ru, rp)).alias("approval_ratio"))
+    shown = r6 if rounded else (lambda c: c)
+    return agg.select(shown(rp).alias("approval_rate_privileged"), shown(ru).alias("approval_rate_unprivileged"),
+                      shown((ru - rp) * 100).alias("gap_points"), shown(safe_div(ru, rp)).alias("approval_ratio"))
 
 
 def _grid_long(df: DataFrame, spec: AuditSpec, rows: str, cols: str) -> DataFrame:
@@ -109,15 +111,16 @@ def intersection_grid(df: DataFrame, spec: AuditSpec, rows: str, cols: str, valu
 def intersection_extremes(df: DataFrame, spec: AuditSpec, rows: str, cols: str, min_cell: int = 1) -> DataFrame:
     """Lowest and highest default rate over the grid cells with at least
     ``min_cell`` rows, the disparity in points and which cells (ties broken by
-    the cell name)."""
-    cells = _grid_long(df, spec, rows, cols).where(F.col("n") >= min_cell) \
-        .withColumn("cell", F.concat_ws("/", F.col(rows).cast("string"), F.col(cols).cast("string")))
+    the cell name), and how many smaller cells and rows that leaves out."""
+    large = F.col("n") >= min_cell
+    cells = _grid_long(df, spec, rows, cols).withColumn("cell", F.concat_ws("/", F.col(rows).cast("string"), F.col(cols).cast("string")))
     # ties broken by the cell name in both directions
-    agg = cells.agg(F.min(F.struct(F.col("default_rate"), F.col("cell"))).alias("lo"),
-                    F.min(F.struct((-F.col("default_rate")).alias("neg_rate"), F.col("cell"))).alias("hi"),
-                    F.count(F.lit(1)).alias("n_cells"))
+    agg = cells.agg(F.min(F.when(large, F.struct(F.col("default_rate"), F.col("cell")))).alias("lo"),
+                    F.min(F.when(large, F.struct((-F.col("default_rate")).alias("neg_rate"), F.col("cell")))).alias("hi"),
+                    count_if(large).alias("n_cells"), count_if(~large).alias("n_excluded_cells"),
+                    F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)).cast("bigint").alias("n_excluded_rows"))
     return agg.select(
-        "n_cells",
+        "n_cells", "n_excluded_cells", "n_excluded_rows",
         r6(F.col("lo.default_rate")).alias("min_rate"), F.col("lo.cell").alias("min_cell"),
         r6(-F.col("hi.neg_rate")).alias("max_rate"), F.col("hi.cell").alias("max_cell"),
         r6((-F.col("hi.neg_rate") - F.col("lo.default_rate")) * 100).alias("disparity_points"))
@@ -143,7 +146,7 @@ def attribute_impact(df: DataFrame, spec: AuditSpec, attributes: Sequence[str])
     """For every attribute, spread of the default rate across its values
     (max - min in points, min/max ratio). Built on B2's grouping-sets table;
     attributes that are proxies of the protected one show a large spread."""
-    gr = group_rates(df, spec, attributes).where(F.col("attribute") != "overall")
+    gr = group_rates(df, spec, attributes, rounded=False).where(F.col("attribute") != "overall")
     agg = gr.groupBy("attribute").agg(F.count(F.lit(1)).alias("n_values"),
                                       F.min("default_rate_pct").alias("_lo"),
                                       F.max("default_rate_pct").alias("_hi"))
@@ -156,17 +159,18 @@ def attribute_impact(df: DataFrame, spec: AuditSpec, attributes: Sequence[str])
 def bias_verdict(df: DataFrame, spec: AuditSpec) -> DataFrame:
     """Verdict text from the approval ratio and the sign of the statistical
     parity difference (both on the label, as audited)."""
-    gap = approval_gap(df, spec)
+    gap = approval_gap(df, spec, rounded=False)
     ratio = F.col("approval_ratio")
     spd = F.col("approval_rate_unprivileged") - F.col("approval_rate_privileged")
     return gap.select(
-        "approval_ratio",
-        F.when(ratio < DISPARATE_IMPACT_THRESHOLD, F.lit(VERDICT_BELOW))
+        r6(ratio).alias("approval_ratio"),
+        F.when(ratio.isNull(), F.lit(UNDEFINED)).when(ratio < DISPARATE_IMPACT_THRESHOLD, F.lit(VERDICT_BELOW))
          .when(ratio > 1 / DISPARATE_IMPACT_THRESHOLD, F.lit(VERDICT_ABOVE))
          .otherwise(F.lit(VERDICT_WITHIN)).alias("verdict"),
-        F.when((ratio >= DISPARATE_IMPACT_THRESHOLD) & (ratio <= 1 / DISPARATE_IMPACT_THRESHOLD),
+        F.when(ratio.isNull(), F.lit(UNDEFINED)).when((ratio >= DISPARATE_IMPACT_THRESHOLD) & (ratio <= 1 / DISPARATE_IMPACT_THRESHOLD),
                F.lit(DI_WITHIN)).otherwise(F.lit(DI_OUTSIDE)).alias("di_status"),
-        F.when(spd < 0, F.lit(SPD_AGAINST_UNPRIV)).otherwise(F.lit(SPD_AGAINST_PRIV)).alias("spd_direction"))
+        F.when(spd.isNull(), F.lit(UNDEFINED)).when(spd < 0, F.lit(SPD_AGAINST_UNPRIV))
+         .when(spd > 0, F.lit(SPD_AGAINST_PRIV)).otherwise(F.lit(SPD_NONE)).alias("spd_direction"))
 
 
 def subgroup_cube(df: DataFrame, spec: AuditSpec, attributes: Sequence[str], min_cell: int = 30) -> DataFrame:

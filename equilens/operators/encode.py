@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import recode
+from ..session import write_once
 from ..spec import AuditSpec
 
 
@@ -26,10 +27,9 @@ def derive_group(df: DataFrame, col: str, dictionary: DataFrame, privileged_labe
                  label_out: str = "group_label", binary_out: str = "g") -> DataFrame:
     """E2 + E6: group label from a code -> label dictionary (left join, so an
     unmapped code gives NULL) and its binary form (privileged = 1)."""
-    from ..functions.exprs import materialize_small
     d = dictionary.select(F.col(dictionary.columns[0]).alias("_code"), F.col(dictionary.columns[1]).alias(label_out))
-    # a code list: broadcast after a size check (checkpointed and joined normally above the bound)
-    out = df.join(materialize_small(d), F.col(col) == F.col("_code"), "left").drop("_code")
+    # Spark knows the size of a code list (or of the table it is read from) and picks the join by it
+    out = df.join(d, F.col(col) == F.col("_code"), "left").drop("_code")
     return out.withColumn(binary_out, F.when(F.col(label_out).isNotNull(),
                                              (F.col(label_out) == F.lit(privileged_label)).cast("int")))
 
@@ -48,9 +48,8 @@ def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") ->
     """E5: integer codes in lexicographic order of the distinct values
     (A40, A41, A410, A42, ...), NULL -> -1. The code table (distinct values
     of all columns from one unpivoted pass, ranked per column by a distributed
-    running count) is evaluated once with a size check (``materialize_small``)
-    and joined back by value."""
-    from ..functions.exprs import materialize_small
+    running count) is written once and joined back by value; the join is
+    planned from its true size."""
     # all columns' distinct values in one pass (unpivot + distinct), ranked per column
     values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"))
                                            for c in cols])).alias("_u")).select("_u._c", "_u._v") \
@@ -60,7 +59,7 @@ def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") ->
     from ..functions.ranking import running_totals
     ranked = running_totals(values.withColumn("_one", F.lit(1)), ["_c"], "_v", ["_one"], descending=False)
     codes = ranked.select("_c", "_v", (F.col("cum__one") - 1).cast("int").alias("_code"))
-    codes = materialize_small(codes)   # a dictionary: evaluated once, size-checked
+    codes = write_once(codes, "codes")
     out = df
     for c in cols:
         cc = codes.where(F.col("_c") == c).select(F.col("_v").alias(f"_v_{c}"), F.col("_code").alias(f"{c}{suffix}"))

@@ -41,14 +41,15 @@ def parity_sums(spec: AuditSpec, outcome: str, tag: str = "") -> list[Column]:
             wsum(ok & priv, w).alias(f"_n_p{tag}"), wsum(ok & priv & fav, w).alias(f"_f_p{tag}")]
 
 
-def parity_cols(prefix: str = "", tag: str = "") -> list[Column]:
+def parity_cols(prefix: str = "", tag: str = "", rounded: bool = True) -> list[Column]:
     """DI = rate_u / rate_p (NULL when rate_p is 0 or undefined), SPD = rate_u - rate_p."""
     ru = safe_div(F.col(f"_f_u{tag}"), F.col(f"_n_u{tag}"))
     rp = safe_div(F.col(f"_f_p{tag}"), F.col(f"_n_p{tag}"))
-    return [r6(ru).alias(f"{prefix}favorable_rate_unprivileged"),
-            r6(rp).alias(f"{prefix}favorable_rate_privileged"),
-            r6(safe_div(ru, rp)).alias(f"{prefix}disparate_impact"),
-            r6(ru - rp).alias(f"{prefix}statistical_parity_difference")]
+    shown = r6 if rounded else (lambda c: c)
+    return [shown(ru).alias(f"{prefix}favorable_rate_unprivileged"),
+            shown(rp).alias(f"{prefix}favorable_rate_privileged"),
+            shown(safe_div(ru, rp)).alias(f"{prefix}disparate_impact"),
+            shown(ru - rp).alias(f"{prefix}statistical_parity_difference")]
 
 
 def parity(df: DataFrame, spec: AuditSpec, outcome: str, by: Sequence[str] = ()) -> DataFrame:
@@ -74,23 +75,23 @@ def eod_sums(spec: AuditSpec) -> list[Column]:
             wsum(base & priv, w).alias("_e_np"), wsum(base & priv & hit, w).alias("_e_hp")]
 
 
-def eod_col() -> Column:
+def eod_col(rounded: bool = True) -> Column:
     """M3: P(pred=fav | y=fav, unpriv) - P(pred=fav | y=fav, priv); an empty side counts 0."""
     tu = F.coalesce(safe_div(F.col("_e_hu"), F.col("_e_nu")), F.lit(0.0))
     tp = F.coalesce(safe_div(F.col("_e_hp"), F.col("_e_np")), F.lit(0.0))
-    return r6(tu - tp).alias("equal_opportunity_difference")
+    return (r6(tu - tp) if rounded else tu - tp).alias("equal_opportunity_difference")
 
 
 def equal_opportunity(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(*eod_sums(spec)).select(*by, eod_col())
 
 
-def fairness_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
+def fairness_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), rounded: bool = True) -> DataFrame:
     """M4: DI and SPD on the label (as reported by the audited pipeline), EOD on
     the decision, plus the prediction-based DI / SPD, from one aggregate."""
     agg = df.groupBy(*by).agg(*parity_sums(spec, spec.label), *eod_sums(spec),
                               *parity_sums(spec, spec.pred, "_pr"))
-    return agg.select(*by, *parity_cols()[2:], eod_col(), *parity_cols("prediction_", "_pr")[2:])
+    return agg.select(*by, *parity_cols(rounded=rounded)[2:], eod_col(rounded), *parity_cols("prediction_", "_pr", rounded)[2:])
 
 
 def _di_pass(v: Column) -> Column:
@@ -110,7 +111,7 @@ def status_cols() -> list[Column]:
 def fairness_status(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
     """M5 long form: one row per (metric) with value, threshold band and pass flag;
     the M6 verdicts are ``all_fair`` / ``parity_compliant`` columns."""
-    fm = fairness_metrics(df, spec, by)
+    fm = fairness_metrics(df, spec, by, rounded=False)   # compared as they are, rounded when shown
     wide = fm.select(*by, *FAIRNESS_COLS, *status_cols())
     long = wide.select(*by, "all_fair", "parity_compliant", F.explode(F.array(
         F.struct(F.lit("disparate_impact").alias("metric"), F.col("disparate_impact").alias("value"),
@@ -120,7 +121,7 @@ def fairness_status(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> D
         F.struct(F.lit("equal_opportunity_difference").alias("metric"),
                  F.col("equal_opportunity_difference").alias("value"), F.col("eod_pass").alias("pass")),
     )).alias("m"))
-    return long.select(*by, "m.metric", "m.value", F.col("m.pass").alias("passed"), "all_fair",
+    return long.select(*by, "m.metric", r6("m.value").alias("value"), F.col("m.pass").alias("passed"), "all_fair",
                        "parity_compliant")
 
 
@@ -135,32 +136,34 @@ def composite_col(bal: Column, f1: Column, auc: Column, di: Column, spd: Column,
     return (1 - weight) * perf + weight * fair
 
 
-def fairness_report(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
+def fairness_report(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), parity_on: str | None = None,
+                    rounded: bool = True) -> DataFrame:
     """M8 (and M9 with ``by=['model']``): performance, fairness, pass/fail and
     the composite score, one row per key. All metrics for all models come from
-    grouped aggregates of one stacked table; nothing is collected per model."""
+    grouped aggregates of one stacked table; nothing is collected per model.
+    Parity is measured on the label, or on ``parity_on`` (the decision, when
+    models compete). Verdicts and the score use unrounded values."""
     # confusion counts and parity sums share one aggregate (one scan); the
     # ranking metrics need their own collapse by score
     from .metrics import confusion_sums, ranking_metrics, rates_from_confusion
-    agg = df.groupBy(*by).agg(*confusion_sums(spec), *parity_sums(spec, spec.label), *eod_sums(spec),
+    agg = df.groupBy(*by).agg(*confusion_sums(spec), *parity_sums(spec, parity_on or spec.label), *eod_sums(spec),
                               *parity_sums(spec, spec.pred, "_pr"))
-    both = rates_from_confusion(agg, keep=[*by, *[c for c in agg.columns if c.startswith("_")]])
+    both = rates_from_confusion(agg, keep=[*by, *[c for c in agg.columns if c.startswith("_")]], rounded=False)
     both = both.select(*by, "accuracy", "balanced_accuracy", "precision", "recall", "f1_score",
-                       *parity_cols()[2:], eod_col(), *parity_cols("prediction_", "_pr")[2:])
+                       *parity_cols(rounded=False)[2:], eod_col(False), *parity_cols("prediction_", "_pr", False)[2:])
     if spec.score is None:
         rk = agg.select(*by, F.lit(None).cast("double").alias("roc_auc"),
                         F.lit(None).cast("double").alias("average_precision"))
     else:
-        rk = ranking_metrics(df, spec, by)
+        rk = ranking_metrics(df, spec, by, rounded=False)
     rep = join_rows(both, rk, by, "left")
-    rep = rep.select(*by, "accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "roc_auc",
-                     "average_precision", *FAIRNESS_COLS, "prediction_disparate_impact",
-                     "prediction_statistical_parity_difference")
-    return rep.select(
-        "*", *status_cols(),
-        r6(composite_col(F.col("balanced_accuracy"), F.col("f1_score"), F.col("roc_auc"),
-                         F.col("disparate_impact"), F.col("statistical_parity_difference"))
-           ).alias("composite_score"))
+    values = ("accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "roc_auc", "average_precision",
+              *FAIRNESS_COLS, "prediction_disparate_impact", "prediction_statistical_parity_difference")
+    score = composite_col(F.col("balanced_accuracy"), F.col("f1_score"), F.col("roc_auc"),
+                          F.col("disparate_impact"), F.col("statistical_parity_difference"))
+    shown = r6 if rounded else F.col
+    return rep.select(*by, *[shown(c).alias(c) for c in values], *status_cols(),
+                      (r6(score) if rounded else score).alias("composite_score"))
 
 
 def parity_by_group(df: DataFrame, group: str, outcome: str, reference: str | int,

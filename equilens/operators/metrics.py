@@ -41,20 +41,21 @@ def confusion(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFra
     return df.groupBy(*by).agg(*confusion_sums(spec))
 
 
-def rates_from_confusion(cm: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def rates_from_confusion(cm: DataFrame, keep: Sequence[str] = (), rounded: bool = True) -> DataFrame:
     """C2-C6 from confusion counts: accuracy, balanced accuracy (mean of the
     recalls that are defined), precision / recall / F1 (0 when undefined)."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     n = tn + fp + fn + tp
     rec1, rec0 = safe_div(tp, tp + fn), safe_div(tn, tn + fp)
     bal = F.when(rec1.isNotNull() & rec0.isNotNull(), (rec1 + rec0) / 2).otherwise(F.coalesce(rec1, rec0))
+    shown = r6 if rounded else (lambda c: c)
     return cm.select(
         *keep,
-        r6(safe_div(tp + tn, n)).alias("accuracy"),
-        r6(bal).alias("balanced_accuracy"),
-        r6(zero_div(tp, tp + fp)).alias("precision"),
-        r6(zero_div(tp, tp + fn)).alias("recall"),
-        r6(zero_div(2 * tp, 2 * tp + fp + fn)).alias("f1_score"),
+        shown(safe_div(tp + tn, n)).alias("accuracy"),
+        shown(bal).alias("balanced_accuracy"),
+        shown(zero_div(tp, tp + fp)).alias("precision"),
+        shown(zero_div(tp, tp + fn)).alias("recall"),
+        shown(zero_div(2 * tp, 2 * tp + fp + fn)).alias("f1_score"),
     )
 
 
@@ -63,7 +64,7 @@ def performance(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataF
     return rates_from_confusion(confusion(df, spec, by), keep=by)
 
 
-def ranking_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), rounded: bool = True) -> DataFrame:
     """C7 ROC-AUC (ties count one half) and C8 average precision (step sum).
 
     Scores collapse to distinct values per ``by`` key first, then running
@@ -80,11 +81,12 @@ def ranking_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> D
         F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("_auc_num"),
         F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("_ap_num"),
     )
+    shown = r6 if rounded else (lambda c: c)
     return agg.select(
         *by,
-        r6(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                  F.col("_auc_num") / (F.col("P").cast("double") * F.col("N")))).alias("roc_auc"),
-        r6(safe_div(F.col("_ap_num"), F.col("P"))).alias("average_precision"),
+        shown(F.when((F.col("P") > 0) & (F.col("N") > 0),
+                     F.col("_auc_num") / (F.col("P").cast("double") * F.col("N")))).alias("roc_auc"),
+        shown(safe_div(F.col("_ap_num"), F.col("P"))).alias("average_precision"),
     )
 
 

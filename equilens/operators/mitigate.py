@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_key
 from ..functions.ranking import hash_rank
+from ..session import write_once
 from ..spec import CV_FOLDS, POSITIVE_CLASS_MULTIPLIER, RANDOM_SEED, AuditSpec
 
 SPLIT_SALT = f"-{RANDOM_SEED}"
@@ -42,10 +43,11 @@ def reweighing_table(df: DataFrame, spec: AuditSpec) -> DataFrame:
 
 
 def apply_weights(df: DataFrame, table: DataFrame, spec: AuditSpec, out: str = "weight") -> DataFrame:
-    """R1 apply: join the (group, label) weight table. It has at most
-    groups x labels rows; AQE turns the join into a broadcast from the
-    table's runtime size. Rows outside the table keep weight 1."""
-    t = table.select(spec.group, spec.label, F.col("weight").alias("_w"))
+    """R1 apply: join the (group, label) weight table. It is written first, so
+    the join is planned from its true size: a small table is broadcast and the
+    rows are never shuffled onto a few (group, label) keys. Rows outside the
+    table keep weight 1."""
+    t = write_once(table.select(spec.group, spec.label, F.col("weight").alias("_w")), "weights")
     return df.join(t, [spec.group, spec.label], "left") \
              .withColumn(out, F.coalesce(F.col("_w"), F.lit(1.0))).drop("_w")
 
@@ -62,7 +64,7 @@ def class_weights(df: DataFrame, spec: AuditSpec, base_weight: str | None = None
     cnt = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("_ny"))
     cnt = cnt.select(y, (F.sum("_ny").over(Window.partitionBy(F.lit(0))).cast("double") /
                          (F.lit(2.0) * F.col("_ny"))).alias("class_weight"))
-    out_df = df.join(F.broadcast(cnt), y, "left")   # at most one row per label value (binary label)
+    out_df = df.join(write_once(cnt, "class-weights"), y, "left")   # planned from the table's true size
     base = F.col(base_weight) if base_weight else F.lit(1.0)
     return out_df.withColumn(out, F.col("class_weight") * base)
 
@@ -114,10 +116,7 @@ def undersample(df: DataFrame, spec: AuditSpec) -> DataFrame:
     the smallest class has, chosen by seeded hash order (reproducible in SQL,
     unlike ``sampleBy``). This is the sampling operator itself."""
     y = spec.label
-    hashed = df.where(F.col(y).isNotNull()).withColumn("_h", md5_key(spec.id, SAMPLE_SALT))
-    ranked = hash_rank(hashed, [y], "_h", "_rank")
-    # smallest class size: the per-class sizes are one row per class
-    n_min = ranked.select(y, "_rank_of").distinct().select(F.min("_rank_of").alias("_nmin"))
-    # one-row table: a proven broadcast
-    return ranked.join(F.broadcast(n_min), F.col("_rank") <= F.col("_nmin")) \
-                 .drop("_h", "_rank", "_rank_of", "_nmin")
+    labelled = df.where(F.col(y).isNotNull())
+    n_min = labelled.groupBy(y).count().agg(F.min("count")).first()[0] or 0   # one number
+    ranked = hash_rank(labelled.withColumn("_h", md5_key(spec.id, SAMPLE_SALT)), [y], "_h", "_rank")
+    return ranked.where(F.col("_rank") <= F.lit(n_min)).drop("_h", "_rank", "_rank_of")

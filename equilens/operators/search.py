@@ -22,10 +22,12 @@ import json
 import math
 from collections.abc import Sequence
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import materialize_small, r6
+from ..functions.exprs import r6
+from ..session import write_once
 from ..spec import FAIRNESS_WEIGHT, MODEL_FAMILIES, N_TRIALS, RANDOM_SEED, AuditSpec
 from .fairness import composite_col
 from .metrics import ranking_metrics
@@ -106,7 +108,7 @@ def evaluate_cuts(df: DataFrame, spec: AuditSpec, trials: Sequence[dict], fold:
     counts = base.groupBy(F.col(fold).alias("fold"), F.col(spec.group).alias("grp"), F.col(spec.label).alias("lab"),
                           bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
     # folds x groups x labels x (trials + 1) rows: evaluated once, read three times below
-    counts = materialize_small(counts)
+    counts = write_once(counts, "cut-counts")
     # dense (fold, group, label, bucket) grid: a few hundred rows
     keys = counts.select("fold", "grp", "lab").distinct()
     grid = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("b"))
@@ -139,14 +141,15 @@ def evaluate_cuts(df: DataFrame, spec: AuditSpec, trials: Sequence[dict], fold:
     f1 = F.when(2 * tp + fp + fn != 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
     ru = F.when(F.col("n_u") != 0, F.col("fav_u") / F.col("n_u"))
     rp = F.when(F.col("n_p") != 0, F.col("fav_p") / F.col("n_p"))
-    m = agg.select("trial", "model_type", "cut", "fold", r6(bal).alias("bal"), r6(f1).alias("f1"),
-                   r6(F.when(rp != 0, ru / rp)).alias("di"), r6(ru - rp).alias("spd"))
-    auc = ranking_metrics(df.withColumnRenamed(fold, "fold"), spec, ["fold"]).select("fold", "roc_auc")
+    m = agg.select("trial", "model_type", "cut", "fold", bal.alias("bal"), f1.alias("f1"),
+                   F.when(rp != 0, ru / rp).alias("di"), (ru - rp).alias("spd"))
+    auc = ranking_metrics(df.withColumnRenamed(fold, "fold"), spec, ["fold"], rounded=False).select("fold", "roc_auc")
     m = m.join(F.broadcast(auc), "fold", "left")   # one row per fold
-    m = m.withColumn("fold_score", r6(composite_col(F.col("bal"), F.col("f1"), F.col("roc_auc"), F.col("di"),
-                                                    F.col("spd"), weight)))
+    m = m.withColumn("fold_score", composite_col(F.col("bal"), F.col("f1"), F.col("roc_auc"), F.col("di"),
+                                                 F.col("spd"), weight))
     if per_fold:
         return m
+    # the mean is rounded once, at the end: trials that differ only by the order of summation must tie
     return m.groupBy("trial", "model_type", "cut").agg(r6(F.avg("fold_score")).alias("score"),
                                                        F.count(F.lit(1)).alias("n_folds"))
 
@@ -162,7 +165,7 @@ def family_estimator(params: dict, features_col: str = "features", label_col: st
     min(depth, ceil(log2(leaves)))); logistic_regression -> LogisticRegression with
     regParam = 1 / (C * n) with n the total sample weight (the row count when
     unweighted) and elasticNetParam 1 (l1), 0 (l2) or the l1 ratio.
-    The trial's ``cut`` becomes the decision threshold (``thresholds``).
+    The trial's ``cut``, an extension of ours, is applied to the scores, not to the model.
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     fam = params["model_type"]
@@ -239,6 +242,8 @@ def feature_importances(model, features: Sequence[str], spark: SparkSession) ->
         vals = model.featureImportances.toArray().tolist()
     else:
         vals = [abs(v) for v in model.coefficients.toArray().tolist()]
+    if len(vals) != len(features):
+        raise ValueError(f"{len(vals)} importances for {len(features)} features")
     return spark.createDataFrame(list(zip(features, [float(v) for v in vals])), "feature string, importance double")
 
 
@@ -246,22 +251,25 @@ def cv_search(df: DataFrame, spec: AuditSpec, features: Sequence[str], trials: S
               fold: str = "fold", weight_col: str | None = None) -> DataFrame:
     """L8 with real fits: for every trial and fold fit on the other folds,
     score the held-out fold, stack all validation scores with (trial, fold)
-    keys and compute every report in one grouped job. A failed fit scores 0.
-    Returns the history table (trial, model_type, score, params)."""
+    keys and compute every report in one grouped job. Parity is that of the
+    decision, so models with different decisions differ in fairness. Parameters
+    that a family rejects score 0 with their ``reason``; a lost executor, a
+    missing column or any other fault is raised.
+    Returns the history table (trial, model_type, score, params, reason)."""
     from .fairness import fairness_report
     spark = df.sparkSession
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # k values (3)
     n_rows = None
     stacked = []
-    failed = []
+    failed: dict[int, str] = {}
     for t in trials:
         params = json.loads(t["params"])
         for k in folds:
             tr, va = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
             try:
                 model = fit_family(tr, params, features, spec.label, weight_col, n_rows=n_rows)
-            except Exception:  # noqa: BLE001 - a failed configuration scores 0
-                failed.append(int(t["trial"]))
+            except (IllegalArgumentException, ValueError) as e:   # parameters the family rejects; anything else is raised
+                failed[int(t["trial"])] = str(e)[:500]
                 break
             sc = predict_scores(model, va.select(spec.id, spec.label, spec.group, *features), features, "p_model")
             stacked.append(sc.select(F.lit(int(t["trial"])).alias("trial"), F.lit(int(k)).alias("fold"),
@@ -273,10 +281,11 @@ def cv_search(df: DataFrame, spec: AuditSpec, features: Sequence[str], trials: S
     for s in stacked[1:]:
         allv = allv.unionByName(s)
     mspec = spec.with_(score="p_model", pred="pred_model")
-    rep = fairness_report(allv, mspec, ["trial", "fold"])
+    rep = fairness_report(allv, mspec, ["trial", "fold"], parity_on=mspec.pred, rounded=False)
     per_trial = rep.groupBy("trial").agg(r6(F.avg("composite_score")).alias("score"))
     tt = trial_table(spark, 0) if not trials else spark.createDataFrame(
         [(int(t["trial"]), t["model_type"], t["params"]) for t in trials], "trial int, model_type string, params string")
     hist = tt.join(per_trial, "trial", "left").withColumn(
-        "score", F.when(F.col("trial").isin(failed), F.lit(0.0)).otherwise(F.coalesce("score", F.lit(0.0))))
-    return hist.select("trial", "model_type", "score", "params")
+        "score", F.when(F.col("trial").isin(list(failed)), F.lit(0.0)).otherwise(F.coalesce("score", F.lit(0.0))))
+    reason = F.element_at(F.create_map(*[F.lit(x) for kv in failed.items() for x in kv]), F.col("trial")) if failed else F.lit(None).cast("string")
+    return hist.select("trial", "model_type", "score", "params", reason.alias("reason"))

@@ -11,7 +11,8 @@ the TPR only changes at observed scores, so the candidates are the distinct
 scores in range plus the upper bound. Counts below each candidate come from
 the two-level prefix sum over (group, distinct score), never from a window
 over all rows. Ties in the objective go to the threshold nearest 0.5, then
-the smaller one.
+the smaller one. The fitted table keeps full precision: the decision is ``p >= t``
+at an observed score, so a rounded threshold would flip the rows at it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r6
+from ..functions.exprs import r6, zero_div
 from ..functions.ranking import running_totals
 from ..spec import DEFAULT_CUT, THRESHOLD_BOUNDS, AuditSpec
 from .metrics import group_confusion
@@ -76,7 +77,7 @@ def fit_thresholds(df: DataFrame, spec: AuditSpec, objective: str = "equal_oppor
     scored = cands.select("grp", "t", obj.alias("obj"))
     best = scored.groupBy("grp").agg(
         F.min(F.struct(F.col("obj"), F.abs(F.col("t") - DEFAULT_CUT).alias("dist"), F.col("t"))).alias("b"))
-    fitted = best.select(F.col("grp").alias(spec.group), r6("b.t").alias("threshold"), r6("b.obj").alias("objective"))
+    fitted = best.select(F.col("grp").alias(spec.group), F.col("b.t").alias("threshold"), F.col("b.obj").alias("objective"))
     privileged = df.sparkSession.range(1).select(
         F.lit(spec.privileged).cast(df.schema[spec.group].dataType).alias(spec.group),
         F.lit(DEFAULT_CUT).alias("threshold"), F.lit(None).cast("double").alias("objective"))
@@ -105,6 +106,6 @@ def threshold_effect(df: DataFrame, spec: AuditSpec, thresholds: DataFrame) -> D
     gc = group_confusion(adj, spec, "pred_adj")
     # the privileged rate is read from the same grouped table (one row per
     # group) by a window over it, not by a second aggregate of the data
-    ref = F.max(F.when(F.col(spec.group) == F.lit(spec.privileged), F.col("tpr"))).over(Window.partitionBy())
-    return gc.select(spec.group, "tn", "fp", "fn", "tp", "tpr", "fpr",
-                     r6(F.abs(F.col("tpr") - ref)).alias("tpr_gap"))
+    tpr = zero_div(F.col("tn"), F.col("tn") + F.col("fp"))   # unrounded
+    ref = F.max(F.when(F.col(spec.group) == F.lit(spec.privileged), tpr)).over(Window.partitionBy())
+    return gc.select(spec.group, "tn", "fp", "fn", "tp", "tpr", "fpr", r6(F.abs(tpr - ref)).alias("tpr_gap"))

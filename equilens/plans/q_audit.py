@@ -66,11 +66,12 @@ def q_intersection_grid(spark, sf):
 cells AS (
   SELECT lang || '/' || source AS cell, CAST(count(*) AS BIGINT) AS n,
          CAST(count_if(y = 1) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS default_rate
-  FROM docs WHERE y IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source
-  HAVING count(*) >= 5),
-lo AS (SELECT default_rate AS r, cell FROM cells ORDER BY default_rate, cell LIMIT 1),
-hi AS (SELECT default_rate AS r, cell FROM cells ORDER BY default_rate DESC, cell LIMIT 1)
-SELECT (SELECT CAST(count(*) AS BIGINT) FROM cells) AS n_cells,
+  FROM docs WHERE y IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source),
+lo AS (SELECT default_rate AS r, cell FROM cells WHERE n >= 5 ORDER BY default_rate, cell LIMIT 1),
+hi AS (SELECT default_rate AS r, cell FROM cells WHERE n >= 5 ORDER BY default_rate DESC, cell LIMIT 1)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM cells WHERE n >= 5) AS n_cells,
+       (SELECT CAST(count(*) AS BIGINT) FROM cells WHERE n < 5) AS n_excluded_cells,
+       (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM cells WHERE n < 5) AS n_excluded_rows,
        round(lo.r, 6) AS min_rate, lo.cell AS min_cell, round(hi.r, 6) AS max_rate, hi.cell AS max_cell,
        round((hi.r - lo.r) * 100, 6) AS disparity_points
 FROM lo, hi""", rows="B6")
@@ -101,7 +102,7 @@ gs AS (
               WHEN grouping(priority) = 0 THEN 'priority' ELSE 'overall' END AS attribute,
          CAST(count_if(y IS NOT NULL) AS BIGINT) AS n, CAST(count_if(y = 1) AS BIGINT) AS dflt
   FROM d GROUP BY GROUPING SETS ((segment), (price_band), (region), (nation), (priority), ())),
-gr AS (SELECT attribute, round(CASE WHEN n <> 0 THEN CAST(dflt AS DOUBLE) / CAST(n AS DOUBLE) END * 100, 6) AS r
+gr AS (SELECT attribute, CASE WHEN n <> 0 THEN CAST(dflt AS DOUBLE) / CAST(n AS DOUBLE) END * 100 AS r
        FROM gs WHERE attribute <> 'overall')
 SELECT attribute, CAST(count(*) AS BIGINT) AS n_values, round(min(r), 6) AS min_default_rate_pct,
        round(max(r), 6) AS max_default_rate_pct, round(max(r) - min(r), 6) AS spread_points,
@@ -112,20 +113,16 @@ def q_attribute_impact(spark, sf):
 
 
 @register("bias_verdict", with_(D) + """,
-a AS (SELECT round(CAST(count_if(y = 0 AND g = 1) AS DOUBLE) / CAST(count_if(y IS NOT NULL AND g = 1) AS DOUBLE), 6) AS rp,
-             round(CAST(count_if(y = 0 AND g <> 1) AS DOUBLE) / CAST(count_if(y IS NOT NULL AND g <> 1) AS DOUBLE), 6) AS ru,
-             round((CAST(count_if(y = 0 AND g <> 1) AS DOUBLE) / CAST(count_if(y IS NOT NULL AND g <> 1) AS DOUBLE))
-                   / (CAST(count_if(y = 0 AND g = 1) AS DOUBLE) / CAST(count_if(y IS NOT NULL AND g = 1) AS DOUBLE)), 6) AS ratio
-      FROM d)
-SELECT ratio AS approval_ratio,
-       CASE WHEN ratio < 0.8 THEN 'bias detected: unprivileged approved below 80% of the privileged rate'
-            WHEN ratio > 1.25 THEN 'bias detected: unprivileged approved above 125% of the privileged rate'
-            ELSE 'within fairness threshold (80% rule)' END AS verdict,
-       CASE WHEN ratio >= 0.8 AND ratio <= 1.25 THEN 'within legal threshold (0.8-1.25)'
-            ELSE 'outside legal threshold' END AS di_status,
-       CASE WHEN ru - rp < 0 THEN 'bias against the unprivileged group'
-            ELSE 'bias against the privileged group' END AS spd_direction
-FROM a""", rows="B9")
+a AS (SELECT count_if(y = 0 AND g = 1) / nullif(count_if(y IS NOT NULL AND g = 1), 0) AS rp,
+             count_if(y = 0 AND g <> 1) / nullif(count_if(y IS NOT NULL AND g <> 1), 0) AS ru FROM d),
+b AS (SELECT rp, ru, CASE WHEN rp <> 0 THEN ru / rp END AS ratio FROM a)
+SELECT round(ratio, 6) AS approval_ratio,
+       CASE WHEN ratio IS NULL THEN 'undefined' WHEN ratio < 0.8 THEN 'below_band' WHEN ratio > 1.25 THEN 'above_band'
+            ELSE 'in_band' END AS verdict,
+       CASE WHEN ratio IS NULL THEN 'undefined' WHEN ratio >= 0.8 AND ratio <= 1.25 THEN 'band_kept' ELSE 'band_left' END AS di_status,
+       CASE WHEN ru - rp IS NULL THEN 'undefined' WHEN ru - rp < 0 THEN 'favours_privileged'
+            WHEN ru - rp > 0 THEN 'favours_unprivileged' ELSE 'no_difference' END AS spd_direction
+FROM b""", rows="B9")
 def q_bias_verdict(spark, sf):
     return au.bias_verdict(decision_frame(spark, sf), DECISIONS)
 

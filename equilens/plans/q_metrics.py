@@ -7,7 +7,7 @@ from ..operators import metrics as mt
 from ..sources.frames import decision_frame, document_frame
 from ..spec import DECISIONS
 from .registry import register
-from .sqlframes import DECISIONS as D, DOCUMENTS, with_
+from .sqlframes import DECISIONS as D, DOCUMENTS, with_, unrounded
 
 # ---- SQL building blocks (DuckDB) -----------------------------------------
 CM = """
@@ -162,9 +162,9 @@ def q_fairness_metrics(spark, sf):
     return fm.fairness_metrics(_dec(spark, sf), DECISIONS)
 
 
-@register("fairness_status", with_(D, PAR) + """,
+@register("fairness_status", with_(D, unrounded(PAR)) + """,
 st AS (SELECT *, """ + STATUS + """ FROM fm)
-SELECT metric, value, passed, all_fair, parity_compliant FROM (
+SELECT metric, round(value, 6) AS value, passed, all_fair, parity_compliant FROM (
   SELECT 'disparate_impact' AS metric, disparate_impact AS value, di_pass AS passed, all_fair, parity_compliant FROM st
   UNION ALL SELECT 'statistical_parity_difference', statistical_parity_difference, spd_pass, all_fair, parity_compliant FROM st
   UNION ALL SELECT 'equal_opportunity_difference', equal_opportunity_difference, eod_pass, all_fair, parity_compliant FROM st)""",
@@ -173,23 +173,25 @@ def q_fairness_status(spark, sf):
     return fm.fairness_status(_dec(spark, sf), DECISIONS)
 
 
-@register("composite_score", with_(D, CM, RANK, PAR) + """,
-perf AS (SELECT""" + PERF_COLS + """ FROM cm)
+@register("composite_score", with_(D, CM, unrounded(RANK), unrounded(PAR)) + """,
+perf AS (SELECT""" + unrounded(PERF_COLS) + """ FROM cm)
 SELECT""" + COMPOSITE + " FROM perf, rk, fm", rows="M7")
 def q_composite_score(spark, sf):
     return fm.fairness_report(_dec(spark, sf), DECISIONS).select("composite_score")
 
 
+ROUNDED = ", ".join(f"round(rep.{c}, 6) AS {c}" for c in (
+    "accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "roc_auc", "average_precision",
+    "disparate_impact", "statistical_parity_difference", "equal_opportunity_difference",
+    "prediction_disparate_impact", "prediction_statistical_parity_difference"))
 REPORT_SQL = """,
-perf AS (SELECT""" + PERF_COLS + """, roc_auc, average_precision FROM cm, rk),
+perf AS (SELECT""" + unrounded(PERF_COLS) + """, roc_auc, average_precision FROM cm, rk),
 rep AS (SELECT * FROM perf, fm)
-SELECT accuracy, balanced_accuracy, precision, recall, f1_score, roc_auc, average_precision,
-       disparate_impact, statistical_parity_difference, equal_opportunity_difference,
-       prediction_disparate_impact, prediction_statistical_parity_difference,""" + STATUS + "," + COMPOSITE + """
+SELECT """ + ROUNDED + "," + STATUS + "," + COMPOSITE + """
 FROM rep"""
 
 
-@register("fairness_report", with_(D, CM, RANK, PAR) + REPORT_SQL, rows="M8")
+@register("fairness_report", with_(D, CM, unrounded(RANK), unrounded(PAR)) + REPORT_SQL, rows="M8")
 def q_fairness_report(spark, sf):
     return fm.fairness_report(_dec(spark, sf), DECISIONS)
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import materialize_small, r6
+from ..functions.exprs import r6
 from ..operators import mitigate as mg
 from ..operators import prep as pp
 from ..operators import scoring as sc
 from ..operators import thresholds as th
 from ..operators.fairness import label_parity
+from ..session import write_once
 from ..sources.frames import FEATURES, decision_frame
 from ..spec import DECISIONS
 from .registry import register
@@ -198,7 +199,7 @@ ob AS (SELECT cand.g, t, CASE WHEN n0 <> 0 THEN b0 / n0 ELSE 0.0 END AS tpr,
        FROM cand JOIN tot ON cand.g = tot.g, tgt),
 best AS (SELECT g, t, """ + obj + """ AS objective,
                 row_number() OVER (PARTITION BY g ORDER BY """ + obj + """, abs(t - 0.5), t) AS rn FROM ob),
-th AS (SELECT g, round(t, 6) AS threshold, round(objective, 6) AS objective FROM best WHERE rn = 1
+th AS (SELECT g, t AS threshold, objective FROM best WHERE rn = 1
        UNION ALL SELECT 1, 0.5, CAST(NULL AS DOUBLE))"""
 
 
@@ -215,14 +216,21 @@ def q_threshold_baseline(spark, sf):
     return th.threshold_baseline(decision_frame(spark, sf), DECISIONS)
 
 
-@register("threshold_fit", with_(D, _threshold_sql("equal_opportunity")) + "\nSELECT * FROM th", rows="H2 F3")
+def _shown(t):
+    """Rounded for display only; the table that is applied keeps full precision."""
+    return t.select("g", r6("threshold").alias("threshold"), r6("objective").alias("objective"))
+
+
+@register("threshold_fit", with_(D, _threshold_sql("equal_opportunity")) +
+          "\nSELECT g, round(threshold, 6) AS threshold, round(objective, 6) AS objective FROM th", rows="H2 F3")
 def q_threshold_fit(spark, sf):
-    return th.fit_thresholds(decision_frame(spark, sf), DECISIONS)
+    return _shown(th.fit_thresholds(decision_frame(spark, sf), DECISIONS))
 
 
-@register("threshold_fit_eodds", with_(D, _threshold_sql("equalized_odds")) + "\nSELECT * FROM th", rows="H3")
+@register("threshold_fit_eodds", with_(D, _threshold_sql("equalized_odds")) +
+          "\nSELECT g, round(threshold, 6) AS threshold, round(objective, 6) AS objective FROM th", rows="H3")
 def q_threshold_fit_eodds(spark, sf):
-    return th.fit_thresholds(decision_frame(spark, sf), DECISIONS, objective="equalized_odds")
+    return _shown(th.fit_thresholds(decision_frame(spark, sf), DECISIONS, objective="equalized_odds"))
 
 
 APPLY_SQL = """,
@@ -235,7 +243,7 @@ def _fitted(spark, sf):
     """Decision frame and its fitted threshold table (one row per group,
     evaluated once and reused by every branch of the plan)."""
     df = decision_frame(spark, sf)
-    return df, materialize_small(th.fit_thresholds(df, DECISIONS))
+    return df, write_once(th.fit_thresholds(df, DECISIONS), "thresholds")
 
 
 @register("threshold_apply", with_(D, _threshold_sql("equal_opportunity")) + APPLY_SQL +
@@ -249,9 +257,10 @@ def q_threshold_apply(spark, sf):
 gc AS (SELECT g, CAST(count_if(y = 0 AND pred_adj = 0) AS BIGINT) AS tn, CAST(count_if(y = 0 AND pred_adj = 1) AS BIGINT) AS fp,
               CAST(count_if(y = 1 AND pred_adj = 0) AS BIGINT) AS fn, CAST(count_if(y = 1 AND pred_adj = 1) AS BIGINT) AS tp
        FROM ap WHERE g IS NOT NULL GROUP BY g),
-gr AS (SELECT *, round(CASE WHEN tn + fp <> 0 THEN tn / (tn + fp) ELSE 0 END, 6) AS tpr,
-                 round(CASE WHEN fn + tp <> 0 THEN fn / (fn + tp) ELSE 0 END, 6) AS fpr FROM gc)
-SELECT gr.*, round(abs(gr.tpr - (SELECT tpr FROM gr WHERE g = 1)), 6) AS tpr_gap FROM gr""", rows="H5")
+gr AS (SELECT *, CASE WHEN tn + fp <> 0 THEN tn / (tn + fp) ELSE 0 END AS tpr,
+                 CASE WHEN fn + tp <> 0 THEN fn / (fn + tp) ELSE 0 END AS fpr FROM gc)
+SELECT g, tn, fp, fn, tp, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr,
+       round(abs(gr.tpr - (SELECT tpr FROM gr WHERE g = 1)), 6) AS tpr_gap FROM gr""", rows="H5")
 def q_threshold_effect(spark, sf):
     df, t = _fitted(spark, sf)
     return th.threshold_effect(df, DECISIONS, t)

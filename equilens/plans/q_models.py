@@ -12,7 +12,7 @@ from ..operators.fairness import fairness_report
 from ..sources.frames import decision_frame
 from ..spec import DECISIONS
 from .registry import register
-from .sqlframes import DECISIONS as D, with_
+from .sqlframes import DECISIONS as D, unrounded, with_
 
 # --- fixed values: the scorers compared by ``model_comparison`` ------------
 # (model name, score expression, decision cut)
@@ -31,7 +31,7 @@ def stacked_models(spark, sf):
     return df.select("id", "y", "g", F.explode(arr).alias("m")).select("m.model", "id", "y", "g", "m.p", "m.pred")
 
 
-STACK_SQL = """,
+STACK_RAW = """,
 st AS (""" + "\n  UNION ALL ".join(
     f"SELECT '{m}' AS model, id, y, g, {('least(o_totalprice / 500000.0, 1.0)' if s == 'price_p' else 'p')} AS p, "
     f"CAST({('least(o_totalprice / 500000.0, 1.0)' if s == 'price_p' else 'p')} >= {c} AS INTEGER) AS pred FROM d"
@@ -77,7 +77,7 @@ perf AS (SELECT cm.model,
 rep AS (SELECT perf.*, disparate_impact, statistical_parity_difference, equal_opportunity_difference,
                prediction_disparate_impact, prediction_statistical_parity_difference
         FROM perf JOIN fm ON perf.model = fm.model),
-rep2 AS (SELECT *,
+rep2 AS (SELECT model, @SHOWN@,
   coalesce(disparate_impact >= 0.8 AND disparate_impact <= 1.25, false) AS di_pass,
   coalesce(abs(statistical_parity_difference) <= 0.1, false) AS spd_pass,
   coalesce(abs(equal_opportunity_difference) <= 0.1, false) AS eod_pass,
@@ -90,6 +90,13 @@ rep2 AS (SELECT *,
         + 0.3 * (1.0 - ((CASE WHEN disparate_impact < 0.8 THEN 0.8 - disparate_impact ELSE 0.0 END)
                         + abs(statistical_parity_difference))), 6) AS composite_score
   FROM rep)"""
+_SHOWN = ", ".join(f"round(rep.{c}, 6) AS {c}" for c in (
+    "accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "roc_auc", "average_precision",
+    "disparate_impact", "statistical_parity_difference", "equal_opportunity_difference",
+    "prediction_disparate_impact", "prediction_statistical_parity_difference"))
+# verdicts and the score are taken from unrounded values, the columns are rounded in the last SELECT
+STACK_SQL = STACK_RAW[:STACK_RAW.index("rep2 AS")]
+STACK_SQL = unrounded(STACK_SQL) + STACK_RAW[STACK_RAW.index("rep2 AS"):].replace("@SHOWN@", _SHOWN)
 
 
 @register("model_comparison", with_(D) + STACK_SQL + "\nSELECT * FROM rep2", rows="M9")
@@ -128,21 +135,21 @@ per AS (SELECT trial, model_type, cut, fold,
                sum(CASE WHEN g = 1 AND p < cut THEN c ELSE 0 END) AS fav_p, sum(CASE WHEN g = 1 THEN c ELSE 0 END) AS n_p
         FROM col, tr GROUP BY trial, model_type, cut, fold),
 m AS (SELECT trial, model_type, cut, fold,
-             round(CASE WHEN tp + fn <> 0 AND tn + fp <> 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2
-                        WHEN tp + fn <> 0 THEN tp / (tp + fn) WHEN tn + fp <> 0 THEN tn / (tn + fp) END, 6) AS bal,
-             round(CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
-             round(CASE WHEN n_p <> 0 AND fav_p <> 0 THEN (fav_u / n_u) / (fav_p / n_p) END, 6) AS di,
-             round(fav_u / n_u - fav_p / n_p, 6) AS spd
+             CASE WHEN tp + fn <> 0 AND tn + fp <> 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2
+                  WHEN tp + fn <> 0 THEN tp / (tp + fn) WHEN tn + fp <> 0 THEN tn / (tn + fp) END AS bal,
+             CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1,
+             CASE WHEN n_p <> 0 AND fav_p <> 0 THEN (fav_u / n_u) / (fav_p / n_p) END AS di,
+             fav_u / n_u - fav_p / n_p AS spd
       FROM per),
 fsc AS (SELECT fold, p AS s, CAST(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
                CAST(sum(CASE WHEN y <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS neg
         FROM fo WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY fold, p),
 frc AS (SELECT *, sum(pos) OVER (PARTITION BY fold ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pos
         FROM fsc),
-fau AS (SELECT fold, round(sum(neg * (cum_pos - CAST(pos AS DOUBLE) / 2)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 6) AS roc_auc
+fau AS (SELECT fold, sum(neg * (cum_pos - CAST(pos AS DOUBLE) / 2)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS roc_auc
         FROM frc GROUP BY fold),
-fs AS (SELECT m.*, round(0.7 * ((bal + f1 + coalesce(roc_auc, 0.5)) / 3.0)
-                         + 0.3 * (1.0 - ((CASE WHEN di < 0.8 THEN 0.8 - di ELSE 0.0 END) + abs(spd))), 6) AS fold_score
+fs AS (SELECT m.*, 0.7 * ((bal + f1 + coalesce(roc_auc, 0.5)) / 3.0)
+                   + 0.3 * (1.0 - ((CASE WHEN di < 0.8 THEN 0.8 - di ELSE 0.0 END) + abs(spd))) AS fold_score
        FROM m LEFT JOIN fau ON m.fold = fau.fold),
 cv AS (SELECT trial, model_type, cut, round(avg(fold_score), 6) AS score, CAST(count(*) AS BIGINT) AS n_folds
        FROM fs GROUP BY trial, model_type, cut),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import materialize_small
+from ..session import write_once
 from ..operators import scoring as sc
 from ..operators import thresholds as th
 from ..sources.frames import decision_frame, decisions_from_orders
@@ -36,7 +36,7 @@ FROM ap""", rows="O7 S11")
 def q_stream_score(spark, sf):
     # thresholds are fitted once in batch and materialised, so micro-batches
     # join a fixed small table instead of refitting
-    thresholds = materialize_small(th.fit_thresholds(decision_frame(spark, sf), DECISIONS))
+    thresholds = write_once(th.fit_thresholds(decision_frame(spark, sf), DECISIONS), "thresholds")
     stream = decisions_from_orders(spark, sf, _orders_stream(spark, sf))
     scored = sc.score_decisions(stream, DECISIONS, thresholds)
     return mo.run_available(spark, scored, "stream-score", "append")

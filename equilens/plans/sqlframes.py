@@ -5,6 +5,8 @@ rounded to 6 decimals, counts cast to BIGINT: the same rules as the Spark side.
 
 from __future__ import annotations
 
+import re
+
 DECISIONS = """
 d0 AS (
   SELECT o.o_orderkey AS id,
@@ -49,3 +51,8 @@ ev AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
+
+
+def unrounded(sql: str) -> str:
+    """The same columns without their final rounding, for statements that decide on them."""
+    return re.sub(r"round\(((?:(?!round\().)*?), 6\) AS", r"\1 AS", sql, flags=re.DOTALL)

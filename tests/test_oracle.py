@@ -9,10 +9,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from equilens.plans import catalog
 from equilens.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-KEYS = sorted(entry.oracle_sql())
+KEYS = sorted(catalog.oracle_sql())
 
 
 def _norm_rows(pdf):

@@ -6,9 +6,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from equilens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-KEYS = sorted(k for k in entry.queries() if not k.startswith(("train_", "baseline_", "score_batch", "feature_imp")))
+KEYS = sorted(k for k in catalog.queries() if not k.startswith(("train_", "baseline_", "score_batch", "feature_imp")))
 
 
 @pytest.mark.parametrize("key", KEYS)
@@ -17,6 +18,8 @@ def test_no_python_or_cartesian(spark, key):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"ArrowEvalPython|BatchEvalPython|PythonUDF|FlatMapGroupsInPandas|MapInPandas", plan)
     assert "CartesianProduct" not in plan
+    if key == "undersample":
+        assert "BroadcastNestedLoopJoin" not in plan
 
 
 @pytest.mark.parametrize("key", ["group_rates", "subgroup_cube", "group_confusion", "value_counts", "overall_rate"])
