@@ -43,14 +43,19 @@ def fold(c: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+#: Spark gives a plan over rows it can't see (a local list, an RDD) an enormous default size.
+UNKNOWN_BYTES, ROW_BYTES, MOST_SLOTS = 1 << 50, 4096, 1 << 24
+
+
 def planned_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan: for a plain read, the bytes of its files."""
-    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 60)
+    """Spark's own size estimate of a plan: for a plain read, the bytes of its files. Where it has none, rows are counted."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.count() * ROW_BYTES if size >= UNKNOWN_BYTES else size
 
 
 def slots(df: DataFrame, mb: float) -> int:
     """How many parts of about ``mb`` MB the frame's input makes; grows with it."""
-    return max(8, -(-planned_bytes(df) // int(mb * 1e6)))
+    return min(max(8, -(-planned_bytes(df) // int(mb * 1e6))), MOST_SLOTS)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

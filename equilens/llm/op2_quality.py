@@ -35,7 +35,7 @@ from .common import fold, isolate, restore
 
 FOLDS, HELD_OUT = 3, 1
 MOST_POSITIVES, MOST_UNLABELLED = 6_000, 12_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 512, 2e-3, 1e-3
+HIDDEN, STEPS, PRIOR_STEPS, BATCH, RATE, DECAY = 24, 2000, 500, 512, 2e-3, 1e-3
 
 #: Character classes: each of these is a class of its own, then come groups.
 _SINGLE = b" \n*$%&#|!?.,;:<>{}[]()=/\\_-+@\"'~^`"
@@ -106,22 +106,23 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _batches(n_p: int, n_u: int, rng, epochs: int):
-    for _ in range(epochs):
+def _batches(n_p: int, n_u: int, rng, most: int):
+    """``most`` mini-batches of both samples, in ever new orders."""
+    parts, done = max(1, -(-(n_p + n_u) // BATCH)), 0
+    while done < most:
         p, u = rng.permutation(n_p), rng.permutation(n_u)
-        steps = max(1, -(-(n_p + n_u) // BATCH))
-        for k in range(steps):
-            a, b = p[k::steps], u[k::steps]
-            if len(a) and len(b):
-                yield a, b
+        for k in range(min(parts, most - done)):
+            yield (p[k::parts] if n_p >= parts else p), (u[k::parts] if n_u >= parts else u)
+        done += parts
 
 
 def class_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 5) -> float:
     """Best-bin estimate: fit positives against unlabelled rows on half of each, take the least
     ratio of the two tails on the other half, with a margin for the size of the tails."""
     rng = np.random.default_rng(seed)
+    pos, unl = pos[rng.permutation(len(pos))], unl[rng.permutation(len(unl))]
     net, hp, hu = Net(pos.shape[1], seed), len(pos) // 2, len(unl) // 2
-    for a, b in _batches(hp, hu, rng, 15):
+    for a, b in _batches(hp, hu, rng, PRIOR_STEPS):
         x = np.concatenate([pos[a], unl[b]])
         y = np.concatenate([np.ones(len(a)), np.zeros(len(b))])
         w = np.where(y == 1, 0.5 / len(a), 0.5 / len(b))
@@ -143,7 +144,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, seed: int = 3) -> dict:
     pos, unl = np.clip((pos - mean) / scale, -6, 6).astype(np.float64), np.clip((unl - mean) / scale, -6, 6).astype(np.float64)
     prior = class_prior(pos, unl)
     net, rng = Net(pos.shape[1], seed), np.random.default_rng(seed)
-    for a, b in _batches(len(pos), len(unl), rng, EPOCHS):
+    for a, b in _batches(len(pos), len(unl), rng, STEPS):
         out = net.forward(np.concatenate([pos[a], unl[b]]))
         s = sigmoid(out)
         fp, fu = out[:len(a)], out[len(a):]

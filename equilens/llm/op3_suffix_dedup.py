@@ -44,7 +44,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, isolate, mix64, row_id, slots
 
 WINDOW, GRAM, SLICE = 50, 16, 1 << 18
-BATCH_MB, BUCKET_MB = 8, 8
+BATCH_MB, BUCKET_MB = 8, 4
+#: Windows that a bucket orders at once; a digit's entries (one per batch at most, and distinct run) stay together.
+AT_ONCE = 300_000
 _U = np.uint64
 
 
@@ -209,16 +211,36 @@ def covered_windows(table: pa.Table, window: int) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": table.column("digits")})
     get = lambda c, t: [np.frombuffer(x.as_py(), t) for x in table.column(c)]
-    digits, docs, counts = get("digits", _U), get("docs", np.int64), get("counts", np.uint8)
+    digits = get("digits", _U)
     lengths = [len(x) for x in digits]
-    digit, doc, count = np.concatenate(digits), np.concatenate(docs), np.concatenate(counts).astype(np.int64)
+    digit, doc, count = np.concatenate(digits), np.concatenate(get("docs", np.int64)), np.concatenate(get("counts", np.uint8)).astype(np.int64)
     data = np.frombuffer(b"".join(x.as_py() for x in table.column("bytes")), np.uint8)
-    ends = np.cumsum(count + window - 1)
-    begins = ends - (count + window - 1)
-    # every window: its entry, its place in the entry, two hashes
+    begin = np.cumsum(count + window - 1) - (count + window - 1)
+    masks = np.zeros(len(count), _U)
+    # some digits at a time, all entries of a digit together
+    order = np.argsort(digit, kind="stable")
+    total = np.cumsum(count[order])
+    last = np.append(digit[order][1:] != digit[order][:-1], True)   # where a digit's entries end
+    ends, a = np.flatnonzero(last) + 1, 0
+    while a < len(order):
+        enough = np.searchsorted(total[ends - 1], (total[a - 1] if a else 0) + AT_ONCE)
+        b = int(ends[max(enough - 1, np.searchsorted(ends, a, side="right"))])
+        part = order[a:b]
+        size = count[part] + window - 1
+        piece = data[np.repeat(begin[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        masks[part] = window_masks(digit[part], doc[part], count[part], piece, window)
+        a = b
+    cuts = np.cumsum([0] + lengths)
+    out = [masks[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
+
+
+def window_masks(digit: np.ndarray, doc: np.ndarray, count: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
+    """For entries laid end to end in ``data``: bits of the windows that also stand in an entry of a smaller document."""
+    begin = np.cumsum(count + window - 1) - (count + window - 1)
     entry = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-    at = begins[entry] + place
+    at = begin[entry] + place
     keys = []
     for seed in (2, 3):
         hashes, key = Hashes(seed), np.empty(len(at), _U)
@@ -241,9 +263,7 @@ def covered_windows(table: pa.Table, window: int) -> pa.Table:
     hit = order[smallest < own]
     masks = np.zeros(len(count), _U)
     np.bitwise_or.at(masks, entry[hit], _U(1) << place[hit].astype(_U))
-    cuts = np.cumsum([0] + lengths)
-    out = [masks[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-    return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
+    return masks
 
 
 def _joined(answers: pa.Table, dtype, lengths: np.ndarray) -> np.ndarray:

@@ -262,7 +262,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = write_once(base.select(F.col(at[id_col]).alias("page_id"), F.col(at[url_col]).alias("url"), host.alias("host"),
                                     blocks_of(F.col(at[html_col]).cast("string")).alias("blocks")), "blocks")
     around = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
-    templates = host_templates(parsed.select("host", around.alias("around")), least_pages, share)
+    # written, so that Spark plans the join by the table's true size and need not shuffle the texts for a small one
+    templates = write_once(host_templates(parsed.select("host", around.alias("around")), least_pages, share), "templates")
     left = F.filter("blocks", lambda b: F.col("templates").isNull() | ~F.arrays_overlap(b["around"], F.col("templates")))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n\n")
     return (parsed.join(templates, "host", "left").select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
