@@ -37,10 +37,10 @@ from .metrics import ranking_metrics
 SEARCH_SPACE = {
     "random_forest": (("rf_n_estimators", "int", 100, 500), ("rf_max_depth", "int", 5, 30),
                       ("rf_min_samples_split", "int", 2, 20), ("rf_min_samples_leaf", "int", 1, 10)),
-    "xgboost": (("xgb_n_estimators", "int", 100, 500), ("xgb_max_depth", "int", 3, 10),
+    "gbt": (("xgb_n_estimators", "int", 100, 500), ("xgb_max_depth", "int", 3, 10),
                 ("xgb_learning_rate", "logfloat", 0.01, 0.3), ("xgb_subsample", "float", 0.6, 1.0),
                 ("xgb_colsample_bytree", "float", 0.6, 1.0)),
-    "lightgbm": (("lgbm_n_estimators", "int", 100, 500), ("lgbm_max_depth", "int", 3, 15),
+    "gbt_leafwise": (("lgbm_n_estimators", "int", 100, 500), ("lgbm_max_depth", "int", 3, 15),
                  ("lgbm_learning_rate", "logfloat", 0.01, 0.3), ("lgbm_num_leaves", "int", 20, 100),
                  ("lgbm_subsample", "float", 0.6, 1.0), ("lgbm_colsample_bytree", "float", 0.6, 1.0)),
     "logistic_regression": (("lr_penalty", "choice", ("l1", "l2", "elasticnet"), None),
@@ -161,7 +161,7 @@ def family_estimator(params: dict, features_col: str = "features", label_col: st
     """Map one trial's parameters to a Spark ML estimator.
 
     random_forest -> RandomForestClassifier (min split has no twin: minInstancesPerNode =
-    max(leaf, ceil(split / 2))); xgboost / lightgbm -> GBTClassifier (lightgbm depth =
+    max(leaf, ceil(split / 2))); gbt / gbt_leafwise -> GBTClassifier (leaf-wise depth =
     min(depth, ceil(log2(leaves)))); logistic_regression -> LogisticRegression with
     regParam = 1 / (C * n) with n the total sample weight (the row count when
     unweighted) and elasticNetParam 1 (l1), 0 (l2) or the l1 ratio.
@@ -177,10 +177,10 @@ def family_estimator(params: dict, features_col: str = "features", label_col: st
         return RandomForestClassifier(numTrees=int(params["rf_n_estimators"]), maxDepth=min(int(params["rf_max_depth"]), 30),
                                       minInstancesPerNode=max(leaf, math.ceil(int(params["rf_min_samples_split"]) / 2)),
                                       seed=seed, **common)
-    if fam in ("xgboost", "lightgbm"):
-        pre = "xgb" if fam == "xgboost" else "lgbm"
+    if fam in ("gbt", "gbt_leafwise"):
+        pre = "xgb" if fam == "gbt" else "lgbm"
         depth = int(params[f"{pre}_max_depth"])
-        if fam == "lightgbm":
+        if fam == "gbt_leafwise":
             depth = min(depth, math.ceil(math.log2(int(params["lgbm_num_leaves"]))))
         return GBTClassifier(maxIter=int(params[f"{pre}_n_estimators"]), maxDepth=depth,
                              stepSize=float(params[f"{pre}_learning_rate"]),

@@ -163,13 +163,13 @@ imp AS (SELECT id, split, """ + ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c})
         FROM sp, med),
 st AS (SELECT """ + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in FEATURES) + """
        FROM imp WHERE split = 'train')
-SELECT id, """ + ", ".join(
+SELECT id, split, """ + ", ".join(
     f"round(({c} - mu_{c}) / CASE WHEN sd_{c} IS NULL OR sd_{c} = 0 THEN 1 ELSE sd_{c} END, 6) AS {c}"
-    for c in FEATURES) + " FROM imp, st WHERE split = 'test'", rows="E12 S6")
+    for c in FEATURES) + " FROM imp, st", rows="E12 S6")
 def q_prep_train_test(spark, sf):
     df = mg.holdout_split(decision_frame(spark, sf, features=True), DECISIONS).select("id", "split", *FEATURES)
     prep = pp.Preprocessor(FEATURES).fit(df.where(F.col("split") == "train"))
-    return prep.transform(df.where(F.col("split") == "test")).select("id", *[r6(c).alias(c) for c in FEATURES])
+    return prep.transform(df).select("id", "split", *[r6(c).alias(c) for c in FEATURES])
 
 
 # ---- thresholds -------------------------------------------------------------

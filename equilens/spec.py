@@ -22,7 +22,7 @@ DEFAULT_CUT = 0.5                     # predicted label = p >= cut
 THRESHOLD_BOUNDS = (0.1, 0.9)         # search range for group thresholds
 RISK_TIER_CUTS = (0.3, 0.6)           # Low < 0.3 <= Medium < 0.6 <= High
 POSITIVE_CLASS_MULTIPLIER = 2.33      # boosting positive-class weight (70/30 imbalance)
-MODEL_FAMILIES = ("random_forest", "xgboost", "lightgbm", "logistic_regression")
+MODEL_FAMILIES = ("random_forest", "gbt", "gbt_leafwise", "logistic_regression")
 AGE_BIN_EDGES = (18, 25, 35, 45, 55, 100)
 AGE_BIN_LABELS = ("18-25", "26-35", "36-45", "46-55", "55+")
 # ---------------------------------------------------------------------------

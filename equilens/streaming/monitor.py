@@ -7,14 +7,16 @@ Event time arrives as TIMESTAMP_NTZ in the test tables; watermarks need
 TIMESTAMP, so it is cast with the session time zone pinned to UTC.
 
 Sinks: results go to parquet tables under the shared checkpoint folder (never
-the driver): append-mode file sinks for row-level outputs, and ``foreachBatch``
-overwrites for complete-mode aggregates. ``run_available`` drives a query with
+the driver): append-mode file sinks for row-level outputs and closed sessions,
+per-epoch folders for update-mode aggregates. ``run_available`` drives a query with
 ``trigger(availableNow=True)`` and returns the sink table as a DataFrame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
@@ -72,10 +74,10 @@ def window_parity(events: DataFrame, duration: str, slide: str | None = None,
 
 
 def session_activity(events: DataFrame, gap: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
-    """O8 session windows per user: events and errors per session. Sessions
-    are first merged inside each input partition, so a user holding a large
-    share of the events reaches the state store pre-aggregated."""
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """O8 session windows per user: events and errors per session. For users
+    with a large share of the events, submit the job with
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``:
+    sessions are then merged inside each input partition first."""
     agg = events.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(
         F.count(F.lit(1)).alias("n_events"), count_if(F.col("y") == 1).alias("n_errors"))
     return agg.select("user_id", F.date_format("s.start", TS_FORMAT_US).alias("session_start"),
@@ -83,11 +85,15 @@ def session_activity(events: DataFrame, gap: str = "10 minutes", watermark: str
 
 
 def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                  out: str | None = None, ckpt: str | None = None) -> DataFrame:
+                  out: str | None = None, ckpt: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Run ``stream`` to the end of the available input (availableNow) into a
     parquet table under the shared checkpoint folder and return that table.
 
     append: file sink (exactly-once through the sink log);
+    update: each micro-batch's changed rows go to a folder of its epoch
+    (overwritten when the batch is replayed); the newest row of each of
+    ``keys`` is returned, so nothing written earlier is lost and state is
+    bounded by the watermark;
     complete: each micro-batch's complete result overwrites the table.
     Passing the same ``out`` / ``ckpt`` again resumes from the saved state.
     """
@@ -96,34 +102,45 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out).start()
-    elif mode in ("complete", "update"):
+    elif mode == "update":
+        if not keys:
+            raise ValueError("update mode needs the keys whose newest row counts")
+
+        def epoch_sink(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        q = w.outputMode("update").foreachBatch(epoch_sink).start()
+    elif mode == "complete":
         def sink(batch: DataFrame, epoch: int) -> None:
             batch.write.mode("overwrite").parquet(out)
         q = w.outputMode(mode).foreachBatch(sink).start()
     else:
         raise ValueError(mode)
+    _finish(q)
+    result = spark.read.parquet(out)
+    if mode == "update":
+        last = Window.partitionBy(*keys).orderBy(F.col("epoch").desc())
+        result = result.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", "epoch")
+    return result
+
+
+def _finish(q) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
 
 
 def validate_stream(spark: SparkSession, stream: DataFrame, rules, name: str) -> tuple[DataFrame, DataFrame]:
-    """Split every micro-batch into valid and rejected tables (with the
-    broken rules) instead of failing on bad input."""
+    """Split every micro-batch into valid and rejected rows (with the
+    broken rules) instead of failing on bad input. One write per batch, in
+    folders by validity; a replayed batch overwrites its own epoch."""
     from ..operators.validate import violation_array
-    valid_out, rej_out = scratch_path(spark, f"{name}-valid"), scratch_path(spark, f"{name}-rejected")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    out, ckpt = scratch_path(spark, f"{name}-rows"), scratch_path(spark, f"{name}-ckpt")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        # one folder per epoch, overwritten on replay: a retried batch never duplicates rows
         marked = batch.withColumn("violations", violation_array(rules))
-        marked.where(F.size("violations") == 0).drop("violations") \
-              .write.mode("overwrite").parquet(f"{valid_out}/epoch={epoch}")
-        marked.where(F.size("violations") > 0).write.mode("overwrite").parquet(f"{rej_out}/epoch={epoch}")
+        marked.withColumn("valid", F.size("violations") == 0).write.mode("overwrite") \
+              .partitionBy("valid").parquet(f"{out}/epoch={epoch}")
 
-    q = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(sink).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return (spark.read.parquet(valid_out).drop("epoch"), spark.read.parquet(rej_out).drop("epoch"))
+    _finish(stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(sink).start())
+    rows = spark.read.parquet(out).drop("epoch").withColumn("valid", F.col("valid").cast("boolean"))
+    return rows.where("valid").drop("valid", "violations"), rows.where("not valid").drop("valid")

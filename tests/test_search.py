@@ -43,7 +43,7 @@ def test_families_fit_and_rank(spark):
         {"model_type": "logistic_regression", "lr_penalty": "l2", "lr_C": 1.0},
         {"model_type": "random_forest", "rf_n_estimators": 10, "rf_max_depth": 5, "rf_min_samples_split": 4,
          "rf_min_samples_leaf": 1},
-        {"model_type": "lightgbm", "lgbm_n_estimators": 5, "lgbm_max_depth": 10, "lgbm_learning_rate": 0.1,
+        {"model_type": "gbt_leafwise", "lgbm_n_estimators": 5, "lgbm_max_depth": 10, "lgbm_learning_rate": 0.1,
          "lgbm_num_leaves": 20, "lgbm_subsample": 1.0, "lgbm_colsample_bytree": 1.0},
     ]
     from equilens.operators.metrics import ranking_metrics
