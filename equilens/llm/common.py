@@ -65,3 +65,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Sorted values that a bucket works on at once.
+AT_ONCE = 400_000
+
+
+def value_ranges(pieces: list[np.ndarray], most: int = AT_ONCE):
+    """Cut sorted arrays of hashes at common values, so that about ``most`` values come at a time
+    and equal ones together: yields the (start, stop) of each array."""
+    total = sum(len(p) for p in pieces)
+    if not total:
+        return
+    low, high = int(min(p[0] for p in pieces if len(p))), int(max(p[-1] for p in pieces if len(p)))
+    parts = -(-total // most)
+    cuts = [low + (high - low) * k // parts for k in range(1, parts)]
+    starts = [0] * len(pieces)
+    for cut in [*cuts, None]:
+        stops = [len(p) if cut is None else int(np.searchsorted(p, p.dtype.type(cut))) for p in pieces]
+        if any(a < b for a, b in zip(starts, stops, strict=True)):
+            yield list(zip(starts, stops, strict=True))
+        starts = stops

@@ -41,10 +41,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, isolate, mix64, row_id, slots
+from .common import NULL_ID, isolate, mix64, row_id, slots, value_ranges
 
 WINDOW, GRAM, SLICE = 50, 16, 1 << 18
-BATCH_MB, BUCKET_MB = 8, 4
+BATCH_MB, BUCKET_MB = 4, 4
 #: Windows that a bucket orders at once; a digit's entries (one per batch at most, and distinct run) stay together.
 AT_ONCE = 300_000
 _U = np.uint64
@@ -191,18 +191,21 @@ def open_digits(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x.as_py(), _U) for x in table.column("digits")]
     shared = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)).astype(bool)
               for x, p in zip(table.column("shared"), parts, strict=True)]
-    digits, mark = np.concatenate(parts), np.concatenate(shared)
-    order = np.argsort(digits, kind="stable")
-    d = digits[order]
-    same = d[1:] == d[:-1]
-    start = np.flatnonzero(np.concatenate([[True], ~same]))
-    many = np.diff(np.append(start, len(d))) > 1
-    group_open = many | np.logical_or.reduceat(mark[order], start)
-    answer = np.empty(len(d), bool)
-    answer[order] = np.repeat(group_open, np.diff(np.append(start, len(d))))
-    cuts = np.cumsum([0] + [len(p) for p in parts])
-    bits = [np.packbits(answer[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-    return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": pa.array(bits, pa.binary())})
+    answer = [np.empty(len(p), bool) for p in parts]
+    for cut in value_ranges(parts):
+        digits, mark = (np.concatenate([x[a:b] for x, (a, b) in zip(xs, cut, strict=True)]) for xs in (parts, shared))
+        order = np.argsort(digits, kind="stable")
+        d = digits[order]
+        start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        sizes = np.diff(np.append(start, len(d)))
+        own = np.empty(len(d), bool)
+        own[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(mark[order], start), sizes)
+        k = 0
+        for x, (a, b) in zip(answer, cut, strict=True):
+            x[a:b] = own[k:k + b - a]
+            k += b - a
+    return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"),
+                     "answer": pa.array([np.packbits(x).tobytes() for x in answer], pa.binary())})
 
 
 def covered_windows(table: pa.Table, window: int) -> pa.Table:
