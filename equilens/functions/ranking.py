@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_once
@@ -90,6 +90,41 @@ def hash_rank(df: DataFrame, strata: Sequence[str], hash_col: str, rank_col: str
               .drop("_hb", "_off"))
 
 
+def hash_cuts(df: DataFrame, strata: Sequence[str], hash_col: str, wanted: Column, digits: int = 4) -> DataFrame:
+    """(strata..., ``_cut``): the hash up to which ``wanted`` rows of a stratum lie (``wanted`` is an
+    expression of ``_n``, the stratum's size); strata that want none have no row.
+
+    Counts per (stratum, hash bucket) find the one bucket a stratum's cut falls into; only the hashes
+    of these buckets are ranked. The rows themselves are decided by comparison, without a shuffle.
+    """
+    strata = list(strata)
+    hashes = df.select(*strata, F.col(hash_col).alias("_hash"), F.substring(F.col(hash_col), 1, digits).alias("_hb"))
+    counts = hashes.groupBy(*strata, "_hb").agg(F.count(F.lit(1)).alias("_in"))
+    whole = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("_in").over(whole.orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = counts.select(*strata, "_hb", "_in", before.alias("_before"), F.sum("_in").over(whole).alias("_n")) \
+        .withColumn("_k", wanted).where((F.col("_k") > F.col("_before")) & (F.col("_k") <= F.col("_before") + F.col("_in")))
+    found = write_once(found.select(*[F.col(c).alias(f"_b_{c}") for c in strata], F.col("_hb").alias("_b_hb"),
+                                    (F.col("_k") - F.col("_before")).alias("_need")), "boundaries")
+    same = F.col("_hb") == F.col("_b_hb")
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    nth = F.row_number().over(Window.partitionBy(*strata, "_hb").orderBy("_hash"))
+    return (hashes.join(found, same).withColumn("_nth", nth).where(F.col("_nth") == F.col("_need"))
+            .select(*strata, F.col("_hash").alias("_cut")))
+
+
+def below_cut(df: DataFrame, cuts: DataFrame, strata: Sequence[str], hash_col: str, out: str) -> DataFrame:
+    """``df`` with the flag ``out``: the row's hash lies within its stratum's cut. The table of cuts (one row
+    a stratum) is written, so the join is planned by its true size."""
+    table = write_once(cuts.select(*[F.col(c).alias(f"_b_{c}") for c in strata], "_cut"), "cuts")
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    flag = F.coalesce(F.col(hash_col) <= F.col("_cut"), F.lit(False))
+    return df.join(table, same, "left").withColumn(out, flag).drop("_cut", *[f"_b_{c}" for c in strata])
+
+
 def collapse_scores(df: DataFrame, score: str, label: str, keys: Sequence[str] = (),
                     weight: str | None = None, positive: int = 1) -> DataFrame:
     """One row per (keys, distinct score) with positive/negative counts

@@ -2,8 +2,9 @@
 
 Splits are defined by a seeded md5 of the row id, so the same rows are chosen
 by Spark and by any SQL engine, on any cluster layout, after any retry.
-Exact per-stratum counts use ``hash_rank`` (bucketed ranks), never a window
-over a whole stratum.
+Exact per-stratum counts use the hash up to which a stratum's rows are taken
+(``hash_cuts``) or bucketed ranks (``hash_rank``), never a window over a whole
+stratum.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_key
-from ..functions.ranking import hash_rank
+from ..functions.ranking import below_cut, hash_cuts, hash_rank
 from ..session import write_once
 from ..spec import CV_FOLDS, POSITIVE_CLASS_MULTIPLIER, RANDOM_SEED, AuditSpec
 
@@ -86,16 +87,16 @@ def holdout_split(df: DataFrame, spec: AuditSpec, out: str = "split") -> DataFra
 def holdout_exact(df: DataFrame, spec: AuditSpec, test_fraction_fifths: int = 1, out: str = "split",
                   strata: Sequence[str] | None = None) -> DataFrame:
     """T1 (exact): in every (label, group) stratum exactly round(0.2 * n_s)
-    rows go to test: those with the smallest seeded hash. Ranks come from
-    bucketed hash ranks, so a stratum with a third of all rows is still
-    spread over many small sorts."""
+    rows go to test: those with the smallest seeded hash. Only the hashes of the
+    bucket that a stratum's cut falls into are ranked; all rows are then decided
+    by comparison with their stratum's cut. Rows that repeat an id fall on one
+    side together; rows of a null stratum are a stratum of their own."""
     strata = list(strata or [spec.label, spec.group])
     hashed = df.withColumn("_h", md5_key(spec.id, SPLIT_SALT))
-    ranked = hash_rank(hashed, strata, "_h", "_rank")
     # round(n_s / 5) with integer arithmetic (fractions .2/.4 round down, .6/.8 up)
-    k = ((F.col("_rank_of") * test_fraction_fifths + 2) / 5).cast("bigint")
-    return ranked.withColumn(out, F.when(F.col("_rank") <= k, F.lit("test")).otherwise(F.lit("train"))) \
-                 .drop("_h", "_rank", "_rank_of")
+    k = ((F.col("_n") * test_fraction_fifths + 2) / 5).cast("bigint")
+    marked = below_cut(hashed, hash_cuts(hashed, strata, "_h", k), strata, "_h", "_test")
+    return marked.withColumn(out, F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_test")
 
 
 def split_stats(df: DataFrame, spec: AuditSpec, split: str = "split") -> DataFrame:
@@ -116,7 +117,7 @@ def undersample(df: DataFrame, spec: AuditSpec) -> DataFrame:
     the smallest class has, chosen by seeded hash order (reproducible in SQL,
     unlike ``sampleBy``). This is the sampling operator itself."""
     y = spec.label
-    labelled = df.where(F.col(y).isNotNull())
+    labelled = df.where(F.col(y).isNotNull()).withColumn("_h", md5_key(spec.id, SAMPLE_SALT))
     n_min = labelled.groupBy(y).count().agg(F.min("count")).first()[0] or 0   # one number
-    ranked = hash_rank(labelled.withColumn("_h", md5_key(spec.id, SAMPLE_SALT)), [y], "_h", "_rank")
-    return ranked.where(F.col("_rank") <= F.lit(n_min)).drop("_h", "_rank", "_rank_of")
+    cuts = hash_cuts(labelled, [y], "_h", F.lit(n_min).cast("bigint"))
+    return below_cut(labelled, cuts, [y], "_h", "_in").where("_in").drop("_h", "_in")
