@@ -33,17 +33,21 @@ from .spec import CV_FOLDS, DECISIONS, N_TRIALS, AuditSpec
 def run_audit_job(spark: SparkSession, sf_dir: str, out: str, trials: list[dict] | None = None,
                   n_trials: int = N_TRIALS, spec: AuditSpec = DECISIONS) -> dict[str, DataFrame]:
     frame = decision_frame(spark, sf_dir, features=True).select(spec.id, spec.label, spec.group, *FEATURES)
-    split = mg.holdout_exact(frame, spec)
-    prep = pp.Preprocessor(FEATURES).fit(split.where(F.col("split") == "train"))
-    store.write_table(prep.statistics(), f"{out}/preprocessor")
-    data = prep.transform(split)
-    train = data.where(F.col("split") == "train")
-    train = mg.reweighing(train, spec, out="w_fair")
-    train = mg.class_weights(train, spec, base_weight="w_fair", out="weight")
-    train = mg.kfold(train, spec, CV_FOLDS)
-    # the split table keeps its weights as a column (saved and reloaded together)
-    store.save_split(train.unionByName(data.where(F.col("split") == "test"), allowMissingColumns=True),
-                     f"{out}/split", spec.with_(weight="weight"), FEATURES)
+
+    def create() -> DataFrame:
+        split = write_once(mg.holdout_exact(frame, spec), "split")
+        prep = pp.Preprocessor(FEATURES).fit(split.where(F.col("split") == "train"))
+        store.save_bundle(f"{out}/bundle", preprocessor_stats=prep.statistics())
+        data = prep.transform(split)
+        train = data.where(F.col("split") == "train")
+        train = mg.reweighing(train, spec, out="w_fair")
+        train = mg.class_weights(train, spec, base_weight="w_fair", out="weight")
+        train = mg.kfold(train, spec, CV_FOLDS)
+        # the split table keeps its weights as a column (saved and reloaded together)
+        return train.unionByName(data.where(F.col("split") == "test"), allowMissingColumns=True)
+
+    # a rerun into the same folder keeps the split and the preprocessor that it finds
+    store.split_or_create(spark, f"{out}/split", spec.with_(weight="weight"), FEATURES, create)
     train = store.load_split(spark, f"{out}/split", "train")
     test = store.load_split(spark, f"{out}/split", "test")
 

@@ -61,6 +61,17 @@ def risk_tier(p: str) -> F.Column:
     return F.when(F.col(p) < lo, F.lit(TIER_LOW)).when(F.col(p) < hi, F.lit(TIER_MEDIUM)).otherwise(F.lit(TIER_HIGH))
 
 
+def score_with_bundle(df: DataFrame, bundle: dict, spec: AuditSpec, out: str = "prediction") -> DataFrame:
+    """S10 + O1 + H6: rows scored by a loaded bundle: its preprocessor, its model, its group thresholds
+    (the default cut where it has none)."""
+    from .prep import Preprocessor
+    from .search import predict_scores
+    from .thresholds import apply_thresholds
+    prep = Preprocessor.from_statistics(bundle["preprocessor"])
+    scored = predict_scores(bundle["model"], prep.transform(df), prep.cols, "p_model")
+    return apply_thresholds(scored, spec.with_(score="p_model"), bundle["thresholds"], out=out)
+
+
 def score_batch(df: DataFrame, model, features: Sequence[str], preprocessor=None,
                 spec: AuditSpec | None = None, out: str = "p") -> DataFrame:
     """O1: drop nothing but select the training feature order, preprocess with

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import fairness as fm
 from ..operators import mitigate as mg
 from ..session import scratch_path
@@ -29,12 +31,13 @@ def q_scan_decisions(spark, sf):
     return store.read_table_at(spark, path, fmt="csv", schema=DECISION_DDL)
 
 
-@register("split_roundtrip", with_(D, EXACT_SQL) + "SELECT id, y, g FROM hs WHERE split = 'test'", rows="S4 S5")
+@register("split_roundtrip", with_(D, EXACT_SQL) + "SELECT id, y, g, split FROM hs", rows="S4 S5")
 def q_split_roundtrip(spark, sf):
     path = scratch_path(spark, "split")
     df = mg.holdout_exact(decision_frame(spark, sf), DECISIONS).select("id", "y", "g", "o_totalprice", "split")
     store.save_split(df, path, DECISIONS, ["o_totalprice"])
-    return store.load_split(spark, path, "test").select("id", "y", "g")
+    both = store.load_split(spark, path, "train").unionByName(store.load_split(spark, path, "test"))
+    return both.select("id", "y", "g", F.col("split").cast("string").alias("split"))
 
 
 @register("model_report", with_(D, CM, RANK, PAR) + """,

@@ -90,6 +90,13 @@ def load_split(spark: SparkSession, path: str, which: str | None = None, split:
     return df.where(F.col(split) == which) if which else df
 
 
+def split_or_create(spark: SparkSession, path: str, spec: AuditSpec, features: Sequence[str], create) -> DataFrame:
+    """The split table at ``path``; where there is none, ``create()`` makes it and it is saved first."""
+    if not path_exists(spark, f"{path}/roles"):   # written last
+        save_split(create(), path, spec, features)
+    return load_split(spark, path)
+
+
 def load_roles(spark: SparkSession, path: str) -> dict:
     """S5 roles: the one-row sidecar (a few column names) read on the driver."""
     r = spark.read.json(f"{path}/roles").first()
@@ -111,13 +118,15 @@ def save_bundle(path: str, model=None, thresholds: DataFrame | None = None, repo
         write_table(preprocessor_stats, f"{path}/preprocessor")
 
 
-def load_bundle(spark: SparkSession, path: str, model_class=None) -> dict:
-    """Prefer the wrapped model, else the base model; thresholds, report
-    and preprocessor statistics are optional (None when absent)."""
+def load_bundle(spark: SparkSession, path: str) -> dict:
+    """Prefer the wrapped model, else the base model, of whatever class
+    was saved (Spark ML keeps it in the model's metadata); model, thresholds,
+    report and preprocessor statistics are each None when absent."""
+    from pyspark.ml.util import DefaultParamsReader
     out = {"model": None, "thresholds": None, "report": None, "preprocessor": None}
     for name in ("wrapped_model", "model"):
-        if model_class is not None and path_exists(spark, f"{path}/{name}"):
-            out["model"] = model_class.load(f"{path}/{name}")
+        if path_exists(spark, f"{path}/{name}"):
+            out["model"] = DefaultParamsReader.loadParamsInstance(f"{path}/{name}", spark.sparkContext)
             break
     for name in ("thresholds", "report", "preprocessor"):
         if path_exists(spark, f"{path}/{name}"):

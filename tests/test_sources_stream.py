@@ -191,3 +191,42 @@ def test_stream_scoring_with_fitted_model_equals_batch(spark, tmp_path):
     batch = se.predict_scores(model, df, ["x1", "x2"], "p")
     assert out.select("id", "p").exceptAll(batch.select("id", "p")).count() == 0
     assert out.count() == 300
+
+
+def test_bundle_scores_like_the_fitted_parts(spark, tmp_path):
+    """Save, load and score: the same scores and decisions as the parts in memory; the model class is found by itself."""
+    from equilens.operators import prep as pp
+    from equilens.operators import scoring as sc
+    from equilens.operators import search as se
+    from equilens.operators import thresholds as th
+    from equilens.spec import DECISIONS
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 2).cast("int").alias("g"), ((F.col("id") * 37) % 100 / 10.0).alias("x1"),
+                                 F.when(F.col("id") % 9 != 0, (F.col("id") * 11) % 7).cast("double").alias("x2"),
+                                 (((F.col("id") * 37) % 100) >= 60).cast("int").alias("y"))
+    prep = pp.Preprocessor(["x1", "x2"]).fit(df)
+    train = prep.transform(df)
+    spec = DECISIONS.with_(score="p_model")
+    for params in ({"model_type": "logistic_regression", "lr_penalty": "l2", "lr_C": 1.0},
+                   {"model_type": "random_forest", "rf_n_estimators": 5, "rf_max_depth": 4, "rf_min_samples_split": 2, "rf_min_samples_leaf": 1}):
+        path = f"{tmp_path}/{params['model_type']}"
+        model = se.fit_family(train, params, ["x1", "x2"])
+        scored = se.predict_scores(model, train, ["x1", "x2"], "p_model")
+        table = th.fit_thresholds(scored, spec)
+        store.save_bundle(path, model=model, thresholds=table, preprocessor_stats=prep.statistics())
+        want = th.apply_thresholds(scored, spec, table, out="prediction")
+        got = sc.score_with_bundle(df, store.load_bundle(spark, path), spec)
+        cols = ["id", "p_model", "prediction", "fairness_adjusted"]
+        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_split_is_loaded_or_created(spark, tmp_path):
+    from equilens.spec import DECISIONS
+    made = []
+
+    def create():
+        made.append(1)
+        return spark.createDataFrame([(1, 0, 1, 2.0, "train"), (2, 1, 0, 3.0, "test")], "id long, y int, g int, x double, split string")
+    for _ in range(2):
+        out = store.split_or_create(spark, f"{tmp_path}/split", DECISIONS, ["x"], create)
+        assert sorted((r.id, r.split) for r in out.collect()) == [(1, "train"), (2, "test")]
+    assert len(made) == 1
