@@ -39,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, isolate, mix64, restore, row_id, slots, write_once
+from .common import NULL_ID, isolate, mix64, restore, row_id, slots, value_ranges, write_once
 from .graph import components
 
 WORDS, NUM, DEN = 3, 90, 100
-TILE, BITS, FAN, BATCH_MB, BUCKET_MB = 2048, 4096, 8, 8, 8
+TILE, BITS, FAN, BATCH_MB, BUCKET_MB = 1024, 4096, 8, 4, 8
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[list(b" \t\n\x0b\x0c\r")] = True
@@ -116,7 +116,7 @@ class Sets:
         self.tokens, self.ends = shingle_sets([texts[i] for i in order], words)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.sizes = self.ends - self.starts
-        self.doc = np.repeat(np.arange(len(order)), self.sizes)
+        self.doc = np.repeat(np.arange(len(order), dtype=np.int32), self.sizes)
         self.key1, self.key2 = group_sums(mix64(self.tokens), self.ends), group_sums(mix64(self.tokens ^ _GOLD), self.ends)
         # the first document of each distinct set; the rows are in order of id
         pair = np.rec.fromarrays([self.sizes, self.key1, self.key2])
@@ -125,6 +125,7 @@ class Sets:
         self.is_rep[self.rep] = True
         self.is_rep &= self.sizes > 0
         self.short, self.where, counts = np.unique((self.tokens >> _U(32)).astype(np.uint32), return_inverse=True, return_counts=True)
+        self.where = self.where.astype(np.int32)
         self.counts = np.minimum(counts, 255).astype(np.uint8)
 
     def prefixes(self, level: np.ndarray, num: int, den: int) -> None:
@@ -182,15 +183,26 @@ def count_classes(table: pa.Table) -> pa.Table:
     """Bucket side of the counts: for each asked hash the class (log2, at most 15) of its document count."""
     counts = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")]
     values = [unpack_sorted(x.as_py(), len(c)) for x, c in zip(table.column("hashes"), counts, strict=True)]
-    v, c = np.concatenate(values), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(v, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], v[order][1:] != v[order][:-1]]))
-    total = np.add.reduceat(c[order], start)
-    level = np.empty(len(v), np.uint8)
-    level[order] = np.repeat(np.minimum(np.log2(total), 15).astype(np.uint8), np.diff(np.append(start, len(v))))
-    cuts = np.cumsum([0] + [len(x) for x in values])
+    level = [np.empty(len(c), np.uint8) for c in counts]
+    for cut in value_ranges(values):
+        v = np.concatenate([x[a:b] for x, (a, b) in zip(values, cut, strict=True)])
+        c = np.concatenate([x[a:b] for x, (a, b) in zip(counts, cut, strict=True)]).astype(np.int64)
+        order = np.argsort(v, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], v[order][1:] != v[order][:-1]]))
+        total = np.add.reduceat(c[order], start)
+        own = np.empty(len(v), np.uint8)
+        own[order] = np.repeat(np.minimum(np.log2(total), 15).astype(np.uint8), np.diff(np.append(start, len(v))))
+        put_back(level, cut, own)
     return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"),
-                     "answer": pa.array([nibbles(level[a:b]) for a, b in pieces(cuts)], pa.binary())})
+                     "answer": pa.array([nibbles(x) for x in level], pa.binary())})
+
+
+def put_back(into: list[np.ndarray], cut, values: np.ndarray) -> None:
+    """Hand a range's joined values back to the arrays it was cut from."""
+    k = 0
+    for x, (a, b) in zip(into, cut, strict=True):
+        x[a:b] = values[k:k + b - a]
+        k += b - a
 
 
 def open_tokens(table: pa.Table) -> pa.Table:
@@ -198,19 +210,19 @@ def open_tokens(table: pa.Table) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": table.column("digits")})
     digits = [np.frombuffer(x.as_py(), _U) for x in table.column("digits")]
-    tags = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("tags")])
-    shared = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(d)).astype(bool)
-                             for x, d in zip(table.column("shared"), digits, strict=True)])
-    d = np.concatenate(digits)
-    order = np.argsort(d, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], d[order][1:] != d[order][:-1]]))
-    sizes = np.diff(np.append(start, len(d)))
-    is_open = np.logical_or.reduceat(shared[order], start) | (np.minimum.reduceat(tags[order], start) != np.maximum.reduceat(tags[order], start))
-    answer = np.empty(len(d), bool)
-    answer[order] = np.repeat(is_open, sizes)
-    cuts = np.cumsum([0] + [len(x) for x in digits])
+    tags = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("tags")]
+    shared = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(d)) for x, d in zip(table.column("shared"), digits, strict=True)]
+    answer = [np.empty(len(d), bool) for d in digits]
+    for cut in value_ranges(digits):
+        d, tag, two = (np.concatenate([x[a:b] for x, (a, b) in zip(xs, cut, strict=True)]) for xs in (digits, tags, shared))
+        order = np.argsort(d, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], d[order][1:] != d[order][:-1]]))
+        is_open = (np.maximum.reduceat(two[order], start) > 0) | (np.minimum.reduceat(tag[order], start) != np.maximum.reduceat(tag[order], start))
+        own = np.empty(len(d), bool)
+        own[order] = np.repeat(is_open, np.diff(np.append(start, len(d))))
+        put_back(answer, cut, own)
     return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"),
-                     "answer": pa.array([np.packbits(answer[a:b]).tobytes() for a, b in pieces(cuts)], pa.binary())})
+                     "answer": pa.array([np.packbits(x).tobytes() for x in answer], pa.binary())})
 
 
 def answers_of(table: pa.Table) -> list[bytes]:
