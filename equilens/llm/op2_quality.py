@@ -37,6 +37,7 @@ from .common import fold, isolate, restore
 FOLDS, HELD_OUT = 3, 1
 MOST_POSITIVES, MOST_UNLABELLED = 6_000, 12_000
 HIDDEN, STEPS, PRIOR_STEPS, BATCH, RATE, DECAY = 24, 600, 150, 512, 2e-3, 1e-3
+MARGIN = 4.0
 
 #: Character classes: each of these is a class of its own, then come groups.
 _SINGLE = b" \n*$%&#|!?.,;:<>{}[]()=/\\_-+@\"'~^`"
@@ -132,7 +133,8 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 5) -> float:
     levels = np.quantile(np.concatenate([p, u]), np.linspace(0, 0.98, 99))
     tail_p = 1 - np.searchsorted(p, levels) / len(p)
     tail_u = 1 - np.searchsorted(u, levels) / len(u)
-    margin = math.sqrt(math.log(20) / (2 * len(p))) + math.sqrt(math.log(20) / (2 * len(u)))
+    # a wide margin: small samples must not take a chance dip of a thin tail for the prior
+    margin = MARGIN * (math.sqrt(math.log(20) / (2 * len(p))) + math.sqrt(math.log(20) / (2 * len(u))))
     with np.errstate(divide="ignore", invalid="ignore"):
         best = int(np.nanargmin(np.where(tail_p > 0, (tail_u + margin) / tail_p, np.inf)))
     return float(np.clip(tail_u[best] / tail_p[best], 0.02, 0.98))
