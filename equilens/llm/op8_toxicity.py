@@ -4,9 +4,11 @@ A word enters as its own embedding (words seen often enough in training, else
 a shared unknown vector) next to the mean embedding of its character
 trigrams. Two gated recurrent layers read a window of ``WINDOW`` words in both
 directions, attention pools their states, a linear unit gives the window's
-logit. All windows at every ``STRIDE`` words (and one at the end) of a whole
-text are scored; the text's score is its highest window, mapped to a
-probability by a logistic curve fitted on the training documents.
+logit. The windows at every ``STRIDE`` = 1 words of a whole text, so all
+overlapping ones, are scored; the text's score is its highest window, mapped
+to a probability by a logistic curve fitted on the training documents' highest
+windows, taken in the same way. Neighbouring windows run through the network
+side by side, so a step reads its inputs as one slice of the text's.
 
 The network is trained in numpy on the driver, by Adam, from document labels:
 in every round the current network picks each document's highest windows,
@@ -15,8 +17,9 @@ ones). Embeddings start with the word's and trigram's log-odds, so the first
 picks are sensible.
 
 Documented bounds of the fit: ``MOST_TOXIC`` and ``MOST_CLEAN`` training
-documents by hash of the id, of at most ``MOST_CHARS`` characters. Scoring
-covers all texts whole; memory is one Arrow batch, a bounded word cache and
+documents by hash of the id, of at most ``MOST_CHARS`` characters; the windows
+trained on are picked from those at every ``FIT_STRIDE`` words. Scoring covers
+all texts whole; memory is one Arrow batch, a bounded word cache and
 one block of windows.
 
 Defined cases: null, empty and blank texts are one window of a single unknown
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import fold, isolate
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE, FIT_STRIDE = 32, 1, 16
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 800, 1600, 20_000
 WORD_DIM, CHAR_DIM, HIDDEN, GRAMS, LEAST_DOCS = 8, 8, 8, 4096, 3
 ROUNDS, RATE, BATCH = 4, 6e-3, 128
@@ -65,11 +68,11 @@ def char_means(table: np.ndarray, words: list[bytes]) -> np.ndarray:
     return sums / np.diff(np.append(starts, len(code)))[:, None]
 
 
-def windows(n: int) -> np.ndarray:
+def windows(n: int, stride: int = STRIDE) -> np.ndarray:
     """First words of the windows over n words."""
     if n <= WINDOW:
         return np.zeros(1, np.int64)
-    s = np.arange(0, n - WINDOW + 1, STRIDE)
+    s = np.arange(0, n - WINDOW + 1, stride)
     return s if s[-1] == n - WINDOW else np.append(s, n - WINDOW)
 
 
@@ -116,9 +119,71 @@ def gates_of(p, x):
     return np.concatenate([x @ p["wf"] + p["bf"], x @ p["wb"] + p["bb"]], axis=1)
 
 
+def sliding(p, gates, ids) -> np.ndarray:
+    """Logits of the windows at every word of a run of ids: what ``logits`` gives, step by step for
+    neighbouring windows at once. The states enter attention and output as one number each a step."""
+    h, b = HIDDEN, BLOCK
+    scale = np.repeat(np.float32([0.5, 1]), [2 * h, h])   # sig(x) is 0.5 * tanh(0.5 * x) + 0.5
+    half = []
+    for k, part in (("uf", slice(None, h)), ("ub", slice(h, None))):
+        half.append(np.concatenate([p[k].T * 0.5, p["att"][None, part], p["out"][None, part]]).astype(np.float32))
+    out = np.empty(max(len(ids) - WINDOW + 1, 0), np.float32)
+    for at in range(0, len(out), b):
+        n = min(b, len(out) - at)
+        x = gates[ids[at:at + n + WINDOW - 1]]
+        told = np.zeros((2, WINDOW, n), np.float32)   # of attention and output, by word of the window
+        for d, u in enumerate(half):
+            xs = np.ascontiguousarray((x[:, 3 * h * d:3 * h * (d + 1)] * scale).T)
+            state = np.zeros((h, n), np.float32)
+            a, zr, new = np.empty((3 * h + 2, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
+            z, r = zr[:h], zr[h:]
+            order = range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1)
+            before = None
+            for t in order:
+                np.matmul(u, state, out=a)
+                if before is not None:
+                    told[:, before] += a[3 * h:]
+                np.add(xs[:2 * h, t:t + n], a[:2 * h], out=zr)
+                np.tanh(zr, out=zr)
+                r += 1
+                np.multiply(r, a[2 * h:3 * h], out=new)
+                new += xs[2 * h:, t:t + n]
+                np.tanh(new, out=new)
+                state -= new
+                z *= 0.5
+                z += 0.5
+                state *= z
+                state += new
+                before = t
+            told[:, before] += u[3 * h:] @ state
+        e, o = told
+        e -= e.max(0)
+        np.exp(e, out=e)
+        o *= e
+        out[at:at + n] = o.sum(0) / e.sum(0) + p["bias"][0]
+    return out
+
+
+def highest(p, gates, docs: list[np.ndarray]) -> np.ndarray:
+    """The highest window logit of each text of word ids."""
+    out = np.empty(len(docs), np.float32)
+    full = [i for i, d in enumerate(docs) if len(d) >= WINDOW]
+    short = [i for i, d in enumerate(docs) if len(d) < WINDOW]
+    if full:
+        ends = np.cumsum([len(docs[i]) for i in full])
+        starts = np.concatenate([[0], ends[:-1]])
+        z = sliding(p, gates, np.concatenate([docs[i] for i in full]))
+        # windows that reach into the next text lie between the segments
+        out[full] = np.maximum.reduceat(z, np.stack([starts, ends - WINDOW + 1], 1).ravel()[:-1])[::2]
+    for k in range(0, len(short), BLOCK):
+        cut = [blocks(docs[i]) for i in short[k:k + BLOCK]]
+        out[short[k:k + BLOCK]] = logits(p, gates, np.concatenate([b for b, _ in cut]), np.concatenate([m for _, m in cut]))
+    return out
+
+
 def blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """Windows of one text's word ids: (windows, WINDOW), and a mask where padded."""
-    s = windows(len(ids))
+    """Windows of one text's word ids to train on: (windows, WINDOW), and a mask where padded."""
+    s = windows(len(ids), FIT_STRIDE)
     if len(ids) >= WINDOW:
         return ids[s[:, None] + np.arange(WINDOW)], None
     mask = np.zeros((1, WINDOW), np.float32)
@@ -176,7 +241,8 @@ def train_net(texts: list[str], toxic: np.ndarray, seed: int = 8) -> dict:
     p |= {"att": rng.normal(0, 0.1, 2 * h), "out": np.where(np.arange(2 * h) % 2, 0.5, -0.5), "bias": np.zeros(1)}
     start = {"word": p["word"].copy(), "char": p["char"].copy()}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    cut = [blocks(np.array([local[w] for w in x], np.int64)) for x in docs]
+    ids_of = [np.array([local[w] for w in x], np.int64) for x in docs]
+    cut = [blocks(x) for x in ids_of]
     wins = np.concatenate([b for b, _ in cut])
     masks = np.concatenate([np.ones(b.shape, np.float32) if k is None else k for b, k in cut])
     first = np.concatenate([[0], np.cumsum([len(b) for b, _ in cut])])
@@ -235,10 +301,9 @@ def train_net(texts: list[str], toxic: np.ndarray, seed: int = 8) -> dict:
                     m[k2] = 0.9 * m[k2] + 0.1 * gr
                     v[k2] = 0.999 * v[k2] + 0.001 * gr * gr
                     p[k2] -= RATE * (EMBED_RATE if k2 in ("word", "char") else 1) * (m[k2] / (1 - 0.9 ** step)) / (np.sqrt(v[k2] / (1 - 0.999 ** step)) + 1e-8)
-    z = all_logits()
-    top = np.maximum.reduceat(z, first[:-1])
-    a, b = curve(top, toxic)
-    return {"p": {k: x.astype(np.float32) for k, x in p.items()}, "vocab": vocab, "curve": (a, b)}
+    q = {k: x.astype(np.float32) for k, x in p.items()}
+    a, b = curve(highest(q, gates_of(q, inputs().astype(np.float32)), ids_of), toxic)
+    return {"p": q, "vocab": vocab, "curve": (a, b)}
 
 
 def curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -278,10 +343,6 @@ class Scorer:
             self.ids.update(zip(part, range(self.used, self.used + len(part)), strict=True))
             self.used += len(part)
 
-    def block_logits(self, wins, mask=None) -> np.ndarray:
-        return np.concatenate([logits(self.p, self.gates, wins[i:i + BLOCK], None if mask is None else mask[i:i + BLOCK])
-                               for i in range(0, len(wins), BLOCK)])
-
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """The highest window logit of each text."""
         docs = [words_of(t) for t in texts]
@@ -289,23 +350,7 @@ class Scorer:
             self.reset()
         known = self.ids
         self.learn([w for w in dict.fromkeys(w for d in docs for w in d) if w not in known])
-        out = np.empty(len(docs))
-        full, short, at_full, at_short, masks = [], [], [], [], []
-        for i, d in enumerate(docs):
-            b, m = blocks(np.fromiter(map(known.__getitem__, d), np.int64, len(d)))
-            if m is None:
-                full.append(b)
-                at_full.append(i)
-            else:
-                short.append(b)
-                masks.append(m)
-                at_short.append(i)
-        if full:
-            z = self.block_logits(np.concatenate(full))
-            out[at_full] = np.maximum.reduceat(z, np.concatenate([[0], np.cumsum([len(b) for b in full])[:-1]]))
-        if short:
-            out[at_short] = self.block_logits(np.concatenate(short), np.concatenate(masks))
-        return out
+        return highest(self.p, self.gates, [np.fromiter(map(known.__getitem__, d), np.int64, len(d)) for d in docs])
 
     def scores(self, texts: pd.Series) -> np.ndarray:
         """Texts in groups of a bounded length, each whole."""

@@ -80,3 +80,22 @@ def test_trigrams_stay_inside_words():
     code, starts = op.trigrams(words)
     assert list(np.diff(np.append(starts, len(code)))) == [4, 1, 2]
     assert (code[:4] == op.trigrams([b"abc"])[0]).all() and (code[5:] == op.trigrams([b"x"])[0]).all()
+
+
+def test_every_overlapping_window_is_scored():
+    rng = np.random.default_rng(1)
+    h, kinds = op.HIDDEN, 40
+    p = {"uf": rng.normal(0, 0.5, (h, 3 * h)), "ub": rng.normal(0, 0.5, (h, 3 * h)), "att": rng.normal(size=2 * h),
+         "out": rng.normal(size=2 * h), "bias": rng.normal(size=1)}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    gates = rng.normal(0, 1, (kinds, 6 * h)).astype(np.float32)
+    docs = [rng.integers(0, kinds, n) for n in (100, 1, 32, 33, 5000, 31, 40)]
+    for d, got in zip(docs, op.highest(p, gates, docs), strict=True):
+        if len(d) < op.WINDOW:
+            mask = np.zeros((1, op.WINDOW), np.float32)
+            mask[0, :len(d)] = 1
+            want = op.logits(p, gates, np.pad(d, (0, op.WINDOW - len(d)))[None, :], mask)
+        else:
+            want = op.logits(p, gates, np.lib.stride_tricks.sliding_window_view(d, op.WINDOW))
+        assert abs(want.max() - got) < 1e-4
+    assert list(op.windows(100)) == list(range(69))
