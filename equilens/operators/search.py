@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -264,6 +265,7 @@ def cv_search(df: DataFrame, spec: AuditSpec, features: Sequence[str], trials: S
     failed: dict[int, str] = {}
     for t in trials:
         params = json.loads(t["params"])
+        own = []
         for k in folds:
             tr, va = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
             try:
@@ -272,9 +274,12 @@ def cv_search(df: DataFrame, spec: AuditSpec, features: Sequence[str], trials: S
                 failed[int(t["trial"])] = str(e)[:500]
                 break
             sc = predict_scores(model, va.select(spec.id, spec.label, spec.group, *features), features, "p_model")
-            stacked.append(sc.select(F.lit(int(t["trial"])).alias("trial"), F.lit(int(k)).alias("fold"),
-                                     spec.id, spec.label, spec.group, "p_model",
-                                     (F.col("p_model") >= F.lit(float(t["cut"]))).cast("int").alias("pred_model")))
+            own.append(sc.select(F.lit(int(t["trial"])).alias("trial"), F.lit(int(k)).alias("fold"),
+                                 spec.id, spec.label, spec.group, "p_model",
+                                 (F.col("p_model") >= F.lit(float(t["cut"]))).cast("int").alias("pred_model")))
+        if own and int(t["trial"]) not in failed:
+            # written, so that a trial's ensembles are let go before the next trial is fitted
+            stacked.append(write_once(reduce(DataFrame.unionByName, own), "trial"))
     if not stacked:
         raise ValueError("no trial could be fitted")
     allv = stacked[0]

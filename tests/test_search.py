@@ -143,3 +143,21 @@ def test_audit_job_end_to_end(spark, tmp_path):
     assert doc.total_trials == 2
     split = store.load_split(spark, str(tmp_path / "job/split"))
     assert split.where("split = 'train'").where(F.col("weight").isNull()).count() == 0
+
+
+def test_registered_search_has_all_families_as_drawn():
+    from equilens.plans import q_ml
+    trials = q_ml.search_trials()
+    assert {t["model_type"] for t in trials} == set(MODEL_FAMILIES)
+    assert trials == se.trial_rows()[:len(trials)]
+
+
+def test_registered_search_fits_the_drawn_parameters(monkeypatch):
+    from equilens.plans import q_ml
+    seen = []
+    monkeypatch.setattr(q_ml, "prepared", lambda spark, sf: (None, None))
+    monkeypatch.setattr(q_ml.mg, "kfold", lambda df, spec: df)
+    monkeypatch.setattr(q_ml, "write_once", lambda df, name: df)
+    monkeypatch.setattr(q_ml.se, "cv_search", lambda df, spec, features, trials, **kw: seen.extend(trials))
+    q_ml.q_search_fits(None, None)
+    assert seen == se.trial_rows()[:8]
