@@ -1,12 +1,15 @@
 """Main text of web pages, with site templates removed.
 
-Python parses each page once, into text blocks and the hashes of the element
-subtrees around them (tag, text and child hashes; attributes don't count);
-that is written once. Spark then counts, per host, in how many pages each hash
-occurs, with sums on the map side. A subtree is a template of its host when at least ``LEAST_PAGES`` pages and
-``SHARE`` of the host's pages hold it, so a host has at most (subtrees a page)
-/ ``SHARE`` templates whatever its size. Blocks inside a template of the
-page's host go, by array functions; the rest is the text.
+Python parses each page into text blocks and the hashes of the element
+subtrees around them (tag, text and child hashes; attributes don't count). The
+hashes are written once; Spark counts, per host, in how many pages each
+occurs, with sums on the map side. A subtree is a template of its host when at
+least ``LEAST_PAGES`` of its pages hold it, however many pages the host has;
+copies of a page are one page. The rows of (page, hash) are joined to the
+host's frequent hashes, so that each page learns its own templates only, and
+nothing holds all templates of a host. Then the pages are parsed again (less
+disk than keeping all their blocks as well as dealing them out) and blocks
+inside a template go, by array functions; the rest is the text.
 
 Besides templates, elements go that say what they are by tag, role, class or
 id: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import isolate, write_once
 
-LEAST_PAGES, SHARE = 5, 0.5
+LEAST_PAGES = 5
+#: One part in so many of all rows makes a hash hot.
+HOT = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -239,34 +244,45 @@ def main_text(html: str | None, templates=()) -> str:
     return "\n\n".join(text for text, around in main_blocks(html) if not set(around) & set(templates))
 
 
-def host_templates(blocks: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, templates) from pages (host, around: the distinct hashes of a page). Counts are summed map-side."""
-    counts = blocks.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "around")).alias("hash")) \
-        .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    counts = write_once(counts.where((F.col("n") >= least_pages) | F.col("hash").isNull()), "subtrees")
-    n_pages = counts.where(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("hash").isNotNull()).join(n_pages, "host").where(F.col("n") >= F.col("pages") * share)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+def page_templates(seen: DataFrame, least_pages: int = LEAST_PAGES, hot: int = HOT) -> DataFrame:
+    """(host, digest, templates) from distinct pages (host, digest, around: a page's distinct hashes), for pages with any.
+    Rows of (page, hash) meet their host's frequent hashes; the fewer than ``hot`` hashes with more than
+    1 / ``hot`` of all those rows are broadcast, so no key of the shuffled join holds more than that."""
+    pages = write_once(seen, "subtrees")
+    rows = pages.select("host", "digest", F.explode("around").alias("hash"))
+    often = write_once(rows.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages), "often")
+    limit = (often.agg(F.sum("n")).first()[0] or 0) / hot
+    most = F.broadcast(often.where(F.col("n") > limit).select("host", "hash"))
+    found = rows.join(most, ["host", "hash"]).unionByName(
+        rows.join(most, ["host", "hash"], "left_anti").join(often.where(F.col("n") <= limit).select("host", "hash"), ["host", "hash"]))
+    return found.groupBy("host", "digest").agg(F.collect_list("hash").alias("templates"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+            least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     base, at = isolate(pages)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(at[url_col]), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
+    @F.pandas_udf("array<long>")
+    def around_of(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: sorted({a for _, around in main_blocks(h) for a in around}))
+
     @F.pandas_udf("array<struct<text string, around array<long>>>")
     def blocks_of(html: pd.Series) -> pd.Series:
         return html.map(lambda h: [{"text": t, "around": a} for t, a in main_blocks(h)])
 
-    parsed = write_once(base.select(F.col(at[id_col]).alias("page_id"), F.col(at[url_col]).alias("url"), host.alias("host"),
-                                    blocks_of(F.col(at[html_col]).cast("string")).alias("blocks")), "blocks")
-    around = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
+    html = F.col(at[html_col]).cast("string")
+    # 128 bits: pages of one host and digest are copies
+    keyed = base.select(F.col(at[id_col]).alias("page_id"), F.col(at[url_col]).alias("url"), host.alias("host"), html.alias("html"),
+                        F.struct(F.xxhash64(html), F.xxhash64(F.lit(5), html)).alias("digest"))
+    seen = keyed.select("host", "digest", around_of("html").alias("around")).groupBy("host", "digest").agg(F.first("around").alias("around"))
     # written, so that Spark plans the join by the table's true size and need not shuffle the texts for a small one
-    templates = write_once(host_templates(parsed.select("host", around.alias("around")), least_pages, share), "templates")
+    templates = write_once(page_templates(seen, least_pages), "templates")
     left = F.filter("blocks", lambda b: F.col("templates").isNull() | ~F.arrays_overlap(b["around"], F.col("templates")))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n\n")
-    return (parsed.join(templates, "host", "left").select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
+    return (keyed.select("page_id", "url", "host", "digest", blocks_of("html").alias("blocks"))
+            .join(templates, ["host", "digest"], "left").select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
             .withColumn("n_chars", F.char_length("text").cast("long")))
 
 

@@ -55,3 +55,25 @@ def test_article_texts_are_no_templates(spark):
     rows = [(i, "http://h.org/", f"<article><p>the same story</p><div>share this</div><p>{i}</p></article>") for i in range(8)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.text for r in op.query(pages).collect()} == {f"the same story\n\n{i}" for i in range(8)}
+
+
+def test_templates_of_a_part_of_a_host_go(spark):
+    def page(i):
+        box = "<div class=b1><p>Section menu</p></div>" if i < 6 else ""
+        return f"<body>{box}<div>advert {i % 7 if i < 35 else i}</div><p>story {i}</p></body>"
+
+    rows = [(i, "http://big.example.com/%d" % i, page(i)) for i in range(60)]
+    copies = [(100 + i, "http://copied.example.com/%d" % i, "<body><div>told once</div></body>") for i in range(9)]
+    pages = spark.createDataFrame(rows + copies, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op.query(pages).collect()}
+    for i in range(60):
+        assert got[i] == (f"story {i}" if i < 35 else f"advert {i}\n\nstory {i}")
+    assert {got[r[0]] for r in copies} == {"told once"}
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_hot_and_rare_hashes_are_all_found(spark, hot):
+    seen = [("h", i, [1, 10 + i % 4, 100 + i]) for i in range(20)] + [("g", i, [1, 10]) for i in range(4)]
+    frame = spark.createDataFrame(seen, "host string, digest int, around array<long>")
+    got = {(r.host, r.digest): sorted(r.templates) for r in op.page_templates(frame, 5, hot).collect()}
+    assert got == {("h", i): [1, 10 + i % 4] for i in range(20)}
