@@ -21,7 +21,8 @@ Text: character references decoded, white space inside a block made one
 space, trimmed, blocks in page order joined by an empty line.
 
 Defined cases: null or empty html gives an empty text; unclosed, misnested and
-cut-off tags are closed where the page or a parent ends; a null url is a host
+cut-off tags are closed where the page or a parent ends; quoted attribute
+values are read whole, of any length; a null url is a host
 of its own; repeated pages are each answered. Parsing is linear and not
 recursive, so depth and length are bounded by the page alone.
 """
@@ -65,12 +66,47 @@ DROP_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising ba
                        "disclaimer hidden".split())
 MARKED = frozenset(("article", "main"))
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)"
-                  r"((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+(?=>|\Z)|[^>]*)(?:>|\Z))", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*))", re.S)
+_PLAIN = re.compile(r"[^>\"']*")
+#: A whole quoted value is no place to look for names.
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_NAME = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+class Attributes:
+    """Where the attributes of a page's tags end: at the first ``>`` outside quotes, or, where a quote has
+    no partner, at the first ``>`` of all. Quotes without partner are remembered, and so are all that a
+    scan opened before it met one, so that reading is linear whatever the page holds."""
+
+    def __init__(self, html: str):
+        self.html, self.alone, self.lost = html, {}, set()
+
+    def end(self, at: int) -> int:
+        html, i, opened = self.html, at, []
+        while True:
+            i = _PLAIN.match(html, i).end()
+            if i == len(html) or html[i] == ">":
+                return i
+            quote = html[i]
+            close = -1 if i in self.lost or i >= self.alone.get(quote, len(html)) else html.find(quote, i + 1)
+            opened.append(i)
+            if close < 0:
+                if i not in self.lost:
+                    self.alone[quote] = min(i, self.alone.get(quote, i))
+                self.lost.update(opened)
+                stop = html.find(">", at)
+                return len(html) if stop < 0 else stop
+            i = close + 1
+
+
+def attributes(attrs: str):
+    """(name, value) of the attributes that may tell what an element is."""
+    for name, a, b, c in _ATTR.findall(attrs):
+        for m in _NAME.finditer(name):
+            yield m.group(1).lower(), (a or b or c).lower() if m.end() == len(name) else ""
+
+
 class Page:
     """Elements in page order (``tag``, ``attrs``, ``parent``, ``digest``) and the run of opens, texts and closes."""
 
@@ -81,7 +117,7 @@ class Page:
         self.full = [False]
         self.open = [0]
         self.names: Counter = Counter()   # how many elements of each tag are open
-        at, end = 0, len(html)
+        at, end, attributes_of = 0, len(html), Attributes(html)
         while m := _TAG.search(html, at):
             if m.start() > at:
                 self.text(html[at:m.start()])
@@ -91,11 +127,12 @@ class Page:
                 if m.group(0).startswith("<![CDATA["):
                     self.text(m.group(0)[9:].removesuffix("]]>"))
                 continue
-            name = name.lower()
+            name, stop = name.lower(), attributes_of.end(at)
+            attrs, at = html[at:stop], min(stop + 1, end)
             if m.group(1):
                 self.end(name)
                 continue
-            self.start(name, m.group(3))
+            self.start(name, attrs)
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(html, at)
                 stop = close.start() if close else end
@@ -188,8 +225,7 @@ def boilerplate(page: Page, i: int, inside: bool) -> bool:
     if tag in DROP_TAGS or tag == "header" and not inside:
         return True
     if attrs:
-        for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
+        for name, value in attributes(attrs):
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             words = _WORD.findall(value)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from equilens.llm import op5_html as op
@@ -77,3 +79,18 @@ def test_hot_and_rare_hashes_are_all_found(spark, hot):
     frame = spark.createDataFrame(seen, "host string, digest int, around array<long>")
     got = {(r.host, r.digest): sorted(r.templates) for r in op.page_templates(frame, 5, hot).collect()}
     assert got == {("h", i): [1, 10 + i % 4] for i in range(20)}
+
+
+@pytest.mark.parametrize("quote,other", ["\"'", "'\""])
+def test_long_attribute_values_stay_in_their_tag(quote, other):
+    value = f"</article><nav>{other}hidden class=ad{other} > " * 2000
+    assert op.main_text(f"<article><p data-state={quote}{value}{quote} class=lead>told</p><p>more</p></article>") == "told\n\nmore"
+    assert op.main_text(f"<div data-state={quote}{value}{quote} class={quote}ad{quote}>buy</div><p>stay") == "stay"
+
+
+def test_mismatched_quotes_are_read_in_linear_time():
+    began = time.process_time()
+    for html in ('<a ">" ' * 60_000 + "'", "<a '>' \">\" " * 60_000 + '"', '<a ">' * 60_001, "<a \"'>" * 60_001, "<a x='1\">" * 60_001):
+        op.Page(html)
+    assert time.process_time() - began < 20
+    assert op.main_text("<p title=\"x>one</p><p>it's</p>") == "one\n\nit's"
