@@ -64,3 +64,30 @@ def test_scores_use_the_text_only(corpus):
     a = docs.where("doc_id < 50").select(op.score_column(model, docs["text"]).alias("s")).collect()
     b = docs.where("doc_id < 50").selectExpr("text", "0 as doc_id").select(op.score_column(model, __import__("pyspark").sql.functions.col("text")).alias("s")).collect()
     assert sorted(r.s for r in a) == sorted(r.s for r in b)
+
+
+def test_a_clean_corpus_is_kept_whole(corpus):
+    docs, labels, truth = corpus
+    good = docs.where("doc_id < 900 and doc_id % 5 != 0")
+    model = op.train(good, labels)
+    assert model["prior"] == 1
+    assert op.keep_good(good, model).count() == good.count()
+
+
+def test_the_cut_is_that_of_all_documents(corpus):
+    docs, labels, _ = corpus
+    model = op.train(docs, labels, most_unlabelled=120)
+    n = docs.count()
+    kept = op.keep_good(docs, model).count()
+    assert abs(kept / n - model["prior"]) <= 4 / n   # copies and ties apart
+    every = docs.select("text")
+    assert op.histogram(every, model).sum() == n
+
+
+def test_the_prior_counts_all_documents(corpus, monkeypatch):
+    docs, labels, _ = corpus
+    seen = []
+    plain = op.best_bin
+    monkeypatch.setattr(op, "best_bin", lambda hp, hu: seen.append(int(hu.sum())) or plain(hp, hu))
+    op.train(docs, labels, most_unlabelled=120)
+    assert seen[0] >= docs.count() - 62   # without the 60 fitted ones, and copies of those
