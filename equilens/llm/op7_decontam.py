@@ -7,28 +7,36 @@ block is two words (one for one-word windows), the shift table gives how far
 the window's end may move on, blocks that end a window lead to a bucket, and
 direct comparison confirms each occurrence.
 
-Tables are built per window length, in slices of at most ``SLICE_WINDOWS``
-windows, so what is broadcast has a bound whatever the benchmark's size; a
-second slice is a second pass over the documents, and the passes' hits are
-merged per document. Each document is searched whole, alone, in one task.
+Spark computes the benchmark's distinct windows with their item ids and writes
+them once, ordered by a hash. They are taken in slices of about
+``SLICE_WINDOWS`` windows by ranges of that hash; the driver fetches one slice
+at a time and tasks build its tables, per window length, so what is broadcast
+has a bound whatever the benchmark's size. A second slice is a second pass
+over the documents, after the first one's hits are written; the passes' hits
+are merged per document. Each document is searched whole, alone, in one task.
 
 Defined cases: null and empty text have no words; repeated item texts give
-each of their item ids; repeated document rows are each answered; an empty
+each of their item ids; items without an id are searched like any, and all of
+them together count as one item, with no part in the hash of the ids; repeated document rows are each answered; an empty
 benchmark or document table gives no hits or no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import isolate, restore, row_id
+from .common import isolate, restore, row_id, write_once
 
 N = 10
 SLICE_WINDOWS = 200_000
+#: Values of the hash that orders the windows.
+PLACES = 1 << 30
 _KEEP = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
               for b in range(256))
 
@@ -71,25 +79,51 @@ class WuManber:
             i += 1
 
 
-def slices(benchmark: DataFrame, id_col: str, text_col: str, n: int, most: int) -> Iterator[list[WuManber]]:
-    """Matchers for the benchmark, at most ``most`` windows (or one item) at a time."""
+def windows_of(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(length, window, items, nameless, place): the distinct windows with the ids of their items, and whether
+    an item without an id holds them; ``place`` is a hash, and the rows are written in its order."""
+    def run(batches):
+        for b in batches:
+            ids, lengths, wins = [], [], []
+            for k, (item, text) in enumerate(zip(b.column(0), b.column(1), strict=True), start=1):
+                words = words_of(text.as_py())
+                length = min(n, len(words))
+                own = {b" ".join(words[s:s + length]) for s in range(len(words) - length + 1)} if length else ()
+                ids += [item.as_py()] * len(own)
+                lengths += [length] * len(own)
+                wins += own
+                if len(wins) >= 50_000 or k == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lengths, pa.int32()), pa.array(wins, pa.binary())],
+                                                     ["item", "length", "window"])
+                    ids, lengths, wins = [], [], []
+
+    found = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "item string, length int, window binary")
+    return write_once(found.groupBy("length", "window").agg(F.collect_set("item").alias("items"), F.bool_or(F.col("item").isNull()).alias("nameless"))
+                      .withColumn("place", F.pmod(F.xxhash64("length", "window"), F.lit(PLACES))).orderBy("place"), "windows")
+
+
+def slices(benchmark: DataFrame, id_col: str, text_col: str, n: int, most: int) -> list[DataFrame]:
+    """The benchmark's distinct windows in parts of about ``most``."""
+    windows = windows_of(benchmark, id_col, text_col, n)
+    parts = -(-windows.count() // most)
+    return [windows.where((F.col("place") >= PLACES * k // parts) & (F.col("place") < PLACES * (k + 1) // parts)) for k in range(parts)]
+
+
+def fetched(part: DataFrame) -> list[tuple[int, bytes, list]]:
+    """The windows of one slice, for the closure that a pass over the documents ships; tasks make their tables of them."""
+    return [(r["length"], bytes(r["window"]), [*r["items"], *[None] * r["nameless"]]) for r in part.collect()]
+
+
+def matchers_of(rows: list[tuple[int, bytes, list]]) -> list[WuManber]:
     by_length: dict[int, dict] = {}
-    held = 0
-    for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        words = words_of(text)
-        length = min(n, len(words))
-        if item is None or not length:
-            continue
-        for s in range(len(words) - length + 1):
-            items = by_length.setdefault(length, {}).setdefault(tuple(words[s:s + length]), [])
-            if item not in items:
-                items.append(item)
-        held += len(words) - length + 1
-        if held >= most:
-            yield [WuManber(w, k) for k, w in by_length.items()]
-            by_length, held = {}, 0
-    if by_length:
-        yield [WuManber(w, k) for k, w in by_length.items()]
+    for length, window, items in rows:
+        by_length.setdefault(length, {})[tuple(window.split(b" "))] = items
+    return [WuManber(w, k) for k, w in sorted(by_length.items())]
+
+
+def listed(items: set) -> list:
+    """Ids in order; one null at the end stands for all items without an id."""
+    return sorted(x for x in items if x is not None) + [None] * (None in items)
 
 
 def search(words: list[bytes], matchers: list[WuManber]) -> tuple[list[int], set[str]]:
@@ -108,11 +142,10 @@ def search(words: list[bytes], matchers: list[WuManber]) -> tuple[list[int], set
     return runs, items
 
 
-def _hits(slim: DataFrame, matchers: list[WuManber] | None) -> DataFrame:
+def _hits(slim: DataFrame, windows: list) -> DataFrame:
     """(doc, version, n_words, runs, items) of each row."""
-    tables = matchers or []   # a closure over 1 MB is broadcast by PySpark itself
-
     def run(batches):
+        tables = matchers_of(windows)   # a closure over 1 MB is broadcast by PySpark itself
         for b in batches:
             n_words, runs, items = [], [], []
             for text in b.column(2):
@@ -120,7 +153,7 @@ def _hits(slim: DataFrame, matchers: list[WuManber] | None) -> DataFrame:
                 found = search(words, tables)
                 n_words.append(len(words))
                 runs.append(found[0])
-                items.append(sorted(found[1]))
+                items.append(listed(found[1]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())),
                  pa.array(items, pa.list_(pa.string()))], ["doc", "version", "n_words", "runs", "items"])
@@ -140,7 +173,7 @@ def _merged(hits: DataFrame) -> DataFrame:
                         runs[-1] = max(runs[-1], e)
                     else:
                         runs += [s, e]
-                d["runs"], d["items"] = runs, sorted({x for r in d["items"] for x in r})
+                d["runs"], d["items"] = runs, listed({x for r in d["items"] for x in r})
             yield pa.RecordBatch.from_pylist(docs, schema=pa.schema(
                 [("doc", pa.int64()), ("version", pa.int64()), ("n_words", pa.int64()),
                  ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
@@ -153,13 +186,17 @@ def _merged(hits: DataFrame) -> DataFrame:
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               item_col: str = "item_id", item_text: str = "text", n: int = N,
               slice_windows: int = SLICE_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, runs, items): runs are the maximal hit word ranges, items the sorted ids found."""
+    """(doc_id, n_words, runs, items): runs are the maximal hit word ranges, items the sorted ids found, then
+    a null if an item without an id was. Of several slices each pass is written before the next slice is fetched."""
     base, at = isolate(docs)
     bench, b = isolate(benchmark)
     slim = base.select(row_id(at[id_col]).alias("doc"), F.xxhash64(at[text_col]).alias("version"),
                        F.col(at[text_col]).cast("string"))
-    parts = [_hits(slim, m) for m in slices(bench, b[item_col], b[item_text], n, slice_windows)]
+    parts = slices(bench, b[item_col], b[item_text], n, slice_windows)
     if len(parts) > 1:
+        for k, part in enumerate(parts):
+            hits = _hits(slim, fetched(part))
+            parts[k] = write_once(hits.where(F.size("runs") > 0) if k else hits, "hits")
         copies = slim.groupBy("doc", "version").agg(F.count(F.lit(1)).cast("int").alias("copies"))
         union = parts[0]
         for p in parts[1:]:
@@ -167,7 +204,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
         hits = (_merged(union).join(copies, ["doc", "version"])
                 .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
     else:
-        hits = parts[0] if parts else _hits(slim, None)
+        hits = _hits(slim, fetched(parts[0]) if parts else [])
     doc = F.when(F.col("doc") != -(2 ** 63), F.col("doc"))
     return hits.select(doc.alias("doc_id"), "n_words", "runs", "items")
 
@@ -188,16 +225,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` without the rows that hold any benchmark window; columns as they were.
 
     One pass over the rows for each slice: the text column alone goes to
-    Python and one boolean comes back, so nothing is shuffled.
+    Python and one boolean comes back. With one slice nothing is shuffled; of
+    several, each pass writes the hashes (128 bits) of the texts it finds
+    before the next slice is fetched, and those texts go at the end.
     """
     base, at = isolate(docs)
     bench, b = isolate(benchmark)
-    for matchers in slices(bench, b["item_id"], b["text"], n, slice_windows):
-        @F.pandas_udf("boolean")
-        def clean(texts, tables=tuple(matchers)):
-            return texts.map(lambda t: not any(True for m in tables for _ in m.find(words_of(t))))
+    text = F.col(at[text_col]).cast("string")
 
-        base = base.where(clean(F.col(at[text_col])))
+    def clean_by(windows: list) -> Column:
+        made = []   # the tables of this task
+
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            if not made:
+                made.append(matchers_of(windows))
+            return texts.map(lambda t: not any(True for m in made[0] for _ in m.find(words_of(t)))).astype(bool)
+
+        return clean(text)
+
+    parts = slices(bench, b["item_id"], b["text"], n, slice_windows)
+    if len(parts) == 1:
+        base = base.where(clean_by(fetched(parts[0])))
+    elif parts:
+        version = [F.xxhash64(text).alias("v1"), F.xxhash64(F.lit(7), text).alias("v2")]
+        dirty = [write_once(base.where(~clean_by(fetched(part))).select(*version).distinct(), "dirty") for part in parts]
+        found = write_once(reduce(DataFrame.unionAll, dirty).distinct(), "dirty")
+        base = base.select("*", *version).join(found, ["v1", "v2"], "left_anti")
     return restore(base, docs.columns)
 
 

@@ -77,3 +77,19 @@ def test_search_finds_every_occurrence():
     text = [rng.choice([b"a", b"b", b"c"]) for _ in range(600)]
     found = [(s, i[0]) for s, i in op.WuManber(pats, 4).find(text)]
     assert sorted(found) == sorted((s, i[0]) for p, i in pats.items() for s in range(597) if tuple(text[s:s + 4]) == p)
+
+
+@pytest.mark.parametrize("most", [200_000, 6])
+def test_items_without_an_id_are_searched(docs_of, spark, most):
+    bench = spark.createDataFrame([(None, "no name here"), (None, "nor there"), (1, "two words"), (2, "no name here")], "item_id long, text string")
+    rows = [(1, "a no name here b"), (2, "so nor there"), (3, "two words, nor there"), (4, "clean"), (5, "two words")]
+    # the SQL counts the null id as one item and leaves it out of the list
+    want = {1: (3, ["2", None]), 2: (2, [None]), 3: (4, ["1", None]), 4: (0, []), 5: (2, ["1"])}
+    got = op.find_hits(docs_of(rows), bench, slice_windows=most // 3).collect()
+    assert {r.doc_id: r["items"] for r in got} == {i: items for i, (_, items) in want.items()}
+    assert {r.doc_id for r in op.decontaminate(docs_of(rows), bench, slice_windows=most // 3).collect()} == {4}
+    out = {r.doc_id: r for r in op.query(docs_of(rows), bench).collect()}
+    for i, (n_hit, items) in want.items():
+        ids = ",".join(x for x in items if x)
+        assert (out[i].n_hit, out[i].n_items, out[i].contaminated) == (n_hit, len(items), n_hit > 0)
+        assert out[i].items_sha256 == hashlib.sha256(ids.encode()).hexdigest()
