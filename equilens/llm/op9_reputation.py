@@ -6,8 +6,9 @@ the level above it: a node's posterior mean is (bad + k * parent mean) /
 (n + k), where the prior weight k of a level is estimated from the spread of
 its observed rates (beta-binomial moments, one value per level). A host is
 blocked when the lower bound of its beta posterior, mean - z * sd, exceeds
-``threshold``; hosts without outcomes inherit their domain's, suffix's or the
-overall mean.
+``threshold``; hosts without outcomes inherit the bound of their domain, their
+suffix or everything. A registered domain is the last two labels of a host (no
+list of longer public suffixes is kept), so under ``co.uk`` all are one.
 
 The counts are partial aggregates, so a host with a third of all pages is one
 row after the map side. Only the reputation of hosts (one row each) is joined
@@ -21,6 +22,9 @@ at all every unruled page is allowed. Repeated pages are each answered.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +77,15 @@ def _prior_weight(nodes: DataFrame) -> DataFrame:
 
 def reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad") -> DataFrame:
     """(host, mean, lower): posterior of the bad rate of every host with outcomes, plus rows
-    for each domain ``*.d``, suffix ``*.s`` and everything ``*``, for hosts without any."""
+    for each domain ``*.d``, suffix ``*.s`` and, if there are any outcomes, everything ``*``, for hosts without any."""
     hosts = (outcomes.groupBy(F.col(host).alias("host"))
              .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(bad).cast("long")).alias("bad"))
              .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("suffix").alias("suffix"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # one prior bad and one prior good outcome keep the overall mean inside (0, 1)
-    top = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("parent_mean"))
-    total, levels = top.first()["parent_mean"], []
+    counts = suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    total, levels = (counts["bad"] + 1) / (counts["n"] + 2), []
 
     def shrink(nodes: DataFrame) -> DataFrame:
         k = float(_prior_weight(nodes).first()["k"])   # one number per level
@@ -95,7 +99,10 @@ def reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad") -> Dat
     h = shrink(hosts.join(d.select("domain", F.col("mean").alias("parent_mean")), "domain"))
     for frame, name in ((h, F.col("host")), (d, F.concat(F.lit("*."), "domain")), (s, F.concat(F.lit("*."), "suffix"))):
         levels.append(frame.select(name.alias("host"), "mean", "lower"))
-    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+    if counts["n"]:
+        lower = total - Z * math.sqrt(total * (1 - total) / (counts["n"] + 3))
+        levels.append(outcomes.sparkSession.range(1).select(F.lit("*").alias("host"), F.lit(total).alias("mean"), F.lit(lower).alias("lower")))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
@@ -104,17 +111,19 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     base, at = isolate(pages)
     url = F.col(at[url_col])
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    # a host with no outcomes falls back to its domain, then its suffix; "" has no parents
+    # a host with no outcomes falls back to its domain, then its suffix, then everything; "" has no parents
     known = reputation(outcomes)
     own = known.select(F.col("host"), F.col("lower").alias("host_lower"))
     wide = known.where(F.col("host").startswith("*."))
     domain = wide.select(F.col("host").alias("domain_key"), F.col("lower").alias("domain_lower"))
     suffix = wide.select(F.col("host").alias("suffix_key"), F.col("lower").alias("suffix_lower"))
+    top = known.where(F.col("host") == "*").select(F.col("lower").alias("top_lower"))   # one row at most
     distinct_hosts = base.select(host_of(url).alias("host")).distinct()
     bound = (distinct_hosts.join(own, "host", "left")
              .join(domain, F.concat(F.lit("*."), domain_of(F.col("host"))) == F.col("domain_key"), "left")
              .join(suffix, F.concat(F.lit("*."), suffix_of(F.col("host"))) == F.col("suffix_key"), "left")
-             .select("host", F.coalesce("host_lower", "domain_lower", "suffix_lower").alias("lower")))
+             .join(F.broadcast(top), F.col("host") != "", "left")
+             .select("host", F.coalesce("host_lower", "domain_lower", "suffix_lower", "top_lower").alias("lower")))
     judged = base.select(F.col(at[id_col]).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     own_verdict = F.when(F.col("lower") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return judged.join(bound, "host", "left").select(

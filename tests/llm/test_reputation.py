@@ -52,3 +52,15 @@ def test_outcomes_follow_the_document_in_the_url(spark):
     assert sorted(map(tuple, op.page_outcomes(pages, labels).collect())) == [("a.com", 0), ("a.com", 1), ("b.com", 1)]
     assert op.query(pages, labels).count() == 5
     assert op.query(pages.limit(0), labels.limit(0)).count() == 0
+
+
+def test_unknown_suffixes_inherit_the_overall_bound(spark):
+    foul = spark.createDataFrame([(f"h{k % 9}.foul.com", int(k % 10 > 0)) for k in range(400)], "host string, bad int")
+    urls = ["http://q.never.zz/1", "http://never/1", "", None, "http:///x", "http://*/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r.page_id: r for r in op.judge(pages, foul).collect()}
+    top = {r.host: r for r in op.reputation(foul).collect()}["*"]
+    assert 0.5 < top.lower < top.mean == pytest.approx(361 / 402)
+    assert out[0].reputation == out[1].reputation == out[5].reputation == top.lower
+    assert [out[i].verdict for i in range(6)] == ["block", "block", "allow", "allow", "allow", "block"]
+    assert op.reputation(foul.limit(0)).count() == 0
