@@ -7,9 +7,9 @@ largest id that holds the key.
 
 Plan: (1) every long line becomes a 128-bit key hash with document and
 position, written once; (2) the hashes are range-partitioned by (hash,
-document), so the sort is by document inside a hash, and a hash held by a
-third of all documents spreads over many ranges; first occurrences stream out
-of that order and partial counts and maxima leave each range; (3) repeated
+document), so a hash held by a third of all documents spreads over many
+ranges; inside a range a hash aggregate (no sort) makes one row of each hash
+and document, and partial counts and maxima leave each range; (3) repeated
 keys come back to their (document, position) entries and fold into compressed
 bitmaps, one (word number, 64 drop bits) entry per non-empty word; (4) the
 bitmap meets the text once. No text is shuffled before that last join.

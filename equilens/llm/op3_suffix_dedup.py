@@ -1,8 +1,9 @@
-"""Exact removal of repeated 50-byte strings by depth-limited radix passes.
+"""Exact removal of repeated 50-byte strings by two grouping passes.
 
-Suffixes are ordered only through ``WINDOW`` bytes, by passes over digits, most
-significant first; a group that holds one document closes and goes no further,
-and the groups left after the last pass are exactly the repeated windows.
+Only ``WINDOW`` bytes of a suffix count. No suffix is ordered: a first pass
+groups windows by a leading digit, a group that holds one document closes and
+goes no further, and a second pass groups the windows of open digits by two
+64-bit hashes of all their bytes; its groups are the repeated windows.
 
 Passing every suffix on would move more than eight bytes for each byte of
 text. So windows are grouped before they are ordered: the leading digit of a
@@ -14,8 +15,8 @@ entry for about eighteen windows. The passes:
    their top bits (the radix split); a bucket sorts them and answers which are
    held by two documents or more;
 2. windows of open digits go on, one entry for a run of windows with the bytes
-   they cover, once for each distinct run of a batch; the bucket orders them
-   by the remaining depth and answers, per window, whether a smaller document
+   they cover, once for each distinct run of a batch; the bucket groups them
+   by two 64-bit hashes of the whole window and answers, per window, whether a smaller document
    holds it. Only the smallest document of equal runs asks; later ones are
    covered whole.
 
