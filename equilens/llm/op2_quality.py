@@ -42,7 +42,7 @@ MOST_POSITIVES, MOST_UNLABELLED = 6_000, 12_000
 HIDDEN, STEPS, PRIOR_STEPS, BATCH, RATE, DECAY = 24, 600, 150, 512, 2e-3, 1e-3
 MARGIN = 4.0
 #: Standard errors by which a level must tell positives from unlabelled rows, else all are taken for good.
-APART = 4.0
+APART = 2.5
 #: Bins of a histogram of logits.
 BINS = 1 << 16
 
