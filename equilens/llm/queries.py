@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from . import (op1_line_dedup, op2_quality, op3_suffix_dedup, op4_jaccard_join, op5_html, op6_ann, op7_decontam, op8_toxicity,
-               op9_reputation, op10_mixing, op11_conversation)
+               op9_reputation, op10_mixing, op11_conversation, op12_superminhash)
 
 
 def over(query: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +28,7 @@ QUERIES = {
     "op9_url_reputation": over(op9_reputation.query, "pages", "labels"),
     "op10_mixing": over(op10_mixing.query, "documents"),
     "op11_conversation_repair": over(op11_conversation.query, "conversations"),
+    "op12_superminhash": over(op12_superminhash.query, "documents"),
 }
 
 ORACLE_SQL = {
@@ -36,4 +37,5 @@ ORACLE_SQL = {
     "op4_jaccard_join": op4_jaccard_join.ORACLE,
     "op7_decontamination": op7_decontam.ORACLE,
     "op11_conversation_repair": op11_conversation.ORACLE,
+    "op12_superminhash": op12_superminhash.ORACLE,
 }
