@@ -15,11 +15,11 @@ when den * |x & y| >= num * |x | y|; groups are the connected components.
    candidates. At the least similarity that links (0.85) a pair shares no key
    with a chance of (1 - 0.85^5)^24 = 8e-7; every other step is exact.
 4. Verification. In every bucket one node is the centre and is compared, on
-   full sets, with the nodes of other components; then it leaves the bucket. Buckets
-   whose nodes are connected are done. After ``STARS`` such rounds the rest
-   of a bucket is cut, by size, into tiles of ``TILE_WEIGHT`` shingles, and
-   pairs of tiles whose sizes allow a link are compared each in a task. No
-   round makes all pairs of a bucket and none is left out.
+   full sets, with all others; then it leaves the bucket. Buckets whose other
+   nodes are connected are done. Of the rest, ranges of sizes are cut by hash
+   into tiles of ``TILE_WEIGHT`` shingles; pairs of tiles whose sizes allow a
+   link are each compared in a task. No step makes all pairs of a bucket as
+   rows and none is left out.
 5. Union-find in every partition of the links leaves a forest; forests are
    joined by contraction (``graph.components``).
 
@@ -35,9 +35,11 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import isolate, mix64, write_once
@@ -47,8 +49,8 @@ from .op4_jaccard_join import group_sums, shingle_sets
 WORDS, NUM, DEN = 3, 85, 100
 #: Slots of a signature: BANDS keys of ROWS slots.
 BANDS, ROWS = 24, 5
-#: Rounds of stars before tiles; shingles in a tile; partners of a centre in one part.
-STARS, TILE_WEIGHT, PARTNERS = 3, 1 << 18, 256
+#: Shingles in a tile; partners of a centre in one part.
+TILE_WEIGHT, PARTNERS = 1 << 18, 256
 #: Text in a slice that is worked on at once, and elements that draw at once.
 SLICE_BYTES, AT_ONCE = 4 << 20, 1 << 17
 _U = np.uint64
@@ -156,13 +158,13 @@ def _node():
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (node, centre) that link, on their full sets; a centre's partners are salted."""
-    centre = (pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("many"))
-              .withColumn("parts", F.ceil(F.col("many") / PARTNERS).cast("int")).select("centre", "parts"))
-    left = (pairs.join(centre, "centre").withColumn("salt", F.pmod(F.hash("node"), F.col("parts")))
-            .join(sets.select("node", F.col("n").alias("n1"), F.col("tokens").alias("x")), "node"))
-    right = (sets.select(F.col("node").alias("centre"), F.col("n").alias("n2"), F.col("tokens").alias("y")).join(centre, "centre")
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+    """The pairs (node, centre) that link, on their full sets. Centres with many partners get a copy of their set for each part."""
+    hot = write_once(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")).where("parts > 1"), "hot")
+    part = F.coalesce(F.pmod(F.hash("node"), F.col("parts")), F.lit(0))
+    left = (pairs.join(sets.select("node", F.col("n").alias("n1"), F.col("tokens").alias("x")), "node")
+            .join(hot, "centre", "left").withColumn("salt", part).drop("parts"))
+    right = (sets.select(F.col("node").alias("centre"), F.col("n").alias("n2"), F.col("tokens").alias("y")).join(hot, "centre", "left")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts"))
     same = F.size(F.array_intersect("x", "y")).cast("long")
     return (left.join(right, ["centre", "salt"]).withColumn("same", same)
             .where(F.col("same") * (num + den) >= num * (F.col("n1") + F.col("n2")))
@@ -212,18 +214,24 @@ def forest(links: DataFrame) -> DataFrame:
 
 
 def tile_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links between members (key, node, n, comp) of a bucket whose components differ, tile by tile."""
-    upto = Window.partitionBy("key").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
-    placed = write_once(members.withColumn("tile", F.floor((F.sum("n").over(upto) - F.col("n")) / TILE_WEIGHT)), "tiles")
-    spans = placed.groupBy("key", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    first, second = spans.toDF("key", "i", "low1", "high1"), spans.toDF("key", "j", "low2", "high2")
-    # tiles follow one another by size: the smaller tile's largest against the larger one's smallest
-    near = first.join(second, "key").where("i <= j").where(F.col("high1") * den >= F.col("low2") * num).select("key", "i", "j")
-    ways = near.select("key", "i", "j", F.col("i").alias("tile")).unionByName(near.where("i < j").select("key", "i", "j", F.col("j").alias("tile")))
-    rows = placed.join(ways, ["key", "tile"]).join(sets.drop("n"), "node").select("key", "i", "j", "tile", "node", "comp", "n", "tokens")
+    """Edges (a, b) between components of the members (key, node, n, comp) of a bucket, which join them as all links between them do.
+
+    A bucket's tiles are ranges of sizes, cut by hash to about ``TILE_WEIGHT`` shingles.
+    """
+    sized = members.withColumn("class", F.floor(F.log("n") / math.log(den / num)))
+    spans = write_once(sized.groupBy("key", "class").agg(F.min("n").alias("low"), F.max("n").alias("high"),
+                                                        F.ceil(F.sum("n") / TILE_WEIGHT).cast("int").alias("parts")), "spans")
+    placed = sized.join(spans.select("key", "class", "parts"), ["key", "class"]).withColumn(
+        "tile", F.struct("class", F.pmod(F.hash("node"), F.col("parts")).alias("part"))).drop("class", "parts")
+    tiles = spans.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.struct("class", "part").alias("tile"), "low", "high")
+    first, second = tiles.toDF("key", "i", "low1", "high1"), tiles.toDF("key", "j", "low2", "high2")
+    near = (first.join(second, "key").where("i <= j")   # classes follow one another by size
+            .where(F.col("high1") * den >= F.col("low2") * num).select("key", "i", "j"))
+    ways = near.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    rows = placed.join(ways, ["key", "tile"]).join(sets.drop("n"), "node").select(
+        "key", "i", "j", (F.col("tile") == F.col("i")).alias("tile"), "node", "comp", "n", "tokens")
 
     def run(table: pa.Table) -> pa.Table:
-        nodes = [tuple(x.values()) for x in table.column("node").to_pylist()]
         comps = [tuple(x.values()) for x in table.column("comp").to_pylist()]
         tile, n = np.array(table.column("tile")), np.array(table.column("n"))
         lists = table.column("tokens").combine_chunks()
@@ -242,9 +250,9 @@ def tile_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             fit = same * (num + den) >= num * (n + n[i])
             for k in np.flatnonzero(fit & ((tile != tile[i]) if cross else (np.arange(len(n)) > i))).tolist():
                 if union.join(comps[i], comps[k]):
-                    a.append(nodes[i])
-                    b.append(nodes[k])
-        kind = table.schema.field("node").type
+                    a.append(comps[i])
+                    b.append(comps[k])
+        kind = table.schema.field("comp").type
         pairs = [pa.array([dict(zip(("k1", "k2"), x, strict=True)) for x in side], kind) for side in (a, b)]
         return pa.Table.from_arrays(pairs, names=["a", "b"])
 
@@ -252,32 +260,22 @@ def tile_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return rows.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join the nodes of the buckets (key, node, n) as all links between them do."""
-    links = None
-    live = members.withColumn("comp", F.col("node"))
-    for k in range(STARS + 1):
-        if k == STARS:
-            found = tile_links(live, sets, num, den)
-        else:
-            centres = live.groupBy("key").agg(F.min(F.struct("node", "n", "comp")).alias("c"))
-            pairs = (live.join(centres, "key").where("comp <> c.comp")
-                     .where((F.least("n", "c.n") * den >= F.greatest("n", "c.n") * num))
-                     .select("node", F.col("c.node").alias("centre")).distinct())
-            found = verified(write_once(pairs, "pairs"), sets, num, den)
-        found = write_once(forest(found), "links")
-        links = found if links is None else links.unionByName(found)
-        if k == STARS:
-            break
-        joined = components(links).withColumnRenamed("component", "to")
-        rest = (live.drop("comp").join(centres.select("key", F.col("c.node").alias("node")), ["key", "node"], "left_anti")
-                .join(joined, "node", "left").withColumn("comp", F.coalesce("to", "node")).drop("to"))
-        rest = write_once(rest, "members")
-        apart = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        live = write_once(rest.join(apart, "key", "left_semi"), "members")
-        if live.isEmpty():
-            break
-    return links
+def near_components(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component) of the nodes with a link, from the buckets (key, node, n)."""
+    centres = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"))
+    live = write_once(members.join(centres, "key").where("node <> c.node"), "stars")
+    pairs = live.where(F.least("n", "c.n") * den >= F.greatest("n", "c.n") * num).select("node", F.col("c.node").alias("centre")).distinct()
+    links = write_once(forest(verified(write_once(pairs, "pairs"), sets, num, den)), "links")
+    joined = write_once(components(links), "components")
+    rest = write_once(live.select("key", "node", "n").join(joined, "node", "left")
+                      .select("key", "node", "n", F.coalesce("component", "node").alias("comp")), "members")
+    apart = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    rest = write_once(rest.join(apart, "key", "left_semi"), "members")
+    if rest.isEmpty():
+        return joined
+    more = components(forest(tile_links(rest, sets, num, den))).toDF("comp", "to")
+    nodes = joined.select("node", F.col("component").alias("comp")).unionByName(more.select(F.col("comp").alias("node"), "comp")).distinct()
+    return nodes.join(more, "comp", "left").select("node", F.coalesce("to", "comp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -296,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     picks = seen.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min(F.struct("t1", "t2")).alias("t")).select("t.t1", "t.t2")
     texts = slim.join(picks, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("text")
     sets = write_once(full_sets(texts, words), "sets")
-    joined = components(near_links(members, sets, num, den))
+    joined = near_components(members, sets, num, den)
     low = seen.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("copies")).select(_node(), "low", "copies")
     known = low.join(joined, "node", "left").where("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     known = write_once(known, "nodes")
