@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from . import (op1_line_dedup, op2_quality, op3_suffix_dedup, op4_jaccard_join, op5_html, op6_ann, op7_decontam, op8_toxicity,
-               op9_reputation, op10_mixing, op11_conversation, op12_superminhash)
+               op9_reputation, op10_mixing, op11_conversation, op12_superminhash, op13_alignment)
 
 
 def over(query: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -29,6 +29,7 @@ QUERIES = {
     "op10_mixing": over(op10_mixing.query, "documents"),
     "op11_conversation_repair": over(op11_conversation.query, "conversations"),
     "op12_superminhash": over(op12_superminhash.query, "documents"),
+    "op13_alignment": over(op13_alignment.query, "documents"),
 }
 
 ORACLE_SQL = {
