@@ -29,6 +29,9 @@ from .sources import store
 from .sources.frames import FEATURES, decision_frame
 from .spec import CV_FOLDS, DECISIONS, N_TRIALS, AuditSpec
 
+#: R4 for depth-wise boosting, R3 (balanced) for the other families.
+WEIGHTS = {"gbt": "weight_pos", "*": "weight"}
+
 
 def run_audit_job(spark: SparkSession, sf_dir: str, out: str, trials: list[dict] | None = None,
                   n_trials: int = N_TRIALS, spec: AuditSpec = DECISIONS) -> dict[str, DataFrame]:
@@ -42,8 +45,9 @@ def run_audit_job(spark: SparkSession, sf_dir: str, out: str, trials: list[dict]
         train = data.where(F.col("split") == "train")
         train = mg.reweighing(train, spec, out="w_fair")
         train = mg.class_weights(train, spec, base_weight="w_fair", out="weight")
+        train = mg.positive_class_weight(train, spec, base_weight="w_fair", out="weight_pos")
         train = mg.kfold(train, spec, CV_FOLDS)
-        # the split table keeps its weights as a column (saved and reloaded together)
+        # the split table keeps both weights as columns (saved and reloaded together)
         return train.unionByName(data.where(F.col("split") == "test"), allowMissingColumns=True)
 
     # a rerun into the same folder keeps the split and the preprocessor that it finds
@@ -52,10 +56,10 @@ def run_audit_job(spark: SparkSession, sf_dir: str, out: str, trials: list[dict]
     test = store.load_split(spark, f"{out}/split", "test")
 
     plan = trials if trials is not None else se.trial_rows(n_trials)
-    hist = se.cv_search(train, spec, FEATURES, plan, fold="fold", weight_col="weight")
+    hist = se.cv_search(train, spec, FEATURES, plan, fold="fold", weight_col=WEIGHTS, folder=f"{out}/search")
     hist = write_once(hist, "history")
     store.write_history(hist, f"{out}/history")
-    best_no, params, model = se.refit_best(train, hist, FEATURES, spec.label, "weight")
+    best_no, params, model = se.refit_best(train, hist, FEATURES, spec.label, WEIGHTS)
 
     cut = float(next(t["cut"] for t in plan if int(t["trial"]) == int(best_no)))
     train_scored = se.predict_scores(model, train, FEATURES, "p_model")

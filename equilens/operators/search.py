@@ -10,29 +10,34 @@
   data: rows are bucketed by the sorted trial cuts, counted per
   (fold, group, label, bucket), and every trial's confusion counts are read
   off running totals of that small table (no rows x trials product).
-* ``fit_family`` / ``cv_search`` (L1-L6, L8-L10): real Spark ML fits per
-  trial and fold; the driver loops only over the trial table, every fit and
-  every metric is a distributed job, and the validation scores of all
-  (trial, fold) pairs are stacked and scored by one grouped report.
+* ``fit_family`` / ``cv_search`` (L1-L6, L8-L10): real fits per trial and
+  fold, several at a time in a bounded pool of driver threads; every fit and
+  every metric is a distributed job, each (trial, fold) pair's validation
+  scores are a table of their own, which a later run takes up, and all of them
+  are scored by one grouped report.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import r6
-from ..session import write_once
+from ..session import scratch_path, write_once
 from ..spec import FAIRNESS_WEIGHT, MODEL_FAMILIES, N_TRIALS, RANDOM_SEED, AuditSpec
 from .fairness import composite_col
+from .leafwise import fit_leafwise
 from .metrics import ranking_metrics
 
+#: Fits of a search at a time; MB that a task may use for the statistics of one tree level.
+FITS_AT_ONCE, LEVEL_MB = 8, 1024
+
 # --- fixed values: search space of each family -----------------------------
 # (name, kind, low, high); kind: int, float, logfloat, choice
 SEARCH_SPACE = {
@@ -162,8 +167,8 @@ def family_estimator(params: dict, features_col: str = "features", label_col: st
     """Map one trial's parameters to a Spark ML estimator.
 
     random_forest -> RandomForestClassifier (min split has no twin: minInstancesPerNode =
-    max(leaf, ceil(split / 2))); gbt / gbt_leafwise -> GBTClassifier (leaf-wise depth =
-    min(depth, ceil(log2(leaves)))); logistic_regression -> LogisticRegression with
+    max(leaf, ceil(split / 2))); gbt -> GBTClassifier (gbt_leafwise is fitted by
+    ``leafwise``); logistic_regression -> LogisticRegression with
     regParam = 1 / (C * n) with n the total sample weight (the row count when
     unweighted) and elasticNetParam 1 (l1), 0 (l2) or the l1 ratio.
     The trial's ``cut``, an extension of ours, is applied to the scores, not to the model.
@@ -177,16 +182,12 @@ def family_estimator(params: dict, features_col: str = "features", label_col: st
         leaf = int(params["rf_min_samples_leaf"])
         return RandomForestClassifier(numTrees=int(params["rf_n_estimators"]), maxDepth=min(int(params["rf_max_depth"]), 30),
                                       minInstancesPerNode=max(leaf, math.ceil(int(params["rf_min_samples_split"]) / 2)),
-                                      seed=seed, **common)
-    if fam in ("gbt", "gbt_leafwise"):
-        pre = "xgb" if fam == "gbt" else "lgbm"
-        depth = int(params[f"{pre}_max_depth"])
-        if fam == "gbt_leafwise":
-            depth = min(depth, math.ceil(math.log2(int(params["lgbm_num_leaves"]))))
-        return GBTClassifier(maxIter=int(params[f"{pre}_n_estimators"]), maxDepth=depth,
-                             stepSize=float(params[f"{pre}_learning_rate"]),
-                             subsamplingRate=float(params[f"{pre}_subsample"]),
-                             featureSubsetStrategy=str(float(params[f"{pre}_colsample_bytree"])), seed=seed, **common)
+                                      seed=seed, cacheNodeIds=True, maxMemoryInMB=LEVEL_MB, **common)
+    if fam == "gbt":
+        return GBTClassifier(maxIter=int(params["xgb_n_estimators"]), maxDepth=int(params["xgb_max_depth"]),
+                             stepSize=float(params["xgb_learning_rate"]), subsamplingRate=float(params["xgb_subsample"]),
+                             featureSubsetStrategy=str(float(params["xgb_colsample_bytree"])), seed=seed,
+                             cacheNodeIds=True, maxMemoryInMB=LEVEL_MB, **common)
     if fam == "logistic_regression":
         pen = params["lr_penalty"]
         enet = {"l1": 1.0, "l2": 0.0}.get(pen, float(params.get("lr_l1_ratio", 0.5)))
@@ -200,11 +201,22 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
+#: An instance weight: one column for all families, or a column by family (``*``: the others).
+Weights = str | dict[str, str] | None
+
+
+def weight_of(params: dict, weights: Weights) -> str | None:
+    return weights.get(params["model_type"], weights.get("*")) if isinstance(weights, dict) else weights
+
+
 def fit_family(train: DataFrame, params: dict, features: Sequence[str], label: str = "y",
-               weight_col: str | None = None, n_rows: float | None = None):
+               weight_col: Weights = None, n_rows: float | None = None):
     """L1-L4: fit one family on an assembled frame (``features`` vector column
     built here). For the linear family the regularisation is scaled by the
     total weight, taken from one aggregate when not given."""
+    weight_col = weight_of(params, weight_col)
+    if params.get("model_type") == "gbt_leafwise":
+        return fit_leafwise(train, params, features, label, weight_col)[0]
     if params.get("model_type") == "logistic_regression" and n_rows is None:
         n_rows = total_weight(train, weight_col)
     est = family_estimator(params, "features", label, weight_col, n_rows=n_rows)
@@ -219,7 +231,7 @@ def total_weight(df: DataFrame, weight_col: str | None) -> float:
 
 
 def refit_best(train: DataFrame, hist: DataFrame, features: Sequence[str], label: str = "y",
-               weight_col: str | None = None):
+               weight_col: Weights = None):
     """The best trial of a history table (highest score, lowest trial on
     ties) refitted on all training rows with the same parameter row that
     drove its cross-validation (so no parameter is lost on refit)."""
@@ -239,7 +251,9 @@ def predict_scores(model, df: DataFrame, features: Sequence[str], out: str = "p_
 
 def feature_importances(model, features: Sequence[str], spark: SparkSession) -> DataFrame:
     """Importances (trees) or coefficients (linear) joined to feature names."""
-    if hasattr(model, "featureImportances"):
+    if hasattr(model, "importances"):
+        vals = model.importances
+    elif hasattr(model, "featureImportances"):
         vals = model.featureImportances.toArray().tolist()
     else:
         vals = [abs(v) for v in model.coefficients.toArray().tolist()]
@@ -248,38 +262,85 @@ def feature_importances(model, features: Sequence[str], spark: SparkSession) ->
     return spark.createDataFrame(list(zip(features, [float(v) for v in vals])), "feature string, importance double")
 
 
+def at_once(jobs: list, spark: SparkSession, most: int) -> list:
+    """Results of the calls, in order, at most ``most`` at a time in driver threads that
+    inherit the caller's local properties. Each has a scheduler pool of its own (used where
+    the scheduler is fair) and all share a job group: the first fault cancels what still runs
+    and is raised."""
+    from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
+
+    from pyspark import inheritable_thread_target
+    sc, group = spark.sparkContext, f"search-{uuid.uuid4().hex[:12]}"
+
+    def tagged(k: int, job):
+        sc.setJobGroup(group, f"{group} {k}", interruptOnCancel=True)
+        sc.setLocalProperty("spark.scheduler.pool", f"search-{k % most}")
+        return job()
+
+    with ThreadPoolExecutor(most) as pool:
+        futures = [pool.submit(inheritable_thread_target(spark)(tagged), k, job) for k, job in enumerate(jobs)]
+        ended, left = wait(futures, return_when=FIRST_EXCEPTION)
+        if any(f.exception() for f in ended):
+            for f in left:
+                f.cancel()
+            sc.cancelJobGroup(group)
+    fault = next((f.exception() for f in futures if not f.cancelled() and f.exception()), None)
+    if fault is not None:
+        raise fault
+    return [f.result() for f in futures]
+
+
 def cv_search(df: DataFrame, spec: AuditSpec, features: Sequence[str], trials: Sequence[dict],
-              fold: str = "fold", weight_col: str | None = None) -> DataFrame:
+              fold: str = "fold", weight_col: Weights = None, folder: str | None = None, most: int = FITS_AT_ONCE) -> DataFrame:
     """L8 with real fits: for every trial and fold fit on the other folds,
     score the held-out fold, stack all validation scores with (trial, fold)
     keys and compute every report in one grouped job. Parity is that of the
     decision, so models with different decisions differ in fairness. Parameters
     that a family rejects score 0 with their ``reason``; a lost executor, a
     missing column or any other fault is raised.
+
+    ``most`` fits run at a time (leaf-wise trials fit all their folds together).
+    Each pair's scores are written to ``folder`` (a fresh one in the shared
+    scratch folder, if not given); pairs that an earlier run completed there are
+    read, not fitted again.
     Returns the history table (trial, model_type, score, params, reason)."""
+    from ..sources.store import path_exists
     from .fairness import fairness_report
     spark = df.sparkSession
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # k values (3)
-    n_rows = None
-    stacked = []
-    failed: dict[int, str] = {}
-    for t in trials:
-        params = json.loads(t["params"])
-        own = []
-        for k in folds:
-            tr, va = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
+    folder = folder or scratch_path(spark, "search")
+    plans = {int(t["trial"]): (json.loads(t["params"]), float(t["cut"])) for t in trials}
+
+    def place(trial: int, k: int) -> str:
+        return f"{folder}/trial-{trial}-fold-{k}"
+
+    def scored(trial: int, k: int, model) -> None:
+        sc = predict_scores(model, df.where(F.col(fold) == k).select(spec.id, spec.label, spec.group, *features), features, "p_model")
+        sc.select(F.lit(trial).alias("trial"), F.lit(int(k)).alias("fold"), spec.id, spec.label, spec.group, "p_model",
+                  (F.col("p_model") >= F.lit(plans[trial][1])).cast("int").alias("pred_model")).write.mode("overwrite").parquet(place(trial, k))
+
+    def job(trial: int, ks: list[int]):
+        def run() -> tuple[int, str | None]:
+            params = plans[trial][0]
             try:
-                model = fit_family(tr, params, features, spec.label, weight_col, n_rows=n_rows)
+                if params["model_type"] == "gbt_leafwise":
+                    for k, model in zip(ks, fit_leafwise(df, params, features, spec.label, weight_of(params, weight_col), fold, ks), strict=True):
+                        scored(trial, k, model)
+                else:
+                    for k in ks:
+                        scored(trial, k, fit_family(df.where(F.col(fold) != k), params, features, spec.label, weight_col))
             except (IllegalArgumentException, ValueError) as e:   # parameters the family rejects; anything else is raised
-                failed[int(t["trial"])] = str(e)[:500]
-                break
-            sc = predict_scores(model, va.select(spec.id, spec.label, spec.group, *features), features, "p_model")
-            own.append(sc.select(F.lit(int(t["trial"])).alias("trial"), F.lit(int(k)).alias("fold"),
-                                 spec.id, spec.label, spec.group, "p_model",
-                                 (F.col("p_model") >= F.lit(float(t["cut"]))).cast("int").alias("pred_model")))
-        if own and int(t["trial"]) not in failed:
-            # written, so that a trial's ensembles are let go before the next trial is fitted
-            stacked.append(write_once(reduce(DataFrame.unionByName, own), "trial"))
+                return trial, str(e)[:500]
+            return trial, None
+        return run
+
+    todo = {t: [k for k in folds if not path_exists(spark, f"{place(t, k)}/_SUCCESS")] for t in plans}
+    # a trial's folds one by one, but those of leaf-wise trials together; boosting, the longest, first
+    order = sorted(plans, key=lambda t: (not plans[t][0]["model_type"].startswith("gbt"), t))
+    jobs = [job(t, part) for t in order if todo[t]
+            for part in ([todo[t]] if plans[t][0]["model_type"] == "gbt_leafwise" else [[k] for k in todo[t]])]
+    failed = {t: reason for t, reason in at_once(jobs, spark, most) if reason is not None}
+    stacked = [spark.read.parquet(place(t, k)) for t in plans if t not in failed for k in folds]
     if not stacked:
         raise ValueError("no trial could be fitted")
     allv = stacked[0]

@@ -52,8 +52,7 @@ def test_families_fit_and_rank(spark):
         sc = se.predict_scores(m, df, ["x1", "x2"], "p_model")
         auc = ranking_metrics(sc, SPEC.with_(score="p_model")).first().roc_auc
         assert auc > 0.9, p["model_type"]
-    est = se.family_estimator(fams[2])
-    assert est.getMaxDepth() == 5                 # min(depth, ceil(log2(leaves)))
+    assert all(t.leaves() <= 20 for t in m.trees)   # the last one: grown by leaf, see test_leafwise
 
 
 def test_cv_search_history_and_best(spark):
@@ -152,12 +151,65 @@ def test_registered_search_has_all_families_as_drawn():
     assert trials == se.trial_rows()[:len(trials)]
 
 
-def test_registered_search_fits_the_drawn_parameters(monkeypatch):
+def test_registered_search_fits_the_drawn_parameters(spark, monkeypatch):
     from equilens.plans import q_ml
     seen = []
-    monkeypatch.setattr(q_ml, "prepared", lambda spark, sf: (None, None))
+    monkeypatch.setattr(q_ml, "prepared", lambda spark, sf: (spark, None))
     monkeypatch.setattr(q_ml.mg, "kfold", lambda df, spec: df)
     monkeypatch.setattr(q_ml, "write_once", lambda df, name: df)
     monkeypatch.setattr(q_ml.se, "cv_search", lambda df, spec, features, trials, **kw: seen.extend(trials))
-    q_ml.q_search_fits(None, None)
+    q_ml.q_search_fits(spark.range(3), None)
     assert seen == se.trial_rows()[:8]
+
+
+def test_each_family_gets_its_own_weight(spark, monkeypatch):
+    """R4 for depth-wise boosting, R3 for the others, in search, refit and single fits."""
+    from equilens.plans import q_ml
+    used = {}
+
+    def estimator(params, features_col="features", label_col="y", weight_col=None, **kw):
+        used[params["model_type"]] = weight_col
+        raise ValueError("not fitted here")
+
+    def leafwise(df, params, features, label="y", weight=None, fold=None, folds=()):
+        used[params["model_type"]] = weight
+        raise ValueError("not fitted here")
+
+    monkeypatch.setattr(se, "family_estimator", estimator)
+    monkeypatch.setattr(se, "fit_leafwise", leafwise)
+    df = learnable(spark, 60).withColumn("weight", F.lit(1.0)).withColumn("weight_pos", F.lit(2.0))
+    with pytest.raises(ValueError, match="no trial"):
+        se.cv_search(df, SPEC, ["x1", "x2"], q_ml.search_trials(), weight_col=q_ml.WEIGHTS)
+    assert used == {"random_forest": "weight", "gbt": "weight_pos", "gbt_leafwise": "weight", "logistic_regression": "weight"}
+    from equilens import audit_job
+    assert audit_job.WEIGHTS == q_ml.WEIGHTS
+
+
+def test_search_resumes_and_concurrent_equals_sequential(spark, tmp_path, monkeypatch):
+    df = learnable(spark).checkpoint(eager=True)
+    trials = [{"trial": k, "model_type": "logistic_regression", "cut": 0.5,
+               "params": json.dumps({"model_type": "logistic_regression", "lr_penalty": "l2", "lr_C": c})} for k, c in enumerate([0.01, 1.0, 5.0])]
+    trials.append({"trial": 3, "model_type": "gbt_leafwise", "cut": 0.45, "params": json.dumps(
+        {"model_type": "gbt_leafwise", "lgbm_n_estimators": 4, "lgbm_max_depth": 4, "lgbm_learning_rate": 0.2, "lgbm_num_leaves": 6,
+         "lgbm_subsample": 1.0, "lgbm_colsample_bytree": 1.0})})
+    one = sorted(se.cv_search(df, SPEC, ["x1", "x2"], trials, most=1).collect())
+    assert sorted(se.cv_search(df, SPEC, ["x1", "x2"], trials, folder=str(tmp_path), most=4).collect()) == one
+
+    def refuse(*a, **kw):
+        raise AssertionError("fitted again")
+
+    monkeypatch.setattr(se, "fit_family", refuse)
+    monkeypatch.setattr(se, "fit_leafwise", refuse)
+    assert sorted(se.cv_search(df, SPEC, ["x1", "x2"], trials, folder=str(tmp_path)).collect()) == one
+
+
+def test_a_fault_ends_the_search(spark):
+    def slow():
+        return spark.range(10).count()
+
+    def broken():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        se.at_once([slow, broken, slow, slow], spark, 2)
+    assert se.at_once([slow, slow, slow], spark, 2) == [10, 10, 10]
