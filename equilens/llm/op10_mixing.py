@@ -173,7 +173,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     plan = (plan_copies(rows, **options).groupBy("doc_id", "unit")
             .agg(F.sort_array(F.collect_list("copies"), asc=False).alias("each"), F.first("size").alias("size"),
                  F.first("source_size").alias("source_size"), F.first("target").alias("target")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "unit").orderBy(F.lit(0)))
+    whole = F.to_json(F.struct(*base.columns))   # rows that differ elsewhere are told apart the same way in every run
+    nth = F.row_number().over(Window.partitionBy("doc_id", "unit").orderBy(whole))
     met = keyed.withColumn("nth", nth).drop("version", "source").join(plan, ["doc_id", "unit"])
     met = met.withColumn("copies", F.element_at("each", F.col("nth"))).where(F.col("copies") > 0)
     extra = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.col("copies"),

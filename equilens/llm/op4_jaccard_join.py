@@ -496,13 +496,21 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component: of its smallest id, the row with the longest text."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept")).distinct()
+    """``docs`` with one row of each component: of its smallest id (rows without one last) the longest text.
+
+    Rows are told apart by 64 bits over id and text, so rows without an id, or of one id, are documents of their own
+    and spread over all batches; of rows alike in both, one that all reruns agree on stays.
+    """
     base, at = isolate(docs)
-    met = base.withColumn("kept", row_id(at[id_col])).join(write_once(kept, "kept"), "kept")
     text = F.col(at[text_col]).cast("string")
-    nth = F.row_number().over(Window.partitionBy("kept").orderBy(F.octet_length(text).desc_nulls_last(), text.desc_nulls_last()))
+    keyed = base.withColumn("row", F.xxhash64(F.col(at[id_col]).cast("long"), F.coalesce(text, F.lit("")), text.isNull()))
+    found = jaccard_components(keyed.select("row", F.col(at[text_col]).alias("text")), id_col="row", text_col="text", **options)
+    component = write_once(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct(), "components")
+    rank = F.struct(F.col(at[id_col]).isNull(), F.col(at[id_col]), -F.coalesce(F.octet_length(text), F.lit(-1)), "row")
+    kept = (keyed.select("row", rank.alias("rank")).join(component, "row").groupBy("component")
+            .agg(F.min("rank").alias("rank")).select("rank.row").distinct())
+    met = keyed.join(write_once(kept, "kept"), "row")
+    nth = F.row_number().over(Window.partitionBy("row").orderBy(F.to_json(F.struct(*base.columns))))
     return restore(met.withColumn("nth", nth).where("nth = 1"), docs.columns)
 
 

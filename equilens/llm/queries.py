@@ -37,6 +37,7 @@ ORACLE_SQL = {
     "op3_suffix_dedup": op3_suffix_dedup.ORACLE,
     "op4_jaccard_join": op4_jaccard_join.ORACLE,
     "op7_decontamination": op7_decontam.ORACLE,
+    "op9_url_reputation": op9_reputation.ORACLE,
     "op11_conversation_repair": op11_conversation.ORACLE,
     "op12_superminhash": op12_superminhash.ORACLE,
 }

@@ -67,3 +67,9 @@ def test_footrule_order():
         s = slice(start[p], start[p + 1])
         np.add.at(gain, row[s], 8 - np.maximum(place[s], a))
     assert (np.abs(rank - rank[0]).sum(axis=1) == 8 * 9 - 2 * gain).all()
+
+
+def test_tiny_and_huge_components_take_part(spark):
+    vecs = [(0, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [1e200, 1e200]), (3, [0.0, 5e-324]), (4, [0.0, 0.0])]
+    got = op.query(spark.createDataFrame(vecs, "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1.0), (2, round(0.5 ** 0.5, 12)), (3, 0.0)]

@@ -93,9 +93,13 @@ def test_one_row_of_each_component_stays(docs_of, awkward):
     docs = docs_of(awkward)
     out = op.keep_one(docs, words=5, num=80)
     assert out.schema == docs.schema
-    want = {c for _, _, c in brute(awkward, 5, 80)}
-    ids = [r.doc_id for r in out.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == want
+    # rows that differ in id or text are documents of their own
+    own = list(dict.fromkeys(awkward))
+    component = {own[k]: c for k, _, c in brute([(k, t) for k, (_, t) in enumerate(own)], 5, 80)}
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(kept) == len({component[k] for k in kept}) == len(set(component.values()))
+    for row in kept:
+        assert row[0] == min((i for (i, _), c in component.items() if c == component[row] and i is not None), default=None)
     assert op.keep_one(docs_of([])).count() == 0 and op.query(docs_of([])).count() == 0
 
 
@@ -110,3 +114,12 @@ def test_components_of_random_graphs(spark):
             label[a] = label[b] = min(label[a], label[b])
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {n: c for n, c in label.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_keep_one_keeps_unrelated_rows_without_or_of_one_id(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in ("a", "b", "c", "d")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[0] + " more"), (8, texts[3]), (None, texts[3]), (None, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, op.keep_one(df).collect()), key=str)
+    # 7 and 8 and a row without an id share a text; so do the first row and the longer one of 7
+    assert kept == sorted([(7, texts[3]), (7, texts[0] + " more"), (None, texts[1]), (None, texts[2]), (None, None), (9, "")], key=str)

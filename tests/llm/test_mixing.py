@@ -89,3 +89,10 @@ def test_mixed_keeps_columns_and_copies(docs_of, rows):
         taken[r.source] += r[at]
     assert all(abs(taken[s] - r["max(target)"]) <= r["max(size)"] for s, r in by_source.items())
     assert op.mixed(docs_of([])).count() == 0
+
+
+def test_rows_alike_but_for_other_columns_are_told_apart_in_every_run(spark):
+    rows = [(1, "one two three", "s", k) for k in range(9)] + [(k, "other words", "t", 0) for k in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    runs = [sorted(map(tuple, op.mixed(df.repartition(n)).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1]

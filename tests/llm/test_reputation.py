@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from equilens.llm import op9_reputation as op
@@ -31,7 +32,7 @@ def outcomes(spark):
 
 
 def test_shrinkage_goes_from_host_to_domain_to_suffix(spark):
-    rep = {r.host: r for r in op.reputation(outcomes(spark)).collect()}
+    rep = {{"domain": "*.", "suffix": "*."}.get(r.level, "") + r.name: r for r in op.reputation(outcomes(spark)).collect()}
     assert rep["spam.example.org"].lower > 0.5 > rep["good.example.org"].lower
     assert rep["*.foul.com"].mean > 0.9 > 0.1 > rep["*.fine.com"].mean
     assert rep["h1.foul.com"].mean > rep["new.foul.com"].mean > rep["h1.fine.com"].mean   # one good page among foul ones
@@ -59,8 +60,28 @@ def test_unknown_suffixes_inherit_the_overall_bound(spark):
     urls = ["http://q.never.zz/1", "http://never/1", "", None, "http:///x", "http://*/1"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     out = {r.page_id: r for r in op.judge(pages, foul).collect()}
-    top = {r.host: r for r in op.reputation(foul).collect()}["*"]
+    top = {r.level: r for r in op.reputation(foul).collect()}["all"]
     assert 0.5 < top.lower < top.mean == pytest.approx(361 / 402)
     assert out[0].reputation == out[1].reputation == out[5].reputation == top.lower
     assert [out[i].verdict for i in range(6)] == ["block", "block", "allow", "allow", "allow", "block"]
     assert op.reputation(foul.limit(0)).count() == 0
+
+
+def by_sql(pages, labels):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR); CREATE TABLE labels(doc_id BIGINT, quality BIGINT)")
+    for name, rows in (("pages", pages), ("labels", labels)):
+        if rows:
+            con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    return sorted(con.execute(op.ORACLE).fetchall(), key=str)
+
+
+@pytest.mark.parametrize("hosts", [["localhost"], ["localhost", "*.com", "x.com", "com", "*", "*.localhost", "a.b.com"], ["a.com", "b.a.com", "q.org"]])
+@pytest.mark.parametrize("labelled", [0, 1, 2, 40])
+def test_every_page_once_and_equal_to_sql(spark, hosts, labelled):
+    pages = [(k, f"http://{hosts[k % len(hosts)]}/en/{k}.html" if k % 11 else None) for k in range(60)]
+    labels = [(k, int(k % 3 == 0)) for k in range(1, labelled + 1)]
+    got = op.query(spark.createDataFrame([(*p, "h", 1) for p in pages], "page_id long, url string, host string, lower int"),
+                   spark.createDataFrame([(*x, "d") for x in labels], "doc_id long, quality int, domain string"))
+    assert sorted(map(tuple, got.collect()), key=str) == by_sql(pages, labels)
+    assert len(by_sql(pages, labels)) == 60
