@@ -90,9 +90,10 @@ def hash_rank(df: DataFrame, strata: Sequence[str], hash_col: str, rank_col: str
               .drop("_hb", "_off"))
 
 
-def hash_cuts(df: DataFrame, strata: Sequence[str], hash_col: str, wanted: Column, digits: int = 4) -> DataFrame:
-    """(strata..., ``_cut``): the hash up to which ``wanted`` rows of a stratum lie (``wanted`` is an
-    expression of ``_n``, the stratum's size); strata that want none have no row.
+def hash_cuts(df: DataFrame, strata: Sequence[str], hash_col: str, wanted: Column | list[Column], digits: int = 4) -> DataFrame:
+    """(strata..., ``_cut``, ``_i``): the hash up to which ``wanted`` rows of a stratum lie (``wanted`` is an
+    expression of ``_n``, the stratum's size, or an array of them, numbered by ``_i``); where none are wanted
+    there is no row.
 
     Counts per (stratum, hash bucket) find the one bucket a stratum's cut falls into; only the hashes
     of these buckets are ranked. The rows themselves are decided by comparison, without a shuffle.
@@ -103,15 +104,15 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], hash_col: str, wanted: Colum
     whole = Window.partitionBy(*strata)
     before = F.coalesce(F.sum("_in").over(whole.orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = counts.select(*strata, "_hb", "_in", before.alias("_before"), F.sum("_in").over(whole).alias("_n")) \
-        .withColumn("_k", wanted).where((F.col("_k") > F.col("_before")) & (F.col("_k") <= F.col("_before") + F.col("_in")))
-    found = write_once(found.select(*[F.col(c).alias(f"_b_{c}") for c in strata], F.col("_hb").alias("_b_hb"),
+        .select("*", F.posexplode(F.array(*(wanted if isinstance(wanted, list) else [wanted]))).alias("_i", "_k")).where((F.col("_k") > F.col("_before")) & (F.col("_k") <= F.col("_before") + F.col("_in")))
+    found = write_once(found.select(*[F.col(c).alias(f"_b_{c}") for c in strata], F.col("_hb").alias("_b_hb"), "_i",
                                     (F.col("_k") - F.col("_before")).alias("_need")), "boundaries")
     same = F.col("_hb") == F.col("_b_hb")
     for c in strata:
         same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    nth = F.row_number().over(Window.partitionBy(*strata, "_hb").orderBy("_hash"))
+    nth = F.row_number().over(Window.partitionBy("_i", *strata, "_hb").orderBy("_hash"))
     return (hashes.join(found, same).withColumn("_nth", nth).where(F.col("_nth") == F.col("_need"))
-            .select(*strata, F.col("_hash").alias("_cut")))
+            .select(*strata, F.col("_hash").alias("_cut"), "_i"))
 
 
 def below_cut(df: DataFrame, cuts: DataFrame, strata: Sequence[str], hash_col: str, out: str) -> DataFrame:

@@ -3,8 +3,7 @@
 Splits are defined by a seeded md5 of the row id, so the same rows are chosen
 by Spark and by any SQL engine, on any cluster layout, after any retry.
 Exact per-stratum counts use the hash up to which a stratum's rows are taken
-(``hash_cuts``) or bucketed ranks (``hash_rank``), never a window over a whole
-stratum.
+(``hash_cuts``), never a window over a whole stratum.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_key
-from ..functions.ranking import below_cut, hash_cuts, hash_rank
+from ..functions.ranking import below_cut, hash_cuts
 from ..session import write_once
 from ..spec import CV_FOLDS, POSITIVE_CLASS_MULTIPLIER, RANDOM_SEED, AuditSpec
 
@@ -105,11 +104,18 @@ def split_stats(df: DataFrame, spec: AuditSpec, split: str = "split") -> DataFra
 
 
 def kfold(df: DataFrame, spec: AuditSpec, k: int = CV_FOLDS, out: str = "fold") -> DataFrame:
-    """K folds stratified on the label only: rank by a second seeded
-    hash within each label, fold = (rank - 1) mod k."""
+    """K folds stratified on the label only, by a second seeded hash: the
+    hashes up to which n / k, 2 n / k, ... rows of a label lie cut it into
+    folds whose sizes differ by one at most. All rows are decided by comparison
+    with their label's k - 1 cuts; only boundary buckets are ranked. Rows that
+    repeat an id share a fold; a null label is a stratum of its own."""
     hashed = df.withColumn("_h", md5_key(spec.id, FOLD_SALT))
-    ranked = hash_rank(hashed, [spec.label], "_h", "_rank")
-    return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_rank", "_rank_of")
+    cuts = hash_cuts(hashed, [spec.label], "_h", [F.floor(F.col("_n") * f / k).cast("bigint") for f in range(1, k)])
+    table = cuts.groupBy(F.col(spec.label).alias("_b_label")).agg(*[F.max(F.when(F.col("_i") == f - 1, F.col("_cut"))).alias(f"_cut{f}") for f in range(1, k)])
+    joined = hashed.join(write_once(table, "fold-cuts"), F.col(spec.label).eqNullSafe(F.col("_b_label")), "left")
+    # a cut that takes no rows has no hash: every row lies above it
+    above = [F.coalesce(F.col("_h") > F.col(f"_cut{f}"), F.lit(True)).cast("int") for f in range(1, k)]
+    return joined.withColumn(out, sum(above, F.lit(0))).drop("_h", "_b_label", *[f"_cut{f}" for f in range(1, k)])
 
 
 def undersample(df: DataFrame, spec: AuditSpec) -> DataFrame:

@@ -84,20 +84,29 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], approx_accuracy: int |
         r6("q_0").alias("q25"), r6("q_1").alias("q50"), r6("q_2").alias("q75"), r6("max").alias("max"))
 
 
-def contract_checks(df: DataFrame, label: str, expected_columns: int,
+def contract_checks(df: DataFrame, label: str, expected_types: dict[str, str], expected_rows: DataFrame | int | None = None,
                     rate_range: tuple[float, float] = (0.2, 0.5)) -> DataFrame:
-    """Measured values and boolean checks in one aggregate row: shape,
-    NULL cells, target domain {0, 1} and default-rate range."""
+    """Measured values beside what the contract says, in one row: row count
+    (a number, or a frame of which each row must have become one), columns by
+    name and type, NULL cells, target domain {0, 1} and default-rate range.
+    ``wrong_columns`` names columns that are missing, not expected or of
+    another type, sorted and comma-joined."""
     y = F.col(label)
     nulls = sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))
     agg = df.agg(F.count(F.lit(1)).alias("n_rows"),
                  F.coalesce(F.sum(nulls), F.lit(0)).cast("bigint").alias("null_cells"),
                  count_if(y.isNull() | ~y.isin(0, 1)).alias("bad_target"),
                  count_if(y == 1).alias("_d"), count_if(y.isNotNull()).alias("_n"))
+    if isinstance(expected_rows, DataFrame):
+        agg = agg.crossJoin(expected_rows.agg(F.count(F.lit(1)).alias("expected_rows")))   # one row each
+    else:
+        agg = agg.withColumn("expected_rows", F.lit(expected_rows).cast("bigint"))
+    found = dict(df.dtypes)
+    wrong = sorted(c for c in found.keys() | expected_types.keys() if found.get(c) != expected_types.get(c))
     rate = safe_div(F.col("_d"), F.col("_n"))
     return agg.select(
-        "n_rows", F.lit(len(df.columns)).alias("n_columns"),
-        ((F.col("n_rows") > 0) & F.lit(len(df.columns) == expected_columns)).alias("shape_ok"),
+        "n_rows", "expected_rows", F.coalesce(F.col("n_rows") == F.col("expected_rows"), F.col("n_rows") > 0).alias("rows_ok"),
+        F.lit(len(df.columns)).alias("n_columns"), F.lit(",".join(wrong)).alias("wrong_columns"), F.lit(not wrong).alias("columns_ok"),
         "null_cells", "bad_target", (F.col("bad_target") == 0).alias("target_domain_ok"),
         r6(rate).alias("default_rate"),
         F.coalesce((rate >= rate_range[0]) & (rate <= rate_range[1]), F.lit(False)).alias("default_rate_ok"))

@@ -63,7 +63,8 @@ def q_split_stats(spark, sf):
 
 
 @register("kfold", with_(D) + """
-SELECT id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || '-fold-42')) - 1) % 3 AS INTEGER) AS fold
+SELECT id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || '-fold-42')) > count(*) OVER (PARTITION BY y) // 3)
+         AS INTEGER) + CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || '-fold-42')) > 2 * count(*) OVER (PARTITION BY y) // 3) AS INTEGER) AS fold
 FROM d""", rows="T3")
 def q_kfold(spark, sf):
     return mg.kfold(decision_frame(spark, sf), DECISIONS).select("id", "y", "fold")

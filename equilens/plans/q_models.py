@@ -121,7 +121,8 @@ def _cv_sql() -> str:
     vals = ", ".join(f"({t['trial']}, '{t['model_type']}', CAST({t['cut']} AS DOUBLE), '{t['params']}')" for t in TRIALS)
     return """,
 fo AS (SELECT id, y, g, p,
-              CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || '-fold-42')) - 1) % 3 AS INTEGER) AS fold
+              CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || '-fold-42')) > count(*) OVER (PARTITION BY y) // 3)
+         AS INTEGER) + CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || '-fold-42')) > 2 * count(*) OVER (PARTITION BY y) // 3) AS INTEGER) AS fold
        FROM d),
 tr(trial, model_type, cut, params) AS (VALUES """ + vals + """),
 col AS (SELECT fold, g, y, p, count(*) AS c FROM fo WHERE g IS NOT NULL AND y IS NOT NULL AND p IS NOT NULL

@@ -35,6 +35,12 @@ def _union(parts):
     return "\n  UNION ALL ".join(parts)
 
 
+#: The contract of the feature frame, and its types in the oracle's terms.
+FRAME_TYPES = dict.fromkeys(FRAME_COLS, "double") | dict.fromkeys(("segment", "region", "nation", "priority", "price_band"), "string") \
+    | dict.fromkeys(("y", "g", "pred"), "int") | dict.fromkeys(("id", "n_lines"), "bigint")
+SQL_TYPES = {"double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT"}
+
+
 @register("profile_shape", with_(D, LINES) + """
 SELECT CAST(count(*) AS BIGINT) AS n_rows, 15 AS n_columns, 10 AS n_numeric, 5 AS n_string FROM df""",
           rows="P1 P5")
@@ -68,7 +74,10 @@ def q_describe_numeric(spark, sf):
 
 
 @register("contract_checks", with_(D, LINES) + """
-SELECT CAST(count(*) AS BIGINT) AS n_rows, 15 AS n_columns, count(*) > 0 AS shape_ok,
+SELECT CAST(count(*) AS BIGINT) AS n_rows, (SELECT CAST(count(*) AS BIGINT) FROM orders) AS expected_rows,
+       count(*) = (SELECT count(*) FROM orders) AS rows_ok, CAST(""" + str(len(FRAME_COLS)) + """ AS INTEGER) AS n_columns,
+       coalesce(concat_ws(',', """ + ", ".join(f"CASE WHEN any_value(typeof({c})) <> '{SQL_TYPES[FRAME_TYPES[c]]}' THEN '{c}' END" for c in sorted(FRAME_COLS)) + """), '') AS wrong_columns,
+       """ + " AND ".join(f"any_value(typeof({c})) = '{SQL_TYPES[FRAME_TYPES[c]]}'" for c in FRAME_COLS) + """ AS columns_ok,
        CAST(coalesce(sum(""" + " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in FRAME_COLS) + """), 0) AS BIGINT) AS null_cells,
        CAST(count_if(y IS NULL OR y NOT IN (0, 1)) AS BIGINT) AS bad_target,
        count_if(y IS NULL OR y NOT IN (0, 1)) = 0 AS target_domain_ok,
@@ -77,7 +86,8 @@ SELECT CAST(count(*) AS BIGINT) AS n_rows, 15 AS n_columns, count(*) > 0 AS shap
          AS default_rate_ok
 FROM df""", rows="P6")
 def q_contract_checks(spark, sf):
-    return pf.contract_checks(_feat(spark, sf), "y", expected_columns=15)
+    """One row an order, fifteen columns of given types: joins neither lose nor repeat orders."""
+    return pf.contract_checks(_feat(spark, sf), "y", FRAME_TYPES, read_table(spark, sf, "orders", ["o_orderkey"]))
 
 
 @register("feature_correlation", with_(D, LINES) + _union([f"""
