@@ -38,15 +38,17 @@ EVERY, K = 50, 5
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, nth, vec): vectors that take part, as doubles; ``nth`` tells rows of one id apart. Each is divided by a power
-    of two near its largest component: cosines stay the same to the last bit, and no square is lost to under- or overflow."""
+    """(id, nth, vec): vectors that take part, as doubles; ``nth`` tells rows of one id apart. Where
+    squares come near under- or overflow a vector is divided by a power of two near its largest component, which leaves cosines as they are."""
     base, at = isolate(vectors)
     vec = F.col(at[vec_col]).cast("array<double>")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    most = F.array_max(F.transform(vec, F.abs))
-    rows = base.where(F.col(at[vec_col]).isNotNull() & fine).select(row_id(at[id_col]).alias("id"), vec.alias("vec"), most.alias("most")).where("most > 0")
-    scale = F.pow(F.lit(2.0), F.floor(F.log2("most")))
-    rows = rows.withColumn("scale", scale).select("id", F.transform("vec", lambda x: x / F.col("scale")).alias("vec"))
+    squares = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x)
+    rows = base.where(F.col(at[vec_col]).isNotNull() & fine).select(row_id(at[id_col]).alias("id"), vec.alias("vec"), squares.alias("sq"))
+    far = (F.col("sq") > 1e200) | (F.col("sq") < 1e-200)   # only these cost a second look
+    most = F.array_max(F.transform("vec", F.abs))
+    rows = rows.where(~far | (most > 0)).withColumn("scale", F.when(far, F.pow(F.lit(2.0), F.floor(F.log2(most)))))
+    rows = rows.select("id", F.when(F.col("scale").isNull(), F.col("vec")).otherwise(F.transform("vec", lambda x: x / F.col("scale"))).alias("vec"))
     dims = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("vec")))
     return rows.where(F.size("vec") == (dims["d"] if dims else 0)).withColumn("nth", nth)
