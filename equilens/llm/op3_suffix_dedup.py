@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, isolate, mix64, row_id, slots, value_ranges
 
 WINDOW, GRAM, SLICE = 50, 16, 1 << 18
-BATCH_MB, BUCKET_MB = 4, 4
+BATCH_MB, BUCKET_MB = 3, 2
 #: Windows that a bucket orders at once; a digit's entries (one per batch at most, and distinct run) stay together.
-AT_ONCE = 300_000
+AT_ONCE = 200_000
 _U = np.uint64
 
 
@@ -321,7 +321,7 @@ def mark_repeats(docs: DataFrame, finish, schema: str, window: int, gram: int, i
         b, batch = opened(docs_table, is_open), docs_table.column("batch")[0].as_py()
         present, cut = bucket_bounds(b.e_digit, buckets)
         pieces = list(zip(cut, cut[1:], strict=False))
-        data, stop = b.data.tobytes(), b.e_start + b.e_count + window - 1
+        data, stop = memoryview(b.data), b.e_start + b.e_count + window - 1   # slices of it are no copies
         covered = [b"".join([data[s:e] for s, e in zip(b.e_start[i:j].tolist(), stop[i:j].tolist(), strict=True)]) for i, j in pieces]
         note = np.packbits(flags[0]).tobytes()
         return pa.table({"bucket": np.append(present, -1 - batch), "batch": np.full(len(present) + 1, batch, np.int64),
