@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import uuid
@@ -33,6 +34,8 @@ from ..session import scratch_path, write_once
 from ..spec import FAIRNESS_WEIGHT, MODEL_FAMILIES, N_TRIALS, RANDOM_SEED, AuditSpec
 from .fairness import composite_col
 from .leafwise import fit_leafwise
+from .linear import fit_linear, held_out_scores
+from .linear import settings as linear_settings
 from .metrics import ranking_metrics
 
 #: Fits of a search at a time; MB that a task may use for the statistics of one tree level.
@@ -299,10 +302,11 @@ def cv_search(df: DataFrame, spec: AuditSpec, features: Sequence[str], trials: S
     that a family rejects score 0 with their ``reason``; a lost executor, a
     missing column or any other fault is raised.
 
-    ``most`` fits run at a time (leaf-wise trials fit all their folds together).
-    Each pair's scores are written to ``folder`` (a fresh one in the shared
-    scratch folder, if not given); pairs that an earlier run completed there are
-    read, not fitted again.
+    ``most`` fits run at a time (leaf-wise trials fit all their folds together,
+    linear trials all of theirs in the same rounds, ``linear``). Each pair's
+    scores are written to ``folder`` (a fresh one in the shared scratch folder,
+    if not given), those of the linear trials as one table; what an earlier run
+    completed there is read, not fitted again.
     Returns the history table (trial, model_type, score, params, reason)."""
     from ..sources.store import path_exists
     from .fairness import fairness_report
@@ -334,13 +338,44 @@ def cv_search(df: DataFrame, spec: AuditSpec, features: Sequence[str], trials: S
             return trial, None
         return run
 
-    todo = {t: [k for k in folds if not path_exists(spark, f"{place(t, k)}/_SUCCESS")] for t in plans}
+    failed: dict[int, str] = {}
+    linear: dict[int, dict] = {}
+    for t in sorted(plans):
+        if plans[t][0]["model_type"] == "logistic_regression":
+            try:
+                linear_settings(plans[t][0])
+                # what the family's single estimator refuses, the shared rounds refuse too
+                family_estimator(plans[t][0], "features", spec.label, weight_of(plans[t][0], weight_col))
+                linear[t] = plans[t][0]
+            except (IllegalArgumentException, ValueError) as e:
+                failed[t] = str(e)[:500]
+    # the linear trials' table is named by its trials, so a run with others makes one of its own
+    together = f"{folder}/linear-{hashlib.md5(json.dumps(linear, sort_keys=True).encode()).hexdigest()[:12]}"
+
+    def all_linear() -> tuple[int, str | None]:
+        first = next(iter(linear))
+        try:
+            models = fit_linear(df, linear, features, spec.label, weight_of(linear[first], weight_col), fold, folds)
+        except ValueError as e:   # a fold without rows to train on
+            failed.update({t: str(e)[:500] for t in linear})
+            return first, str(e)[:500]
+        sc = held_out_scores(df, models, features, fold, [spec.id, spec.label, spec.group])
+        cut = F.element_at(F.create_map(*[F.lit(x) for t in linear for x in (t, plans[t][1])]), F.col("trial"))
+        sc.withColumn("pred_model", (F.col("p_model") >= cut).cast("int")).write.mode("overwrite").parquet(together)
+        return first, None
+
+    fits = {t: p for t, p in plans.items() if p[0]["model_type"] != "logistic_regression"}
+    todo = {t: [k for k in folds if not path_exists(spark, f"{place(t, k)}/_SUCCESS")] for t in fits}
     # a trial's folds one by one, but those of leaf-wise trials together; boosting, the longest, first
-    order = sorted(plans, key=lambda t: (not plans[t][0]["model_type"].startswith("gbt"), t))
+    order = sorted(fits, key=lambda t: (not plans[t][0]["model_type"].startswith("gbt"), t))
     jobs = [job(t, part) for t in order if todo[t]
             for part in ([todo[t]] if plans[t][0]["model_type"] == "gbt_leafwise" else [[k] for k in todo[t]])]
-    failed = {t: reason for t, reason in at_once(jobs, spark, most) if reason is not None}
-    stacked = [spark.read.parquet(place(t, k)) for t in plans if t not in failed for k in folds]
+    if linear and not path_exists(spark, f"{together}/_SUCCESS"):
+        jobs.append(all_linear)
+    failed.update({t: reason for t, reason in at_once(jobs, spark, most) if reason is not None})
+    stacked = [spark.read.parquet(place(t, k)) for t in fits if t not in failed for k in folds]
+    if any(t not in failed for t in linear):
+        stacked.append(spark.read.parquet(together))
     if not stacked:
         raise ValueError("no trial could be fitted")
     allv = stacked[0]
