@@ -44,13 +44,10 @@ def code_dictionary(df: DataFrame, col: str, dictionary: DataFrame) -> DataFrame
         "code", "meaning", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
-    """E5: integer codes in lexicographic order of the distinct values
-    (A40, A41, A410, A42, ...), NULL -> -1. The code table (distinct values
-    of all columns from one unpivoted pass, ranked per column by a distributed
-    running count) is written once and joined back by value; the join is
-    planned from its true size."""
-    # all columns' distinct values in one pass (unpivot + distinct), ranked per column
+def code_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """E5 fit: (_c, _v, _code) of every distinct value of the columns, codes in lexicographic order
+    (A40, A41, A410, A42, ...). Distinct values of all columns come from one unpivoted pass, ranked
+    per column by a distributed running count; the table is written once."""
     values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"))
                                            for c in cols])).alias("_u")).select("_u._c", "_u._v") \
                .where(F.col("_v").isNotNull()).distinct()
@@ -58,8 +55,13 @@ def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") ->
     # prefix sum, so even a high-cardinality column is never sorted in one task
     from ..functions.ranking import running_totals
     ranked = running_totals(values.withColumn("_one", F.lit(1)), ["_c"], "_v", ["_one"], descending=False)
-    codes = ranked.select("_c", "_v", (F.col("cum__one") - 1).cast("int").alias("_code"))
-    codes = write_once(codes, "codes")
+    return write_once(ranked.select("_c", "_v", (F.col("cum__one") - 1).cast("int").alias("_code")), "codes")
+
+
+def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
+    """E5: integer codes in lexicographic order of the distinct values, NULL -> -1. The code table
+    is joined back by value; the join is planned from its true size."""
+    codes = code_table(df, cols)
     out = df
     for c in cols:
         cc = codes.where(F.col("_c") == c).select(F.col("_v").alias(f"_v_{c}"), F.col("_code").alias(f"{c}{suffix}"))
@@ -68,6 +70,42 @@ def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") ->
     return out
 
 
+#: Codes of a null and of a value that the fitted table doesn't hold.
+NULL_CODE, UNSEEN_CODE = -1, -2
+
+
+class CategoryEncoder:
+    """E5 fitted once and kept (Q6): the codes of the rows it was fitted on serve later tables too.
+    ``transform`` puts the codes in the columns' place: nulls get -1, values that the fit did not see
+    -2, so that neither takes another value's code. Columns keep their order."""
+
+    def __init__(self, cols: Sequence[str], codes: DataFrame | None = None):
+        self.cols, self.codes = list(cols), codes
+
+    def fit(self, df: DataFrame) -> "CategoryEncoder":
+        self.codes = code_table(df, self.cols).select(F.col("_c").alias("column"), F.col("_v").alias("value"), F.col("_code").alias("code"))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.codes is None:
+            raise ValueError("CategoryEncoder not fitted: call fit() first")
+        out = df
+        for c in self.cols:
+            own = self.codes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+            out = out.join(own, F.col(c).cast("string") == F.col("_value"), "left").withColumn(
+                c, F.when(F.col(c).isNull(), F.lit(NULL_CODE)).otherwise(F.coalesce("_code", F.lit(UNSEEN_CODE)))).drop("_value", "_code")
+        return out.select(*df.columns)
+
+    def save(self, path: str) -> None:
+        self.codes.write.mode("overwrite").partitionBy("column").parquet(f"{path}/codes")
+        self.codes.sparkSession.createDataFrame([(self.cols,)], "columns array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/columns")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "CategoryEncoder":
+        cols = list(spark.read.schema("columns array<string>").json(f"{path}/columns").first()["columns"])
+        return cls(cols, spark.read.schema("value string, code int, column string").parquet(f"{path}/codes"))
+
+
 def drop_columns(df: DataFrame, cols: Sequence[str] = (), non_numeric: bool = False) -> DataFrame:
     """Drop named columns (absent names are ignored) or every non-numeric one."""
     from .profile import numeric_columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_audit, q_metrics, q_mitigate, q_ml, q_models, q_profile, q_sources, q_stream  # noqa: F401
+from . import q_audit, q_metrics, q_mitigate, q_ml, q_models, q_profile, q_raw, q_sources, q_stream  # noqa: F401
 from .registry import ORACLE, QUERIES, ROWS
 
 

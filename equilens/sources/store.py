@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_once
 from ..spec import AuditSpec
 
 # --- fixed values: the raw credit-decision file layout ---------------------
@@ -45,6 +46,18 @@ def read_raw_decisions(spark: SparkSession, path: str, ddl: str = RAW_DDL,
     return spark.read.csv(path, sep=" ", schema=ddl, header=False, mode="FAILFAST")
 
 
+def read_raw_checked(spark: SparkSession, path: str, ddl: str = RAW_DDL) -> tuple[DataFrame, DataFrame]:
+    """S1 with bad lines kept: (good rows, bad lines as ``line``). Bad are lines with too few or too
+    many fields or a field that is not of its type; blank lines are neither. The parsed file is written
+    once: the reader parses no more columns than a query asks for, so a bad field in an unread column
+    would go unseen."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
+    rows = write_once(spark.read.csv(path, sep=" ", schema=f"{ddl}, _line STRING", header=False, mode="PERMISSIVE",
+                                     columnNameOfCorruptRecord="_line"), "raw")
+    return rows.where(F.col("_line").isNull()).drop("_line"), rows.where(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
+
+
 def read_numeric_variant(spark: SparkSession, path: str, n_cols: int = 25) -> DataFrame:
     """S1 numeric variant: blank-padded integer rows, split on runs of spaces."""
     parts = F.split(F.trim(F.col("value")), r"\s+")
