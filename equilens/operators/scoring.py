@@ -54,6 +54,29 @@ def parse_applications(df: DataFrame, json_col: str = "value") -> DataFrame:
     return df.select(F.from_json(F.col(json_col).cast("string"), request_schema()).alias("r")).select("r.*")
 
 
+def request_decisions(lines: DataFrame, schema, rules, model, id_col: str, out: str = "prediction", score: str = "p_model",
+                      text: str = "value") -> DataFrame:
+    """S11 + E15 + O1 + H6 on a table or a stream of JSON lines: parsed, checked and scored by a fitted
+    ``PipelineModel`` in one pass. Every line gives one row: ``id_col``, ``status`` (``malformed``: no JSON
+    object of the schema's types; ``rejected``: rules broken; else ``scored``), ``violations`` (comma-joined),
+    ``line`` (the text where it is malformed), ``score``, decision ``out`` and ``fairness_adjusted`` (null unless
+    scored). A null or empty line is malformed. Fields that the schema doesn't name are ignored."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from .validate import violation_array
+    whole = StructType([*schema.fields, StructField("_broken", StringType(), True)])
+    parsed = lines.select(F.col(text).alias("_line"), F.from_json(F.col(text).cast("string"), whole, {"columnNameOfCorruptRecord": "_broken"}).alias("_r"))
+    # a broken record may be filled in part: none of it counts
+    bad = F.col("_r").isNull() | F.col("_r._broken").isNotNull()
+    rows = parsed.select("_line", bad.alias("_bad"), *[F.when(~bad, F.col(f"_r.`{f.name}`")).alias(f.name) for f in schema.fields])
+    rows = rows.withColumn("violations", F.when(F.col("_bad"), F.lit("")).otherwise(F.array_join(violation_array(rules), ",")))
+    rows = rows.withColumn("status", F.when(F.col("_bad"), "malformed").when(F.col("violations") != "", "rejected").otherwise("scored"))
+    done = model.transform(rows)
+    ok = F.col("status") == "scored"
+    return done.select(id_col, "status", "violations", F.when(F.col("_bad"), F.col("_line")).alias("line"),
+                       *[F.when(ok, F.col(c)).alias(c) for c in (score, out, "fairness_adjusted")])
+
+
 def risk_tier(p: str) -> F.Column:
     """O3: Low below 0.3, Medium below 0.6, else High (on the probability,
     not on the adjusted decision)."""

@@ -11,7 +11,7 @@ from ..operators import prep as pp
 from ..operators import scoring as sc
 from ..operators import thresholds as th
 from ..operators.fairness import label_parity
-from ..session import write_once
+from ..session import scratch_path, write_once
 from ..sources.frames import FEATURES, decision_frame
 from ..spec import DECISIONS
 from .registry import register
@@ -254,6 +254,18 @@ def q_threshold_apply(spark, sf):
     return th.apply_thresholds(df, DECISIONS, t).select("id", "g", "p", "pred_adj", "fairness_adjusted")
 
 
+@register("threshold_pipeline", with_(D, _threshold_sql("equal_opportunity")) + APPLY_SQL +
+          "\nSELECT id, g, p, pred_adj, fairness_adjusted FROM ap", rows="H4 H6 S7")
+def q_threshold_pipeline(spark, sf):
+    """The thresholds as a stage of a fitted pipeline that is saved and read back."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from ..operators.stages import GroupThresholds
+    df, path = decision_frame(spark, sf), scratch_path(spark, "threshold-pipeline")
+    Pipeline(stages=[GroupThresholds()]).fit(df).write().save(path)
+    return PipelineModel.load(path).transform(df).select("id", "g", "p", "pred_adj", "fairness_adjusted")
+
+
 @register("threshold_effect", with_(D, _threshold_sql("equal_opportunity")) + APPLY_SQL + """,
 gc AS (SELECT g, CAST(count_if(y = 0 AND pred_adj = 0) AS BIGINT) AS tn, CAST(count_if(y = 0 AND pred_adj = 1) AS BIGINT) AS fp,
               CAST(count_if(y = 1 AND pred_adj = 0) AS BIGINT) AS fn, CAST(count_if(y = 1 AND pred_adj = 1) AS BIGINT) AS tp

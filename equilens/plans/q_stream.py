@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import write_once
+from ..session import scratch_path, write_once
 from ..operators import scoring as sc
 from ..operators import thresholds as th
 from ..sources.frames import decision_frame, decisions_from_orders
@@ -108,3 +108,83 @@ def q_stream_session(spark, sf):
     out = mo.session_activity(mo.event_stream(spark, sf), "10 minutes")
     # append mode: the sessions that the watermark (one hour behind the newest event) has closed
     return mo.run_available(spark, out, "stream-session", "append")
+
+
+@register("stream_late", with_(EVENTS) + """,
+top AS (SELECT max(ts) AS last FROM ev)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count_if(ts IS NULL) AS BIGINT) AS n_without_time,
+       CAST(count_if(date_trunc('day', ts) + INTERVAL 1 DAY > last - INTERVAL 1 HOUR) AS BIGINT) AS n_counted,
+       CAST(count_if(date_trunc('day', ts) + INTERVAL 1 DAY <= last - INTERVAL 1 HOUR) AS BIGINT) AS n_late
+FROM ev, top""", rows="O8")
+def q_stream_late(spark, sf):
+    """Late rows as a number: the newest day's events arrive first, the older ones after the watermark has passed them."""
+    e = read_table(spark, sf, "events", [f.name for f in mo.EVENT_SCHEMA.fields])
+    folder, out, ckpt = (scratch_path(spark, f"late-{k}") for k in ("in", "out", "ckpt"))
+    last = e.agg(F.max("ts")).first()[0]   # one value
+    newest_day = F.coalesce(F.date_trunc("day", "ts") >= F.date_trunc("day", F.lit(last)), F.lit(False))
+    first = newest_day & ((F.col("event_id") % 2 == 0) | (F.col("ts") == F.lit(last)))
+    for part in (first, newest_day & ~first, ~newest_day):
+        e.where(part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(mo.EVENT_SCHEMA).parquet(folder)
+        _, accounts = mo.window_parity_accounts(spark, mo.as_events(stream), "1 day", "late", out=out, ckpt=ckpt)
+    return accounts
+
+
+CUT_LINE = "priority = '1-URGENT' AND id % 7 = 0"        # requests whose text is cut short
+NO_NUMBER = "priority = '2-HIGH' AND id % 5 = 0"         # requests with a word for a number
+
+
+@register("stream_requests", with_(D) + f"""
+SELECT CASE WHEN bad THEN NULL ELSE id END AS id,
+       CASE WHEN bad THEN 'malformed' WHEN violations <> '' THEN 'rejected' ELSE 'scored' END AS status, violations,
+       NOT bad AND violations = '' AS has_decision, bad AS has_line
+FROM (SELECT id, ({CUT_LINE}) OR ({NO_NUMBER}) AS bad,
+             CASE WHEN ({CUT_LINE}) OR ({NO_NUMBER}) THEN '' ELSE array_to_string(list_filter([
+               CASE WHEN o_totalprice > 400000 THEN 'o_totalprice:le' END,
+               CASE WHEN c_acctbal < 0 THEN 'c_acctbal:ge' END], lambda x: x IS NOT NULL), ',') END AS violations FROM d)""", rows="S11 O7 O9 H6 S7")
+def q_stream_requests(spark, sf):
+    """Requests as JSON lines, scored inside the stream by a saved and reloaded ``PipelineModel``."""
+    path, lines = request_model(spark, sf), scratch_path(spark, "requests")
+    request_lines(spark, sf).write.text(lines)
+    return request_stream(spark, lines, path).select("id", "status", "violations", F.col("prediction").isNotNull().alias("has_decision"),
+                                                     F.col("line").isNotNull().alias("has_line"))
+
+
+REQUEST = "id bigint, g int, o_totalprice double, c_acctbal double, n_lines bigint, qty_sum double, avg_discount double"
+
+
+def request_rules():
+    from ..operators.validate import Rule
+    return (Rule("o_totalprice", None, 400000, True), Rule("c_acctbal", 0, None, True))
+
+
+def request_lines(spark, sf):
+    """The decision frame's rows as request lines (``value``), some of them spoilt."""
+    df = decision_frame(spark, sf, features=True)
+    fields = [c.split()[0] for c in REQUEST.split(", ")]
+    whole = F.to_json(F.struct(*fields))
+    word = F.to_json(F.struct(*[F.lit("many").alias(c) if c == "o_totalprice" else F.col(c) for c in fields]))
+    return df.select(F.when(F.expr(CUT_LINE), F.substring(whole, 1, 20)).when(F.expr(NO_NUMBER), word).otherwise(whole).alias("value"))
+
+
+def request_model(spark, sf) -> str:
+    """Folder of the fitted pipeline: preparation, logistic regression, group thresholds."""
+    from ..operators import mitigate as mg
+    from ..operators import search as se
+    from ..operators.stages import audit_pipeline
+    from ..sources.frames import FEATURES
+    from .q_ml import BASELINES
+    split = write_once(mg.holdout_exact(decision_frame(spark, sf, features=True), DECISIONS).select("id", "y", "g", "split", *FEATURES), "split")
+    train = split.where(F.col("split") == "train")
+    lr = se.family_estimator(BASELINES[1][1], "features", "y", n_rows=se.total_weight(train, None))
+    path = scratch_path(spark, "pipeline-model")
+    audit_pipeline(FEATURES, lr, DECISIONS).fit(train).write().save(path)
+    return path
+
+
+def request_stream(spark, lines: str, model: str):
+    """The rows of ``scoring.request_decisions`` for every line under ``lines``, by a stream."""
+    from pyspark.ml import PipelineModel
+    from pyspark.sql.types import StructType
+    stream = sc.request_decisions(spark.readStream.text(lines), StructType.fromDDL(REQUEST), request_rules(), PipelineModel.load(model), "id")
+    return mo.run_available(spark, stream, "stream-requests", "append")

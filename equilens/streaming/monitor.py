@@ -22,6 +22,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from ..functions.exprs import count_if, r6, safe_div
 from ..session import scratch_path
+from ..sources.store import path_exists
 
 EVENT_SCHEMA = StructType([
     StructField("event_id", LongType()), StructField("ts", TimestampNTZType()), StructField("user_id", LongType()),
@@ -42,7 +43,11 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, schema: StructTyp
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event frame as a stream: ``id, ts (TIMESTAMP), user_id, y, g, value``."""
-    e = table_stream(spark, sf_dir, "events", EVENT_SCHEMA)
+    return as_events(table_stream(spark, sf_dir, "events", EVENT_SCHEMA))
+
+
+def as_events(e: DataFrame) -> DataFrame:
+    """The event frame of rows of the events table, a table or a stream."""
     return e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id",
                     (F.col("event_type") == "error").cast("int").alias("y"),
                     (F.col("user_id") % 2).cast("int").alias("g"), "value")
@@ -118,11 +123,58 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     _finish(q)
     result = spark.read.parquet(out)
     if mode == "update":
-        last = Window.partitionBy(*keys).orderBy(F.col("epoch").desc())
-        result = result.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", "epoch")
+        result = newest(result, keys)
     return result
 
 
+def window_parity_accounts(spark: SparkSession, events: DataFrame, duration: str, name: str, slide: str | None = None, per_row: int = 1,
+                           watermark: str = "1 hour", out: str | None = None, ckpt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """O8 with its losses counted: (windows, accounts). Each trigger's input is counted by ``observe`` before the
+    watermark, read from the query's progress and written beside the windows, one row a trigger; runs that resume with
+    the same ``out`` and ``ckpt`` add to it. The accounts have one row: ``n_rows`` read, ``n_without_time`` (in no
+    window), ``n_counted`` and ``n_late`` (window memberships; a row is in ``per_row`` windows, duration / slide).
+    ``n_late`` is what the watermark dropped: exact, since each membership is either counted or dropped."""
+    out, ckpt = out or scratch_path(spark, f"{name}-out"), ckpt or scratch_path(spark, f"{name}-ckpt")
+    seen = events.observe("arrived", F.count(F.lit(1)).alias("n_rows"), count_if(F.col("ts").isNull()).alias("n_without_time"))
+    stream = window_parity(seen, duration, slide, watermark)
+
+    def epoch_sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/windows/epoch={epoch}")
+
+    q = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).outputMode("update").foreachBatch(epoch_sink).start()
+    arrived: dict[int, tuple[int, int]] = {}
+
+    def harvest() -> None:
+        for p in q.recentProgress:
+            m = p.observedMetrics.get("arrived")
+            if m is not None:
+                arrived[p.batchId] = (m["n_rows"], m["n_without_time"])
+
+    while not q.awaitTermination(1):   # the query keeps the newest 100 triggers only
+        harvest()
+    _finish(q)
+    harvest()
+    # a trigger whose run was cut off before its progress was read is written again by its replay
+    for epoch, (n, none) in sorted(arrived.items()):
+        spark.createDataFrame([(n, none)], "n_rows bigint, n_without_time bigint").coalesce(1).write.mode("overwrite").parquet(f"{out}/triggers/epoch={epoch}")
+    schema = StructType([*stream.schema.fields, StructField("epoch", LongType())])
+    # a stream without any file yet has no trigger, here or in an earlier run
+    windows = (newest(spark.read.schema(schema).parquet(f"{out}/windows"), ["window_start", "window_end"])
+               if path_exists(spark, f"{out}/windows") else spark.createDataFrame([], stream.schema))
+    totals = (spark.read.schema("n_rows bigint, n_without_time bigint, epoch bigint").parquet(f"{out}/triggers")
+              if path_exists(spark, f"{out}/triggers") else spark.createDataFrame([], "n_rows bigint, n_without_time bigint"))
+    both = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", "n_without_time")]).crossJoin(   # one row by one row
+        windows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_counted")))
+    return windows, both.select("n_rows", "n_without_time", "n_counted",
+                                ((F.col("n_rows") - F.col("n_without_time")) * per_row - F.col("n_counted")).alias("n_late"))
+
+
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of each key from the latest epoch."""
+    last = Window.partitionBy(*keys).orderBy(F.col("epoch").desc())
+    return rows.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", "epoch")
+
+
 def _finish(q) -> None:
     q.awaitTermination()
     if q.exception() is not None:
