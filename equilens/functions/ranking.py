@@ -17,15 +17,18 @@ stratum cannot concentrate rows: scores are first collapsed to distinct values
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..session import write_once
 
 
-#: Distinct values that one range bucket should hold.
+#: Distinct values that one bucket should hold.
 BUCKET_ROWS = 250_000
 
 
@@ -33,35 +36,53 @@ def running_totals(df: DataFrame, keys: Sequence[str], order_col: str, value_col
                    descending: bool = True, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<v>`` = inclusive running sum of ``v`` within ``keys``, in
     ``order_col`` order. ``order_col`` must be distinct within ``keys``
-    (collapse first). Range-partitioned buckets keep every task bounded.
+    (collapse first). Nulls come first in ascending order, NaN last.
+
+    The collapsed table is written once; up to ``BUCKET_ROWS`` rows it is one
+    bucket, summed in place. Beyond that numbers get fixed bucket edges from one
+    aggregate, so a row's bucket is an expression of its value and any
+    evaluation agrees with any other: the rows are shuffled once, by (keys,
+    bucket), and only the bucket totals beside them. Text has no such edges; it
+    is range-partitioned and written with its partition as bucket, since range
+    bounds are sampled anew at every evaluation.
     """
     keys = list(keys)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    # Range bounds come from sampling, so two evaluations of the same range
-    # exchange may cut the key space differently. The bucketed table is
-    # written once to the shared checkpoint folder and both the bucket totals
-    # and the per-row pass read that same copy (this also cuts the lineage, so
-    # a lost executor re-reads it instead of re-sampling).
-    values = write_once(df, "values")   # the collapsed table; the number of buckets follows its rows
+    values = write_once(df, "values")   # the number of buckets follows its rows
     nb = max(1, -(-values.count() // BUCKET_ROWS))
-    ranged = write_once(values.repartitionByRange(nb, *[F.col(k) for k in keys], order)
-                        .withColumn("_bucket", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    wo = Window.orderBy("_bucket") if not keys else Window.partitionBy(*keys).orderBy("_bucket")
-    wo = wo.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bucket",
-                            *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}")
-                              for v in value_cols])
-    if not keys:
-        # at most one row per bucket: a proven bound, so broadcast it
-        offsets = F.broadcast(offsets)
-    joined = ranged.join(offsets, [*keys, "_bucket"])
-    wi = Window.partitionBy(*keys, "_bucket").orderBy(order) \
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = joined
-    for v in value_cols:
-        out = out.withColumn(f"{prefix}{v}", F.sum(v).over(wi) + F.col(f"_o_{v}"))
-    return out.drop("_bucket", *[f"_o_{v}" for v in value_cols])
+    if nb == 1:
+        whole = Window.partitionBy(*keys or [F.lit(0)]).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return values.select("*", *[F.sum(v).over(whole).alias(f"{prefix}{v}") for v in value_cols])
+    if isinstance(values.schema[order_col].dataType, NumericType):
+        cut, upward = by_edges(values, order_col, nb), not descending
+    else:
+        cut, upward = write_once(values.repartitionByRange(nb, *[F.col(k) for k in keys], order)
+                                 .withColumn("_bucket", F.spark_partition_id()), "ranged"), True
+    totals = cut.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    bucket = F.col("_bucket").asc() if upward else F.col("_bucket").desc()
+    wo = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    # a row a bucket and key: Spark plans the join to the rows' layout by its size
+    offsets = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_kb"),
+                            *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
+    laid = cut.repartition(*[F.col(k) for k in keys], F.col("_bucket"))
+    wi = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = laid.select("*", *[F.sum(v).over(wi).alias(f"_i_{v}") for v in value_cols])
+    same = F.col("_bucket") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return inside.join(offsets, same).select(*values.columns, *[(F.col(f"_i_{v}") + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in value_cols])
+
+
+def by_edges(values: DataFrame, col: str, buckets: int) -> DataFrame:
+    """``values`` with ``_bucket``: ascending buckets of about equal rows, cut at values that one aggregate of bounded
+    size finds (``buckets`` - 1 numbers on the driver). Nulls are in bucket -1, NaN in the last."""
+    x = F.col(col).cast("double")
+    at = [i / buckets for i in range(1, buckets)]
+    found = values.where(~F.isnan(x)).agg(F.percentile_approx(x, at, max(10_000, 10 * buckets))).first()[0] or []
+    edges = sorted({e for e in found if math.isfinite(e)})
+    binned = Bucketizer(splits=[-math.inf, *(edges or [0.0]), math.inf], inputCol="_x", outputCol="_b", handleInvalid="keep") \
+        .transform(values.withColumn("_x", F.coalesce(x, F.lit(0.0))))
+    return binned.withColumn("_bucket", F.when(x.isNull(), F.lit(-1)).otherwise(F.col("_b").cast("int"))).drop("_x", "_b")
 
 
 def hash_rank(df: DataFrame, strata: Sequence[str], hash_col: str, rank_col: str = "rank",

@@ -143,9 +143,10 @@ def fairness_report(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), pari
     grouped aggregates of one stacked table; nothing is collected per model.
     Parity is measured on the label, or on ``parity_on`` (the decision, when
     models compete). Verdicts and the score use unrounded values."""
-    # confusion counts and parity sums share one aggregate (one scan); the
-    # ranking metrics need their own collapse by score
-    from .metrics import confusion_sums, ranking_metrics, rates_from_confusion
+    # with a score, the counts and the ranking metrics come from one collapse of the rows
+    from .metrics import cells, confusion_sums, ranking_metrics, rates_from_confusion
+    if spec.score is not None:
+        df, spec = cells(df, spec, by, (spec.label, spec.group, spec.pred, parity_on, spec.score))
     agg = df.groupBy(*by).agg(*confusion_sums(spec), *parity_sums(spec, parity_on or spec.label), *eod_sums(spec),
                               *parity_sums(spec, spec.pred, "_pr"))
     both = rates_from_confusion(agg, keep=[*by, *[c for c in agg.columns if c.startswith("_")]], rounded=False)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, r6, safe_div, wsum, zero_div
 from ..functions.ranking import collapse_scores, running_totals
+from ..session import write_once
 from ..spec import AuditSpec
 
 PERFORMANCE_COLS = ("accuracy", "balanced_accuracy", "precision", "recall", "f1_score")
@@ -64,6 +65,15 @@ def performance(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataF
     return rates_from_confusion(confusion(df, spec, by), keep=by)
 
 
+def cells(df: DataFrame, spec: AuditSpec, by: Sequence[str], cols: Sequence[str | None]) -> tuple[DataFrame, AuditSpec]:
+    """The rows collapsed to one row for each ``by`` key and combination of ``cols`` with its count (or sum of weights),
+    written once, and the spec that reads it: whatever a report needs comes from this table, so the rows themselves
+    are read once."""
+    names = list(dict.fromkeys([*by, *[c for c in cols if c is not None]]))
+    total = F.sum(spec.weight) if spec.weight else F.count(F.lit(1))
+    return write_once(df.groupBy(*names).agg(total.alias("_cell")), "cells"), spec.with_(weight="_cell")
+
+
 def ranking_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), rounded: bool = True) -> DataFrame:
     """C7 ROC-AUC (ties count one half) and C8 average precision (step sum).
 
@@ -91,7 +101,9 @@ def ranking_metrics(df: DataFrame, spec: AuditSpec, by: Sequence[str] = (), roun
 
 
 def performance_full(df: DataFrame, spec: AuditSpec, by: Sequence[str] = ()) -> DataFrame:
-    """C2-C6 plus score metrics; score metrics are NULL without a score."""
+    """C2-C6 plus score metrics, from one pass over the rows; score metrics are NULL without a score."""
+    if spec.score is not None:
+        df, spec = cells(df, spec, by, (spec.label, spec.pred, spec.score))
     perf = performance(df, spec, by)
     if spec.score is None:
         return perf.withColumn("roc_auc", F.lit(None).cast("double")) \
