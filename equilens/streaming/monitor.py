@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from ..functions.exprs import count_if, r6, safe_div
 from ..session import scratch_path
@@ -121,7 +121,9 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     else:
         raise ValueError(mode)
     _finish(q)
-    result = spark.read.parquet(out)
+    if not path_exists(spark, out):   # no trigger had any input
+        return spark.createDataFrame([], stream.schema)
+    result = spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", LongType())]) if mode == "update" else stream.schema).parquet(out)
     if mode == "update":
         result = newest(result, keys)
     return result
@@ -194,5 +196,7 @@ def validate_stream(spark: SparkSession, stream: DataFrame, rules, name: str) ->
               .partitionBy("valid").parquet(f"{out}/epoch={epoch}")
 
     _finish(stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(sink).start())
-    rows = spark.read.parquet(out).drop("epoch").withColumn("valid", F.col("valid").cast("boolean"))
+    schema = StructType([*stream.schema.fields, StructField("violations", ArrayType(StringType())), StructField("valid", StringType())])
+    rows = spark.read.schema(schema).parquet(out) if path_exists(spark, out) else spark.createDataFrame([], schema)
+    rows = rows.withColumn("valid", F.col("valid").cast("boolean"))
     return rows.where("valid").drop("valid", "violations"), rows.where("not valid").drop("valid")

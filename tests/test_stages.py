@@ -102,3 +102,14 @@ def test_late_rows_are_counted_over_replays(spark, tmp_path):
     assert [(r.window_start, r.n) for r in windows.collect()] == [("2024-05-06 00:00:00", 5)]
     again = mo.window_parity_accounts(spark, events, "1 day", "late", out=out, ckpt=ckpt)[1]   # nothing new
     assert tuple(again.first()) == (9, 1, 5, 3)
+
+
+def test_streams_without_any_input(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    events = mo.as_events(spark.readStream.schema(mo.EVENT_SCHEMA).parquet(str(tmp_path / "none")))
+    for mode, stream in (("append", events), ("update", mo.window_parity(events, "1 day"))):
+        out = mo.run_available(spark, stream, "empty", mode, keys=["window_start"])
+        assert out.columns == stream.columns and out.count() == 0
+    valid, rejected = mo.validate_stream(spark, events, (Rule("value", 0, 1, True),), "empty")
+    assert valid.count() == rejected.count() == 0 and "violations" in rejected.columns
+    assert tuple(mo.window_parity_accounts(spark, events, "1 day", "empty")[1].first()) == (0, 0, 0, 0)
