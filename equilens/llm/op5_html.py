@@ -9,7 +9,9 @@ copies of a page are one page. The rows of (page, hash) are joined to the
 host's frequent hashes, so that each page learns its own templates only, and
 nothing holds all templates of a host. Then the pages are parsed again (less
 disk than keeping all their blocks as well as dealing them out) and blocks
-inside a template go, by array functions; the rest is the text.
+inside a template go; the rest is the text. An element around blocks is kept as
+the run of blocks that it covers, so a page's blocks and elements take memory
+in proportion to its length, however deep they nest.
 
 Besides templates, elements go that say what they are by tag, role, class or
 id: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
@@ -23,15 +25,18 @@ space, trimmed, blocks in page order joined by an empty line.
 Defined cases: null or empty html gives an empty text; unclosed, misnested and
 cut-off tags are closed where the page or a parent ends; quoted attribute
 values are read whole, of any length; a null url is a host
-of its own; repeated pages are each answered. Parsing is linear and not
-recursive, so depth and length are bounded by the page alone.
+of its own; repeated pages are each answered; an empty table gives an empty
+table; extra columns are left aside, whatever their names. Parsing is linear in
+time and memory and not recursive: the nearest open element of a name is looked
+up, not searched, so depth and length are bounded by the page alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 import xxhash
@@ -116,7 +121,7 @@ class Page:
         self.digest = [0]
         self.full = [False]
         self.open = [0]
-        self.names: Counter = Counter()   # how many elements of each tag are open
+        self.names: defaultdict = defaultdict(list)   # where in ``open`` the elements of each tag are
         at, end, attributes_of = 0, len(html), Attributes(html)
         while m := _TAG.search(html, at):
             if m.start() > at:
@@ -166,22 +171,22 @@ class Page:
         self.digest.append(0)
         self.full.append(False)
         node = len(self.tag) - 1
+        self.names[name].append(len(self.open))
         self.open.append(node)
-        self.names[name] += 1
         self.run.append((node, None))
         if name in VOID:
             self.close()
 
     def up_to(self, names: tuple, scope) -> None:
         """Close the nearest open element of ``names``, unless one of ``scope`` is nearer."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[k]]
-            if tag in names:
-                while len(self.open) > k:
-                    self.close()
-                return
-            if tag in scope:
-                return
+        k = self.nearest(names)
+        if k and k >= self.nearest(scope):
+            while len(self.open) > k:
+                self.close()
+
+    def nearest(self, names) -> int:
+        """Where in ``open`` the nearest element of ``names`` is; 0 if none is open."""
+        return max((self.names[name][-1] for name in names if self.names.get(name)), default=0)
 
     def end(self, name: str) -> None:
         if not self.names[name]:
@@ -192,7 +197,8 @@ class Page:
 
     def close(self) -> None:
         node = self.open.pop()
-        self.names[self.tag[node]] -= 1
+        if self.open:
+            self.names[self.tag[node]].pop()
         self.run.append((node, False))
         if self.full[node]:
             told = f"{self.tag[node]}\x00" + "\x00".join(map(str, self.parts[node]))
@@ -237,47 +243,60 @@ def boilerplate(page: Page, i: int, inside: bool) -> bool:
     return False
 
 
-def main_blocks(html: str | None) -> list[tuple[str, list[int]]]:
-    """The page's text blocks without marked boilerplate, each with the hashes of the
-    elements around it that may be a template of the site."""
+def main_blocks(html: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The page's text blocks without marked boilerplate, and (hash, first, end) of each element that may be a
+    template of the site and holds blocks ``first`` to ``end`` - 1. Those elements begin and end blocks, so
+    that none covers a part of one."""
     if not html:
-        return []
+        return [], []
     page = Page(html)
     inside, holds = marked(page), holds_marked(page)
     size = len(page.tag)
-    gone, article, main, around = [False] * size, [False] * size, [False] * size, [()] * size
+    gone, article, main, told = [False] * size, [False] * size, [False] * size, [False] * size
     for i, tag in enumerate(page.tag):
         up = page.parent[i]
         if up >= 0:
-            gone[i], article[i], main[i], around[i] = gone[up], article[up], main[up], around[up]
+            gone[i], article[i], main[i] = gone[up], article[up], main[up]
         if gone[i] or not page.full[i]:
             continue
         gone[i] = (not holds[i] or tag == "article") and boilerplate(page, i, inside[i])
         article[i], main[i] = not gone[i] and (article[i] or tag == "article"), not gone[i] and (main[i] or tag == "main")
-        if not holds[i] and (tag in CONTAINER or not inside[i] and tag in BLOCK):
-            around[i] = (*around[i], page.digest[i])
+        told[i] = not holds[i] and (tag in CONTAINER or not inside[i] and tag in BLOCK)
     keep = next((part for part in (article, main) if any(part)), None)
-    blocks, here, owner = [], [], ()
+    blocks, here, spans, first = [], [], [], [0] * size
     for node, text in [*page.run, (0, False)]:
         if text is None or text is False:
             tag = page.tag[node]
             if tag in BLOCK:
                 joined = " ".join("".join(here).split())
                 if joined:
-                    blocks.append((joined, list(owner)))
-                here, owner = [], ()
+                    blocks.append(joined)
+                here = []
+                if text is None:
+                    first[node] = len(blocks)
+                elif told[node] and first[node] < len(blocks):
+                    spans.append((page.digest[node], first[node], len(blocks)))
             elif tag in ("br", "td", "th"):
                 here.append(" ")
         elif not gone[node] and (keep is None or keep[node]):
             here.append(text)
-            if len(around[node]) > len(owner):
-                owner = around[node]
-    return blocks
+    return blocks, spans
+
+
+def outside(blocks, spans, templates) -> str:
+    """The text of the blocks that no template covers."""
+    edge = [0] * (len(blocks) + 1)
+    templates = set(templates)
+    for digest, first, end in spans:
+        if digest in templates:
+            edge[first] += 1
+            edge[end] -= 1
+    return "\n\n".join(text for text, covered in zip(blocks, accumulate(edge)) if not covered)
 
 
 def main_text(html: str | None, templates=()) -> str:
     """One page's text, for known template hashes."""
-    return "\n\n".join(text for text, around in main_blocks(html) if not set(around) & set(templates))
+    return outside(*main_blocks(html), templates)
 
 
 def page_templates(seen: DataFrame, least_pages: int = LEAST_PAGES, hot: int = HOT) -> DataFrame:
@@ -302,11 +321,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     @F.pandas_udf("array<long>")
     def around_of(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: sorted({a for _, around in main_blocks(h) for a in around}))
+        return html.map(lambda h: sorted({digest for digest, _, _ in main_blocks(h)[1]}))
+
+    @F.pandas_udf("blocks array<string>, digests array<long>, firsts array<int>, ends array<int>")
+    def blocks_of(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(blocks, [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans])
+                             for blocks, spans in map(main_blocks, html)], columns=["blocks", "digests", "firsts", "ends"])
 
-    @F.pandas_udf("array<struct<text string, around array<long>>>")
-    def blocks_of(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: [{"text": t, "around": a} for t, a in main_blocks(h)])
+    @F.pandas_udf("string")
+    def text_of(page: pd.DataFrame, templates: pd.Series) -> pd.Series:
+        return pd.Series([None if found is None else outside(blocks, zip(digests, firsts, ends), found)
+                          for blocks, digests, firsts, ends, found in
+                          zip(page["blocks"], page["digests"], page["firsts"], page["ends"], templates)], dtype=object)
 
     html = F.col(at[html_col]).cast("string")
     # 128 bits: pages of one host and digest are copies
@@ -315,9 +341,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     seen = keyed.select("host", "digest", around_of("html").alias("around")).groupBy("host", "digest").agg(F.first("around").alias("around"))
     # written, so that Spark plans the join by the table's true size and need not shuffle the texts for a small one
     templates = write_once(page_templates(seen, least_pages), "templates")
-    left = F.filter("blocks", lambda b: F.col("templates").isNull() | ~F.arrays_overlap(b["around"], F.col("templates")))
-    text = F.array_join(F.transform(left, lambda b: b["text"]), "\n\n")
-    return (keyed.select("page_id", "url", "host", "digest", blocks_of("html").alias("blocks"))
+    # only the blocks of pages with templates go to Python again
+    left = text_of(F.when(F.col("templates").isNotNull(), F.col("parsed")), "templates")
+    text = F.when(F.col("templates").isNull(), F.array_join("parsed.blocks", "\n\n")).otherwise(left)
+    return (keyed.select("page_id", "url", "host", "digest", blocks_of("html").alias("parsed"))
             .join(templates, ["host", "digest"], "left").select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
             .withColumn("n_chars", F.char_length("text").cast("long")))
 

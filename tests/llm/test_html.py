@@ -1,4 +1,6 @@
+import random
 import time
+import tracemalloc
 
 import pytest
 
@@ -94,3 +96,36 @@ def test_mismatched_quotes_are_read_in_linear_time():
         op.Page(html)
     assert time.process_time() - began < 20
     assert op.main_text("<p title=\"x>one</p><p>it's</p>") == "one\n\nit's"
+
+
+def test_deep_texts_and_unmatched_items_take_linear_time_and_memory():
+    began = time.process_time()
+    tracemalloc.start()
+    deep = "".join(f"<div>t{i}" for i in range(50_000)) + "</div>" * 50_000
+    assert op.main_text(deep).count("\n\n") == 49_999
+    assert op.main_text("<span>" * 50_000 + "<li></li>" * 50_000 + "<li>x") == "x"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and time.process_time() - began < 30
+
+
+def test_templates_equal_a_plain_count(spark):
+    r = random.Random(4)
+    boxes = [f"<div><p>box {k}</p><div>deep {k % 3}</div></div>" for k in range(6)]
+    rows = []
+    for i in range(80):
+        inner = "".join(f"<div>{r.choice(boxes)}{f'<p>own {i} {k}</p>' if r.random() < 0.7 else ''}</div>" for k in range(r.randint(0, 4)))
+        rows.append((i, f"http://h{r.randint(0, 3)}.org/x", inner))
+    rows += [(200 + i, u, h) for i, u, h in rows[:10]]
+    held = {}   # (host, hash) -> its different pages
+    for _, url, html in rows:
+        for digest, _, _ in op.main_blocks(html)[1]:
+            held.setdefault((url, digest), set()).add(html)
+    want = set()
+    for i, url, html in rows:
+        blocks, spans = op.main_blocks(html)
+        gone = {b for d, first, end in spans if len(held[url, d]) >= op.LEAST_PAGES for b in range(first, end)}
+        want.add((i, "\n\n".join(t for b, t in enumerate(blocks) if b not in gone)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(p.page_id, p.text) for p in op.query(pages).collect()} == want
+    assert any(not t for _, t in want) and any("box" in t for _, t in want) and any("box" not in t and "own" in t for _, t in want)
