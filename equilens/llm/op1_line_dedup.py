@@ -8,8 +8,9 @@ largest id that holds the key.
 Plan: (1) every long line becomes a 128-bit key hash with document and
 position, written once; (2) the hashes are range-partitioned by (hash,
 document), so a hash held by a third of all documents spreads over many
-ranges; inside a range a hash aggregate (no sort) makes one row of each hash
-and document, and partial counts and maxima leave each range; (3) repeated
+ranges, and each range is sorted by hash, document and position: the first
+occurrence of a hash in a document streams out of that order without another
+shuffle or sort, and partial counts and maxima of them leave each range; (3) repeated
 keys come back to their (document, position) entries and fold into compressed
 bitmaps, one (word number, 64 drop bits) entry per non-empty word; (4) the
 bitmap meets the text once. No text is shuffled before that last join.
@@ -21,7 +22,7 @@ row is answered; an empty table gives an empty table; extra columns stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, ascii_lower, isolate, restore, row_id, slots, write_once
@@ -42,11 +43,19 @@ def line_entries(docs: DataFrame, doc: Column, text: Column, min_chars: int) ->
                     F.xxhash64(F.lit(7), F.col("key")).alias("h2")))
 
 
+def first_occurrences(entries: DataFrame, ranges: int) -> DataFrame:
+    """(h1, h2, doc): one row of each hash and document, its first position in the sorted ranges.
+    Rows of one id are one document."""
+    at = Window.partitionBy("h1", "h2", "doc").orderBy("pos")
+    return (entries.select("h1", "h2", "doc", "pos").repartitionByRange(ranges, "h1", "h2", "doc")
+            .sortWithinPartitions("h1", "h2", "doc", "pos")
+            .withColumn("nth", F.row_number().over(at)).where("nth = 1").select("h1", "h2", "doc"))
+
+
 def repeated_keys(entries: DataFrame, min_docs: int, ranges: int) -> DataFrame:
     """(h1, h2, keep): keys held by ``min_docs`` documents, and the one that keeps them."""
-    first = (entries.select("h1", "h2", "doc").repartitionByRange(ranges, "h1", "h2", "doc")
-             .groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one")))
-    return (first.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc").alias("keep"))
+    first = first_occurrences(entries, ranges)
+    return (first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keep"))
             .where(F.col("n") >= min_docs).select("h1", "h2", "keep"))
 
 

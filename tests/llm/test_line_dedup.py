@@ -54,3 +54,14 @@ def test_stage_keeps_columns_and_empty_table(docs_of, awkward):
 def test_main_path_is_native(docs_of, awkward):
     plan = op.query(docs_of(awkward))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
+
+
+def test_first_occurrences_stream_out_of_one_sorted_layout(spark):
+    rows = [(i % 7 if i % 3 else 0, 1, i, i % 5, i % 5) for i in range(1000)]
+    entries = spark.createDataFrame(rows, "doc long, version long, pos int, h1 long, h2 long")
+    first = op.first_occurrences(entries, 4)
+    assert sorted(map(tuple, first.collect())) == sorted({(h, h, d) for d, _, _, h, _ in rows})
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and "hashpartitioning" not in plan and plan.count("Sort [") == 1
+    want = {h: (len({d for d, _, _, g, _ in rows if g == h}), max(d for d, _, _, g, _ in rows if g == h)) for h in range(5)}
+    assert {r.h1: r.keep for r in op.repeated_keys(entries, 2, 4).collect()} == {h: k for h, (n, k) in want.items() if n >= 2}
