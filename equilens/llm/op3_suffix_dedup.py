@@ -20,15 +20,16 @@ entry for about eighteen windows. The passes:
    holds it. Only the smallest document of equal runs asks; later ones are
    covered whole.
 
-Batches are hashes of the document id and answers come back as bits, so every
-group has a bounded size: a passage in a third of all documents is one entry
+Batches are hashes of the document id and the text, so rows without an id spread
+too, and answers come back as bits, so every group has a bounded size: a passage in a third of all documents is one entry
 per batch. The text is shuffled once; all three readings reuse that exchange.
 Window groups are compared by two independent 64-bit hashes inside a 58-bit
 digit.
 
 Defined cases: null and empty texts have no bytes; a null id sorts below all;
 rows that repeat an id are the same document (they don't remove each other);
-windows never cross documents; texts shorter than a window stay whole. A very
+windows never cross documents; texts shorter than a window stay whole; an empty
+table gives an empty table; extra columns are left aside, whatever their names. A very
 long text is worked on in slices that overlap by a window.
 """
 
@@ -287,8 +288,10 @@ def mark_repeats(docs: DataFrame, finish, schema: str, window: int, gram: int, i
         raise ValueError("window must be longer than gram by less than 63 bytes")
     base, at = isolate(docs)
     buckets, batches = slots(docs, bucket_mb), slots(docs, batch_mb)
-    rows = base.select(F.pmod(F.xxhash64(F.lit(3), row_id(at[id_col])), F.lit(batches)).alias("batch"), row_id(at[id_col]).alias("id"),
-                       F.coalesce(F.col(at[text_col]).cast("string"), F.lit("")).cast("binary").alias("bytes"))
+    text = F.coalesce(F.col(at[text_col]).cast("string"), F.lit(""))
+    # by text as well, so that rows without an id, or of one id, spread over all batches
+    rows = base.select(F.pmod(F.xxhash64(F.lit(3), row_id(at[id_col]), text), F.lit(batches)).alias("batch"), row_id(at[id_col]).alias("id"),
+                       text.cast("binary").alias("bytes"))
 
     def load(table: pa.Table) -> Batch:
         return Batch(np.asarray(table.column("id")), table.column("bytes").to_pylist(), window, gram)

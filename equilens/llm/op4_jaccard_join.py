@@ -10,7 +10,7 @@ nothing). Two documents link when den * |x & y| >= num * |x | y|.
    hash) must share one with those of any set it links with. The rarest come
    first, so a line or passage that many documents hold hardly makes
    candidates. Counting and matching go between batches of documents (by hash
-   of the id) and buckets of hashes: a batch sends each distinct hash once and
+   of id and text, so rows without an id spread too) and buckets of hashes: a batch sends each distinct hash once and
    gets a few bits back, so no hash, however common, is a large group.
 3. Documents joined by candidates form blocks. In a block, or a tile of at
    most ``TILE`` documents of a larger one, a signature tree is built: nodes
@@ -26,7 +26,8 @@ nothing). Two documents link when den * |x & y| >= num * |x | y|.
 
 Defined cases: null and empty texts have n_shingles 0 and are their own
 component; a null id is a node below all others and is returned as null; rows
-that repeat an id are one node with several sets; copies are linked.
+that repeat an id are one node with several sets; copies are linked; an empty
+table gives an empty table; extra columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -415,8 +416,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     """(doc_id, n_shingles, component_id, k1, k2) of every row; (k1, k2) is the key of its set."""
     base, at = isolate(docs)
     batches, buckets = slots(docs, batch_mb), slots(docs, bucket_mb)
-    rows = base.select(F.pmod(F.xxhash64(F.lit(4), row_id(at[id_col])), F.lit(batches)).alias("batch"), row_id(at[id_col]).alias("id"),
-                       F.coalesce(F.col(at[text_col]).cast("string"), F.lit("")).cast("binary").alias("bytes"))
+    text = F.coalesce(F.col(at[text_col]).cast("string"), F.lit(""))
+    # by text as well, so that rows without an id, or of one id, spread over all batches
+    rows = base.select(F.pmod(F.xxhash64(F.lit(4), row_id(at[id_col]), text), F.lit(batches)).alias("batch"), row_id(at[id_col]).alias("id"),
+                       text.cast("binary").alias("bytes"))
 
     def load(t: pa.Table) -> Sets:
         return Sets(np.asarray(t.column("id")), t.column("bytes").to_pylist(), words)
