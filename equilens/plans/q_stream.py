@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, write_once
 from ..operators import scoring as sc
 from ..operators import thresholds as th
-from ..sources.frames import decision_frame, decisions_from_orders
+from ..sources.frames import FEATURES, decision_frame, decisions_from_orders
 from ..sources.tables import read_table
 from ..spec import DECISIONS
 from ..streaming import monitor as mo
@@ -144,8 +144,10 @@ FROM (SELECT id, ({CUT_LINE}) OR ({NO_NUMBER}) AS bad,
                CASE WHEN c_acctbal < 0 THEN 'c_acctbal:ge' END], lambda x: x IS NOT NULL), ',') END AS violations FROM d)""", rows="S11 O7 O9 H6 S7")
 def q_stream_requests(spark, sf):
     """Requests as JSON lines, scored inside the stream by a saved and reloaded ``PipelineModel``."""
-    path, lines = request_model(spark, sf), scratch_path(spark, "requests")
-    request_lines(spark, sf).write.text(lines)
+    # the joins and the line aggregate are made once, for the model and for the requests
+    frame = write_once(decision_frame(spark, sf, features=True).select("id", "y", "g", "priority", *FEATURES), "decisions")
+    path, lines = request_model(spark, sf, frame), scratch_path(spark, "requests")
+    request_lines(spark, sf, frame).write.text(lines)
     return request_stream(spark, lines, path).select("id", "status", "violations", F.col("prediction").isNotNull().alias("has_decision"),
                                                      F.col("line").isNotNull().alias("has_line"))
 
@@ -158,23 +160,22 @@ def request_rules():
     return (Rule("o_totalprice", None, 400000, True), Rule("c_acctbal", 0, None, True))
 
 
-def request_lines(spark, sf):
+def request_lines(spark, sf, frame=None):
     """The decision frame's rows as request lines (``value``), some of them spoilt."""
-    df = decision_frame(spark, sf, features=True)
+    df = decision_frame(spark, sf, features=True) if frame is None else frame
     fields = [c.split()[0] for c in REQUEST.split(", ")]
     whole = F.to_json(F.struct(*fields))
     word = F.to_json(F.struct(*[F.lit("many").alias(c) if c == "o_totalprice" else F.col(c) for c in fields]))
     return df.select(F.when(F.expr(CUT_LINE), F.substring(whole, 1, 20)).when(F.expr(NO_NUMBER), word).otherwise(whole).alias("value"))
 
 
-def request_model(spark, sf) -> str:
+def request_model(spark, sf, frame=None) -> str:
     """Folder of the fitted pipeline: preparation, logistic regression, group thresholds."""
     from ..operators import mitigate as mg
     from ..operators import search as se
     from ..operators.stages import audit_pipeline
-    from ..sources.frames import FEATURES
     from .q_ml import BASELINES
-    split = write_once(mg.holdout_exact(decision_frame(spark, sf, features=True), DECISIONS).select("id", "y", "g", "split", *FEATURES), "split")
+    split = write_once(mg.holdout_exact(decision_frame(spark, sf, features=True) if frame is None else frame, DECISIONS).select("id", "y", "g", "split", *FEATURES), "split")
     train = split.where(F.col("split") == "train")
     lr = se.family_estimator(BASELINES[1][1], "features", "y", n_rows=se.total_weight(train, None))
     path = scratch_path(spark, "pipeline-model")
